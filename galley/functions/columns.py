@@ -103,7 +103,7 @@ def display_money_cents(column: Column) -> Column:
 
 def display_percent(column: Column) -> Column:
     """The value already is a percentage; it is not multiplied again."""
-    return F.concat(F.format_string("%.2f", column.cast("double")), F.lit("%"))
+    return F.concat(F.call_function("format_number", column, F.lit("0.00")), F.lit("%"))
 
 
 DISPLAY = {
