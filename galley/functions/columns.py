@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,8 +74,7 @@ def prefixed_id(prefix: str, number: Column, width: int) -> Column:
     wider than ``width`` is kept whole.
     """
     text = number.cast("string")
-    padded = F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
-    return F.concat(F.lit(prefix), padded)
+    return F.concat(F.lit(prefix), F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0")))
 
 
 def display_count(column: Column) -> Column:
@@ -153,46 +151,55 @@ DRAW_ID_FACTOR = 48271
 DRAW_SALT_FACTOR = 69621
 
 
-def draw(row_id: Column, salt: int) -> Column:
-    """A reproducible integer in [0, 2^31 - 1) for this row and salt."""
-    start = salt * DRAW_SALT_FACTOR % DRAW_PRIME
-    x = F.pmod(
-        F.pmod(row_id.cast("long"), F.lit(DRAW_PRIME)) * DRAW_ID_FACTOR + F.lit(start),
-        F.lit(DRAW_PRIME),
+def with_draws(
+    df: DataFrame, row_id: str, salts: Mapping[str, int], prefix: str = "draw_"
+) -> DataFrame:
+    """Adds one column ``draw_<name>`` per salt: a reproducible integer in [0, 2^31 - 1).
+
+    The powers are built in steps, each a projection of its own. As one expression the
+    first residue would be written out ten times.
+    """
+    prime = F.lit(DRAW_PRIME)
+    residue = F.pmod(F.col(row_id).cast("long"), prime)
+    starts = {n: salt * DRAW_SALT_FACTOR % DRAW_PRIME for n, salt in salts.items()}
+    x, square = "__x_{}".format, "__s_{}".format
+    first = df.withColumns(
+        {x(n): F.pmod(residue * DRAW_ID_FACTOR + F.lit(start), prime) for n, start in starts.items()}
+    )
+    second = first.withColumns({square(n): F.pmod(F.col(x(n)) * F.col(x(n)), prime) for n in salts})
+    last = second.withColumns(
+        {
+            prefix + n: F.pmod(F.pmod(F.col(square(n)) * F.col(square(n)), prime) * F.col(x(n)), prime)
+            for n in salts
+        }
     )
-    square = F.pmod(x * x, F.lit(DRAW_PRIME))
-    fourth = F.pmod(square * square, F.lit(DRAW_PRIME))
-    return F.pmod(fourth * x, F.lit(DRAW_PRIME))
+    return last.drop(*[x(n) for n in salts], *[square(n) for n in salts])
 
 
-def draw_int(row_id: Column, salt: int, low: int, high: int) -> Column:
+def drawn_int(draw: Column, low: int, high: int) -> Column:
     """Integer in [low, high], both ends included."""
-    return (F.lit(low) + F.pmod(draw(row_id, salt), F.lit(high - low + 1))).cast("int")
+    return (F.lit(low) + F.pmod(draw, F.lit(high - low + 1))).cast("int")
 
 
-def draw_choice(row_id: Column, salt: int, values: Sequence[str]) -> Column:
+def drawn_choice(draw: Column, values: Sequence[str]) -> Column:
     """One of a short list of values."""
-    index = (F.pmod(draw(row_id, salt), F.lit(len(values))) + 1).cast("int")
+    index = (F.pmod(draw, F.lit(len(values))) + 1).cast("int")
     return F.element_at(F.array(*[F.lit(v) for v in values]), index)
 
 
-def draw_fraction(row_id: Column, salt: int) -> Column:
+def drawn_fraction(draw: Column) -> Column:
     """Double in [0, 1)."""
-    return draw(row_id, salt).cast("double") / F.lit(float(DRAW_PRIME))
+    return draw.cast("double") / F.lit(float(DRAW_PRIME))
 
 
-def draw_between(row_id: Column, salt: int, low: float, high: float) -> Column:
+def drawn_between(draw: Column, low: float, high: float) -> Column:
     """Double in [low, high)."""
-    return F.lit(low) + draw_fraction(row_id, salt) * F.lit(high - low)
+    return F.lit(low) + drawn_fraction(draw) * F.lit(high - low)
 
 
 # --- predicates -----------------------------------------------------------------------
 
 
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
 def not_true(condition: Column) -> Column:
     """Rows for which a rule does not hold; an unknown (null) result counts as holding."""
     return F.coalesce(~condition, F.lit(False))

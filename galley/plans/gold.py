@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from galley.functions.columns import MONEY, calendar_columns, flag
 from galley.operators.keys import dense_key, dense_key_small, first_per_key
 from galley.operators.lookup import Lookup, left_lookup, star_lookup
+from galley.session import spread_partitions
 
 # Fixed range of the reference calendar.
 CALENDAR_START = date(2026, 3, 25)
@@ -197,23 +198,32 @@ def subscription_snapshot(
     """Grain: subscriber and day, from signup to the churn day or the end of the data.
 
     Active on every day before the churn day, new on the first day, churned on the churn
-    day. The lookups run per subscriber; days are added last, on a narrow row, and the
-    date key is arithmetic on the calendar start, so the expanded rows never shuffle.
+    day. The lookups run per subscriber; days are added last, as a run of date keys
+    (arithmetic on the calendar start) on a narrow row, so the expanded rows never
+    shuffle. Each row grows by the length of a stay, so the narrow rows are spread over
+    all tasks first.
     """
+    spark = subscriptions.sparkSession
+    first_day = F.lit(calendar_start)
     narrow = left_lookup(_stay(subscriptions, data_end), _brands(brands)).select(
-        "brand_key", "subscriber_key", "signup_date", "end_date", "churn_date", "mrr"
-    )
-    days = F.sequence("signup_date", "end_date", F.expr("interval 1 day"))
-    daily = narrow.withColumn("day", F.explode(days))
-    churns = F.coalesce(F.col("day") == F.col("churn_date"), F.lit(False))
-    return daily.select(
-        (F.datediff("day", F.lit(calendar_start)) + 1).alias("date_key"),
         F.col("brand_key").cast("int"),
         F.col("subscriber_key").cast("int"),
+        (F.datediff("signup_date", first_day) + 1).alias("signup_key"),
+        (F.datediff("end_date", first_day) + 1).alias("end_key"),
+        (F.datediff("churn_date", first_day) + 1).alias("churn_key"),
+        F.col("mrr").cast(MONEY).alias("mrr"),
+    )
+    spread = narrow.repartition(spread_partitions(spark), "subscriber_key")
+    daily = spread.withColumn("date_key", F.explode(F.sequence("signup_key", "end_key")))
+    churns = F.coalesce(F.col("date_key") == F.col("churn_key"), F.lit(False))
+    return daily.select(
+        "date_key",
+        "brand_key",
+        "subscriber_key",
         flag(~churns).alias("active_flag"),
-        flag(F.col("day") == F.col("signup_date")).alias("new_flag"),
+        flag(F.col("date_key") == F.col("signup_key")).alias("new_flag"),
         flag(churns).alias("churned_flag"),
-        F.col("mrr").cast(MONEY).alias("mrr"),
+        "mrr",
     )
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
 
@@ -56,9 +57,17 @@ class Calendar:
 # --- layers -----------------------------------------------------------------------------
 
 
+def side_by_side(writes: Sequence[Callable[[], object]]) -> list:
+    """Start independent writes together, so that the tail of one (few tasks left) does
+    not leave executors idle. An error of any is raised once all have ended."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        return list(pool.map(lambda write: write(), writes))
+
+
 def load_bronze(spark: SparkSession, layers: Layers, raw: Mapping[str, DataFrame]) -> None:
-    for name in BRONZE_TABLES:
-        write_table(raw[name], layers.bronze, name, layers.fmt)
+    side_by_side(
+        [lambda t=t: write_table(raw[t], layers.bronze, t, layers.fmt) for t in BRONZE_TABLES]
+    )
 
 
 def build_silver(spark: SparkSession, layers: Layers) -> None:
@@ -68,8 +77,13 @@ def build_silver(spark: SparkSession, layers: Layers) -> None:
         "silver_engagement": (silver.silver_engagement, "raw_engagement"),
         "silver_ad_impressions": (silver.silver_ad_impressions, "raw_ad_impressions"),
     }
-    for name, (build, source) in builders.items():
-        write_table(build(read_table(spark, layers.bronze, source)), layers.silver, name, layers.fmt)
+
+    def put(name: str) -> None:
+        build, source = builders[name]
+        rows = build(read_table(spark, layers.bronze, source))
+        write_table(rows, layers.silver, name, layers.fmt)
+
+    side_by_side([lambda t=t: put(t) for t in SILVER_TABLES])
 
 
 def build_gold(
@@ -87,27 +101,30 @@ def build_gold(
         write_table(df, layers.gold, name, layers.fmt, overwrite_schema=True, cluster_by=cluster_by)
         return read_table(spark, layers.gold, name)
 
-    dates = put(gold.dim_date(spark, calendar.start, calendar.end).coalesce(1), "dim_date")
-    brand = put(brands.coalesce(1), "dim_brand")
-    platform = put(platforms.coalesce(1), "dim_platform")
-    content = put(gold.dim_content(s["silver_content"], brand), "dim_content")
-    subscribers = put(gold.dim_subscriber(s["silver_subscriptions"], dates), "dim_subscriber")
-    campaigns = put(gold.dim_campaign(s["silver_ad_impressions"]), "dim_campaign")
-
-    by_day = ("date_key",)
-    put(
-        gold.fct_engagement(
-            s["silver_engagement"], dates, brand, content, subscribers, platform
-        ),
-        "fct_engagement",
-        by_day,
+    dates, brand, platform, campaigns = side_by_side(
+        [
+            lambda: put(
+                gold.dim_date(spark, calendar.start, calendar.end).coalesce(1), "dim_date"
+            ),
+            lambda: put(brands.coalesce(1), "dim_brand"),
+            lambda: put(platforms.coalesce(1), "dim_platform"),
+            lambda: put(gold.dim_campaign(s["silver_ad_impressions"]), "dim_campaign"),
+        ]
     )
-    put(gold.fct_subscription(s["silver_subscriptions"], dates, brand), "fct_subscription", by_day)
-    put(
-        gold.fct_ad(s["silver_ad_impressions"], dates, brand, campaigns, platform),
-        "fct_ad",
-        by_day,
+    content, subscribers = side_by_side(
+        [
+            lambda: put(gold.dim_content(s["silver_content"], brand), "dim_content"),
+            lambda: put(gold.dim_subscriber(s["silver_subscriptions"], dates), "dim_subscriber"),
+        ]
     )
+    facts = {
+        "fct_engagement": gold.fct_engagement(
+            s["silver_engagement"], dates, brand, content, subscribers, platform
+        ),
+        "fct_subscription": gold.fct_subscription(s["silver_subscriptions"], dates, brand),
+        "fct_ad": gold.fct_ad(s["silver_ad_impressions"], dates, brand, campaigns, platform),
+    }
+    side_by_side([lambda f=f: put(facts[f], f, ("date_key",)) for f in FACTS])
 
 
 def load_model(spark: SparkSession, layers: Layers, calendar: Calendar) -> StarModel:

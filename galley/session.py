@@ -29,6 +29,16 @@ def build_session(
     return builder.getOrCreate()
 
 
+def spread_partitions(spark: SparkSession) -> int:
+    """Partitions for rows that are few now but expand later.
+
+    Given as a number, they are not merged at run time, where Spark would judge them by
+    their size before the expansion.
+    """
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffles, spark.sparkContext.defaultParallelism)
+
+
 _local_scratch: dict[str, str] = {}
 
 

@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 from galley.functions.columns import (
     at_time,
-    draw_between,
-    draw_choice,
-    draw_fraction,
-    draw_int,
+    drawn_between,
+    drawn_choice,
+    drawn_fraction,
+    drawn_int,
     prefixed_id,
     price_of,
+    with_draws,
 )
+from galley.session import spread_partitions
 
 # Fixed values of the generated tables.
 SECTIONS = (
@@ -81,6 +83,14 @@ def salt(name: str, seed: int = SEED) -> int:
     return _SALTS[name] + seed
 
 
+def _draws(rows: DataFrame, seed: int, names: str) -> DataFrame:
+    return with_draws(rows, "id", {n: salt(n, seed) for n in names.split()})
+
+
+def _d(name: str) -> Column:
+    return F.col(f"draw_{name}")
+
+
 def row_ids(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n)
 
@@ -89,10 +99,9 @@ def data_days(
     spark: SparkSession, start: date, days: int, per_day: tuple[int, int], seed: int = SEED
 ) -> DataFrame:
     """(day, rows): a drawn number of rows for each day."""
-    numbered = spark.range(days)
-    return numbered.select(
+    return _draws(spark.range(days), seed, "daily").select(
         F.date_add(F.lit(start), F.col("id").cast("int")).alias("day"),
-        draw_int(F.col("id"), salt("daily", seed), *per_day).alias("rows"),
+        drawn_int(_d("daily"), *per_day).alias("rows"),
     )
 
 
@@ -113,7 +122,7 @@ def daily_rows(days: DataFrame, rows_per_chunk: int = _ROWS_PER_CHUNK) -> DataFr
         last.alias("last"),
         F.explode(F.sequence("first", last, F.lit(rows_per_chunk).cast("long"))).alias("start"),
     )
-    spread = chunks.repartition("start")
+    spread = chunks.repartition(spread_partitions(days.sparkSession), "start")
     stop = F.least(F.col("start") + (rows_per_chunk - 1), F.col("last"))
     return spread.select(F.explode(F.sequence("start", stop)).alias("id"), "day")
 
@@ -128,22 +137,19 @@ def gen_content(
 ) -> DataFrame:
     """Content catalogue; item ids run through the brands in turn, ``per_brand`` each."""
     i = F.col("id")
-    n_brand = F.floor(i / per_brand)
     brand = F.element_at(
         F.array(*[F.lit(b) for b in brands]),
-        (F.pmod(n_brand, F.lit(len(brands))) + 1).cast("int"),
+        (F.pmod(F.floor(i / per_brand), F.lit(len(brands))) + 1).cast("int"),
     )
-    drawn = ids.select(
+    drawn = _draws(ids, seed, "section type publish author words").select(
         prefixed_id("CNT", i + 1, 6).alias("content_id"),
         (F.pmod(i, F.lit(per_brand)) + 1).alias("item"),
         brand.alias("brand"),
-        draw_choice(i, salt("section", seed), SECTIONS).alias("section"),
-        draw_choice(i, salt("type", seed), CONTENT_TYPES).alias("content_type"),
-        F.date_add(F.lit(start), draw_int(i, salt("publish", seed), 0, days - 30)).alias(
-            "publish_date"
-        ),
-        F.concat(F.lit("Author"), draw_int(i, salt("author", seed), 1, AUTHORS)).alias("author"),
-        draw_int(i, salt("words", seed), 300, 2500).alias("word_count"),
+        drawn_choice(_d("section"), SECTIONS).alias("section"),
+        drawn_choice(_d("type"), CONTENT_TYPES).alias("content_type"),
+        F.date_add(F.lit(start), drawn_int(_d("publish"), 0, days - 30)).alias("publish_date"),
+        F.concat(F.lit("Author"), drawn_int(_d("author"), 1, AUTHORS)).alias("author"),
+        drawn_int(_d("words"), 300, 2500).alias("word_count"),
     )
     title = F.format_string("%s %s %s #%d", "brand", "section", "content_type", "item")
     return drawn.select(
@@ -167,18 +173,15 @@ def gen_subscriptions(
     seed: int = SEED,
 ) -> DataFrame:
     """Subscribers; one in ten draws a churn date, and stays active if it is after the end."""
-    i = F.col("id")
-    drawn = ids.select(
-        prefixed_id("SUB", i + 1, 7).alias("subscriber_id"),
-        draw_choice(i, salt("brand", seed), brands).alias("brand"),
-        F.date_add(F.lit(start), draw_int(i, salt("signup", seed), 0, days - 1)).alias(
-            "signup_date"
-        ),
-        draw_choice(i, salt("plan", seed), PLANS).alias("plan"),
-        draw_choice(i, salt("region", seed), REGIONS).alias("region"),
-        draw_choice(i, salt("channel", seed), CHANNELS).alias("channel"),
-        (draw_fraction(i, salt("churn", seed)) <= CHURN_SHARE).alias("leaves"),
-        draw_int(i, salt("churn_day", seed), 7, days).alias("stay"),
+    drawn = _draws(ids, seed, "brand signup plan region channel churn churn_day").select(
+        prefixed_id("SUB", F.col("id") + 1, 7).alias("subscriber_id"),
+        drawn_choice(_d("brand"), brands).alias("brand"),
+        F.date_add(F.lit(start), drawn_int(_d("signup"), 0, days - 1)).alias("signup_date"),
+        drawn_choice(_d("plan"), PLANS).alias("plan"),
+        drawn_choice(_d("region"), REGIONS).alias("region"),
+        drawn_choice(_d("channel"), CHANNELS).alias("channel"),
+        (drawn_fraction(_d("churn")) <= CHURN_SHARE).alias("leaves"),
+        drawn_int(_d("churn_day"), 7, days).alias("stay"),
     )
     leave_date = F.date_add("signup_date", F.col("stay"))
     churn_date = F.when(F.col("leaves") & (leave_date <= F.lit(end)), leave_date)
@@ -195,12 +198,12 @@ def gen_subscriptions(
     )
 
 
-def _moment(day: Column, i: Column, seed: int) -> Column:
+def _moment() -> Column:
     return at_time(
-        day,
-        draw_int(i, salt("hour", seed), 0, 23),
-        draw_int(i, salt("minute", seed), 0, 59),
-        draw_int(i, salt("second", seed), 0, 59),
+        F.col("day"),
+        drawn_int(_d("hour"), 0, 23),
+        drawn_int(_d("minute"), 0, 59),
+        drawn_int(_d("second"), 0, 59),
     )
 
 
@@ -212,39 +215,40 @@ def gen_engagement(
     seed: int = SEED,
 ) -> DataFrame:
     """Page events for rows of (id, day); about 60 % have a subscriber."""
-    i = F.col("id")
-    known = draw_fraction(i, salt("known", seed)) < SUBSCRIBER_TRAFFIC
-    subscriber = prefixed_id("SUB", draw_int(i, salt("subscriber", seed), 1, subscribers), 7)
-    views = draw_int(i, salt("views", seed), 1, 12)
-    return rows.select(
-        prefixed_id("EVT", i, 12).alias("event_id"),
-        _moment(F.col("day"), i, seed).alias("event_timestamp"),
-        draw_choice(i, salt("ev_brand", seed), brands).alias("brand"),
-        prefixed_id("CNT", draw_int(i, salt("content", seed), 1, contents), 6).alias("content_id"),
-        F.when(known, subscriber).alias("subscriber_id"),
-        draw_choice(i, salt("platform", seed), PLATFORMS).alias("platform"),
+    names = "hour minute second ev_brand content platform known subscriber views seconds"
+    known = drawn_fraction(_d("known")) < SUBSCRIBER_TRAFFIC
+    views = drawn_int(_d("views"), 1, 12)
+    return _draws(rows, seed, names).select(
+        prefixed_id("EVT", F.col("id"), 12).alias("event_id"),
+        _moment().alias("event_timestamp"),
+        drawn_choice(_d("ev_brand"), brands).alias("brand"),
+        prefixed_id("CNT", drawn_int(_d("content"), 1, contents), 6).alias("content_id"),
+        F.when(known, prefixed_id("SUB", drawn_int(_d("subscriber"), 1, subscribers), 7)).alias(
+            "subscriber_id"
+        ),
+        drawn_choice(_d("platform"), PLATFORMS).alias("platform"),
         views.alias("page_views"),
         F.lit(1).alias("sessions"),
-        (views * draw_int(i, salt("seconds", seed), 30, 300)).alias("time_on_page_sec"),
+        (views * drawn_int(_d("seconds"), 30, 300)).alias("time_on_page_sec"),
     )
 
 
 def gen_ads(rows: DataFrame, brands: Sequence[str], seed: int = SEED) -> DataFrame:
     """Ad rows for rows of (id, day): 0.5-3 % clicks, 0.25-2.50 revenue per click."""
-    i = F.col("id")
-    drawn = rows.select(
-        prefixed_id("IMP", i, 12).alias("impression_id"),
-        _moment(F.col("day"), i, seed).alias("impression_timestamp"),
-        draw_choice(i, salt("ad_brand", seed), brands).alias("brand"),
-        prefixed_id("CMP", draw_int(i, salt("campaign", seed), 1, CAMPAIGNS), 3).alias(
-            "campaign_id"
-        ),
-        draw_choice(i, salt("advertiser", seed), ADVERTISERS).alias("advertiser"),
-        draw_choice(i, salt("ad_channel", seed), AD_CHANNELS).alias("channel"),
-        draw_choice(i, salt("ad_platform", seed), PLATFORMS).alias("platform"),
-        draw_int(i, salt("impressions", seed), 100, 5000).alias("impressions"),
-        draw_between(i, salt("ctr", seed), 0.005, 0.03).alias("ctr"),
-        draw_between(i, salt("price", seed), 0.25, 2.50).alias("price"),
+    names = (
+        "hour minute second ad_brand campaign advertiser ad_channel ad_platform impressions ctr price"
+    )
+    drawn = _draws(rows, seed, names).select(
+        prefixed_id("IMP", F.col("id"), 12).alias("impression_id"),
+        _moment().alias("impression_timestamp"),
+        drawn_choice(_d("ad_brand"), brands).alias("brand"),
+        prefixed_id("CMP", drawn_int(_d("campaign"), 1, CAMPAIGNS), 3).alias("campaign_id"),
+        drawn_choice(_d("advertiser"), ADVERTISERS).alias("advertiser"),
+        drawn_choice(_d("ad_channel"), AD_CHANNELS).alias("channel"),
+        drawn_choice(_d("ad_platform"), PLATFORMS).alias("platform"),
+        drawn_int(_d("impressions"), 100, 5000).alias("impressions"),
+        drawn_between(_d("ctr"), 0.005, 0.03).alias("ctr"),
+        drawn_between(_d("price"), 0.25, 2.50).alias("price"),
     ).withColumn("clicks", F.floor(F.col("impressions") * F.col("ctr")).cast("int"))
     name = F.concat_ws(" ", "advertiser", F.initcap("channel"), F.lit("Campaign"))
     return drawn.select(
