@@ -24,9 +24,14 @@ def first_per_key(
     does not depend on how the input is partitioned. Spark turns ``row_number() = 1`` into
     a group limit that runs before the shuffle too: every map task forwards one row per
     key, and a key that holds a third of the input does not fill one reducer.
+
+    The groups are sorted by a hash of the key before the key itself. Ids such as
+    'EVT000000000123' agree in their first eight bytes, which is all that Spark's sort
+    compares without looking at the row; a hash tells them apart there.
     """
     order = [F.col(o).asc_nulls_first() if isinstance(o, str) else o for o in order_by]
-    window = Window.partitionBy(*keys).orderBy(*order, *_tie_break(df, set(keys)))
+    groups = Window.partitionBy(F.xxhash64(*keys), *keys)
+    window = groups.orderBy(*order, *_tie_break(df, set(keys)))
     return (
         df.withColumn("__rank", F.row_number().over(window))
         .where(F.col("__rank") == 1)

@@ -138,6 +138,74 @@ def fk_exists(
     return _one_row(counted, "fk_exists", f"{table}.{fk}->{dim_table}.{pk}")
 
 
+def _per_target(
+    spark: SparkSession, check: str, targets: Sequence[str], found: DataFrame
+) -> DataFrame:
+    """One row per target; those without a row in ``found`` (target, n) have no violation."""
+    listed = spark.range(0, 1, 1, 1).select(
+        F.explode(F.array(*[F.lit(t) for t in targets])).alias("target")
+    )
+    n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
+    return listed.join(found, "target", "left").select(
+        F.lit(check).alias("check"), "target", n.alias("violations"), (n == 0).alias("passed")
+    )
+
+
+def unique_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, str]) -> DataFrame:
+    """``unique`` for the integer keys of many tables, with one shuffle for all of them."""
+    tagged = [
+        tables[t].select(F.lit(f"{t}.{k}").alias("target"), F.col(k).cast("long").alias("key"))
+        for t, k in keys.items()
+    ]
+    every_key = run_suite(tagged)
+    found = (
+        duplicate_keys(every_key, ["target", "key"])
+        .groupBy("target")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    targets = [f"{t}.{k}" for t, k in keys.items()]
+    return _per_target(every_key.sparkSession, "unique", targets, found)
+
+
+def star_links_exist(
+    tables: Mapping[str, DataFrame], relationships: Mapping[str, Mapping[str, str]]
+) -> DataFrame:
+    """``fk_exists`` for every relationship of a star with integer keys.
+
+    Each fact is read once and counted per (relationship, key) with map-side combining;
+    one anti-join against the keys of all dimensions finds the orphans of all
+    relationships.
+    """
+
+    def name(fact: str, dim: str, key: str) -> str:
+        return f"{fact}.{key}->{dim}.{key}"
+
+    used, known, targets = [], [], []
+    for fact, dims in relationships.items():
+        pairs = [
+            F.struct(
+                F.lit(name(fact, dim, key)).alias("target"), F.col(key).cast("long").alias("key")
+            )
+            for dim, key in dims.items()
+        ]
+        used.append(tables[fact].select(F.inline(F.array(*pairs))))
+        for dim, key in dims.items():
+            target = name(fact, dim, key)
+            targets.append(target)
+            known.append(
+                tables[dim].select(F.lit(target).alias("target"), F.col(key).cast("long").alias("key"))
+            )
+    counted = (
+        run_suite(used)
+        .where(F.col("key").isNotNull())
+        .groupBy("target", "key")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    missing = counted.join(run_suite(known), ["target", "key"], "left_anti")
+    found = missing.groupBy("target").agg(F.sum("rows").alias("n"))
+    return _per_target(counted.sparkSession, "fk_exists", targets, found)
+
+
 def same_count(before: DataFrame, after: DataFrame, target: str) -> DataFrame:
     """A lookup join must keep the number of rows."""
     first = before.agg(F.count(F.lit(1)).alias("n"))

@@ -24,7 +24,7 @@ def dim_date(
     spark: SparkSession, start: date = CALENDAR_START, end: date = CALENDAR_END
 ) -> DataFrame:
     """One row per day, both ends included; ``date_key`` counts the days from 1."""
-    days = spark.range(1).select(
+    days = spark.range(0, 1, 1, 1).select(
         F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).alias("d")
     )
     key = (F.datediff("d", F.lit(start)) + 1).alias("date_key")

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -196,12 +196,10 @@ class StarModel:
 
     def last_day(self, fact: str) -> date:
         """The latest day with facts: one number from a one-column aggregate."""
-        top = self.tables[fact].agg(F.max("date_key").alias("k"))
-        days = self.tables["dim_date"].select("date_key", "full_date")
-        row = top.join(days, F.col("k") == F.col("date_key")).select("full_date").first()
-        if row is None:
+        top = self.tables[fact].agg(F.max("date_key")).first()[0]
+        if top is None:
             raise ValueError(f"{fact} has no dated rows")
-        return row[0]
+        return self.calendar_start + timedelta(days=top - 1)
 
     def _sliced(
         self,

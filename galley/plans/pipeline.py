@@ -103,11 +103,9 @@ def build_gold(
 
     dates, brand, platform, campaigns = side_by_side(
         [
-            lambda: put(
-                gold.dim_date(spark, calendar.start, calendar.end).coalesce(1), "dim_date"
-            ),
-            lambda: put(brands.coalesce(1), "dim_brand"),
-            lambda: put(platforms.coalesce(1), "dim_platform"),
+            lambda: put(gold.dim_date(spark, calendar.start, calendar.end), "dim_date"),
+            lambda: put(brands, "dim_brand"),
+            lambda: put(platforms, "dim_platform"),
             lambda: put(gold.dim_campaign(s["silver_ad_impressions"]), "dim_campaign"),
         ]
     )
@@ -175,13 +173,9 @@ def gold_rules(table: str) -> list[q.Rule]:
 def gold_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Existence, keys, integrity, continuity and business rules of the star schema."""
     scans = [q.table_checks(tables[t], t, gold_rules(t)) for t in GOLD_TABLES]
-    keys = [q.unique(tables[t], t, [k]) for t, k in DIMENSIONS.items()]
-    links = [
-        q.fk_exists(tables[fact], fact, key, tables[dim], dim, key)
-        for fact, dims in RELATIONSHIPS.items()
-        for dim, key in dims.items()
-    ]
-    return q.run_suite(scans + keys + links)
+    keys = q.unique_keys(tables, DIMENSIONS)
+    links = q.star_links_exist(tables, RELATIONSHIPS)
+    return q.run_suite([*scans, keys, links])
 
 
 def row_count_checks(silver_tables: Mapping[str, DataFrame], facts: Mapping[str, DataFrame]) -> DataFrame:

@@ -61,6 +61,22 @@ def test_foreign_keys_count_rows_and_skip_nulls(spark):
     assert result(q.fk_exists(fact, "f", "k", dim, "d", "k")) == {("fk_exists", "f.k->d.k"): (2, False)}
 
 
+def test_star_checks_equal_the_single_ones(spark):
+    tables = {
+        "f": spark.createDataFrame([(1, 5), (7, 5), (7, None), (None, 6)], "a int, b int"),
+        "da": spark.createDataFrame([(1,), (2,), (2,)], "a int"),
+        "db": spark.createDataFrame([(5,), (6,)], "b int"),
+    }
+    links = q.star_links_exist(tables, {"f": {"da": "a", "db": "b"}})
+    singles = q.fk_exists(tables["f"], "f", "a", tables["da"], "da", "a").unionByName(
+        q.fk_exists(tables["f"], "f", "b", tables["db"], "db", "b")
+    )
+    assert result(links) == result(singles)
+    assert result(links)[("fk_exists", "f.a->da.a")] == (2, False)
+    keys = q.unique_keys(tables, {"da": "a", "db": "b"})
+    assert result(keys) == {("unique", "da.a"): (1, False), ("unique", "db.b"): (0, True)}
+
+
 def test_same_count(spark):
     assert result(q.same_count(spark.range(5), spark.range(8), "x"))[("same_count", "x")] == (3, False)
     assert result(q.same_count(spark.range(5), spark.range(5), "x"))[("same_count", "x")] == (0, True)
