@@ -860,8 +860,22 @@ _star(
 _sql(
     "dq_has_columns",
     f"""SELECT 'has_columns' AS "check", 'events' AS target, CAST(0 AS BIGINT) AS violations, TRUE AS passed
-        UNION ALL SELECT 'has_columns', 'events_renamed', CAST(1 AS BIGINT), FALSE
-        UNION ALL {_empty("events")}""",
+        UNION ALL SELECT 'has_columns', 'faulty', CAST(1 AS BIGINT), FALSE
+        UNION ALL {_empty("events")}
+        UNION ALL {_null("events", "event_id")}
+        UNION ALL {_null("events", "ts")}
+        UNION ALL {_empty("events").replace("'events'", "'faulty'")}
+        UNION ALL {_check("no_nulls", "faulty.user_id", "count(*)", "events WHERE event_type = 'error'")}""",
+)
+_sql(
+    "duplicate_keys",
+    """SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
+)
+_sql(
+    "date_span",
+    """SELECT min(d) AS first_day, max(d) AS last_day, CAST(date_diff('day', min(d), max(d)) + 1 AS INTEGER) AS days,
+              count(DISTINCT d) AS days_with_orders
+       FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders)""",
 )
 _star(
     "dq_critical_nulls",

@@ -731,6 +731,23 @@ def dq_unique_pk(spark, folder):
     )
 
 
+@query("duplicate_keys")
+def duplicate_keys(spark, folder):
+    return q.duplicate_keys(_t(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("date_span")
+def date_span(spark, folder):
+    """First and last order day, the days between them, and the days that have orders."""
+    days = _days(_t(spark, folder, "orders"), "o_orderdate")
+    return days.agg(
+        F.min("day").alias("first_day"),
+        F.max("day").alias("last_day"),
+        (F.datediff(F.max("day"), F.min("day")) + 1).alias("days"),
+        F.count(F.lit(1)).alias("days_with_orders"),
+    )
+
+
 @query("dq_null_fk")
 def dq_null_fk(spark, folder):
     g = star(spark, folder).gold
@@ -797,15 +814,13 @@ def dq_same_count(spark, folder):
 
 @query("dq_has_columns")
 def dq_has_columns(spark, folder):
-    """Expected columns, checked only where the table has rows."""
+    """Event checks on the real table, and on one with a renamed and a nulled column."""
     events = _t(spark, folder, "events")
     names = ["event_id", "ts", "event_type", "user_id"]
-    return q.run_suite(
-        [
-            q.has_columns(events, "events", names),
-            q.has_columns(events, "events_renamed", ["event_id", "event_timestamp"]),
-            q.not_empty(events, "events"),
-        ]
+    known = F.when(F.col("event_type") != "error", F.col("user_id"))
+    faulty = events.withColumn("user_id", known).withColumnRenamed("ts", "moment")
+    return warehouse.event_checks(events, "events", names, ["event_id", "ts"]).unionByName(
+        warehouse.event_checks(faulty, "faulty", names, ["user_id", "ts"])
     )
 
 

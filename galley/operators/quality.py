@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from galley.functions.columns import not_true, relative_difference
 from galley.operators.lookup import orphan_keys
+from galley.sources.catalog import exists
 
 CHECK_SCHEMA = T.StructType(
     [
@@ -240,6 +241,14 @@ def contract(df: DataFrame, table: str) -> DataFrame:
     return _from_schema(df.sparkSession, "contract", table, faults)
 
 
+def tables_exist(spark: SparkSession, layer: str, tables: Sequence[str]) -> DataFrame:
+    """One row per table name; a violation is a table the catalog does not have."""
+    found = [(t, exists(spark, layer, t)) for t in tables]
+    return spark.createDataFrame(
+        [("exists", f"{layer}.{t}", int(not there), there) for t, there in found], CHECK_SCHEMA
+    )
+
+
 # --- reconciliation ---------------------------------------------------------------------
 
 

@@ -1,7 +1,9 @@
-"""The sales warehouse: two tables, one view."""
+"""The sales warehouse (two tables, one view), the config store and the sample tables."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from galley import schemas
 from galley.operators.lookup import summary_per_parent
 from galley.operators.quality import (
     fk_exists,
+    has_columns,
     not_empty,
     rule_no_null,
     rule_non_negative,
@@ -17,7 +20,8 @@ from galley.operators.quality import (
     table_checks,
     unique,
 )
-from galley.sources.catalog import ensure_layer, ensure_table
+from galley.sources import seeds
+from galley.sources.catalog import ensure_layer, ensure_table, read_table, write_table
 
 
 def create_warehouse(spark: SparkSession, layer: str, location: str | None = None) -> None:
@@ -65,3 +69,33 @@ def warehouse_checks(customers: DataFrame, orders: DataFrame) -> DataFrame:
 
 def config_checks(config: DataFrame) -> DataFrame:
     return run_suite([not_empty(config, "config"), unique(config, "config", ["config_key"])])
+
+
+def load_sample_events(spark: SparkSession, layer: str) -> DataFrame:
+    write_table(seeds.sample_events(spark), layer, "sample_events", overwrite_schema=True)
+    return read_table(spark, layer, "sample_events")
+
+
+def load_example_audience(spark: SparkSession, layer: str, brands: Sequence[str]) -> DataFrame:
+    """In the default format of the session."""
+    write_table(seeds.example_audience(spark, brands), layer, "example_audience", fmt=None)
+    return read_table(spark, layer, "example_audience")
+
+
+def event_checks(
+    events: DataFrame,
+    table: str = "sample_events",
+    expected: Sequence[str] = ("event_id", "timestamp", "event_type", "user_id"),
+    critical: Sequence[str] = ("event_id", "timestamp"),
+) -> DataFrame:
+    """An event table has rows, its expected columns, and no nulls in the critical ones.
+
+    Critical columns that are missing are reported as missing, not as null.
+    """
+    there = [c for c in critical if c in events.columns]
+    return run_suite(
+        [
+            has_columns(events, table, expected),
+            table_checks(events, table, [rule_not_empty(), *[rule_no_null(c) for c in there]]),
+        ]
+    )

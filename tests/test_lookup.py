@@ -84,3 +84,32 @@ def test_summary_keeps_parents_without_children(spark, rows):
         zero=["n"],
     )
     assert rows(out) == [(1, "p", 2, 11.0), (2, "q", 0, None)]
+
+
+def test_hot_key_of_a_lookup_is_split(spark, tmp_path):
+    """A key with half of all rows, with thresholds low enough for a small table."""
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for name, value in low.items():
+        spark.conf.set(name, value)
+    try:
+        spark.range(0, 200000, 1, 8).select(
+            "id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 1000).alias("code")
+        ).write.parquet(str(tmp_path / "fact"))
+        fact = spark.read.parquet(str(tmp_path / "fact"))
+        dim = spark.range(1000).select("id", (F.col("id") * 10).alias("key"))
+        found = left_lookup(fact, Lookup(dim, "code", "id", {"key": "key"}))
+        assert found.where("key = code * 10").count() == 200000
+        rows_seen = found.select(F.spark_partition_id().alias("p")).groupBy("p").count()
+        out = found.groupBy().agg(F.count("key"), F.sum("key"))
+        assert out.collect()[0][0] == 200000
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+        assert rows_seen.agg(F.max("count")).first()[0] < 100000
+    finally:
+        for name in low:
+            spark.conf.unset(name)

@@ -44,6 +44,9 @@ def test_run_builds_and_checks_everything(spark, raw):
         "March", "April", "May", "June",
     ]
 
+    checks = pipeline.check_gold(spark, layers, CALENDAR)
+    assert checks.where("NOT passed").count() == 0 and checks.count() == 9 + 52 + 9 + 9
+
     # a second run replaces the tables
     assert run(spark, layers, raw).where("table = 'fct_ad'").first().rows == counted["gold", "fct_ad"]
 
@@ -61,3 +64,11 @@ def test_gold_gate_names_the_faulty_relationship(spark, raw):
     bad = raw["raw_ad_impressions"].withColumn("brand", F.lit("Nowhere"))
     with pytest.raises(QualityError, match="no_nulls fct_ad.brand_key"):
         run(spark, layers, {**raw, "raw_ad_impressions": bad})
+
+
+def test_check_gold_reports_missing_tables(spark):
+    layers = layers_at(spark)
+    catalog.ensure_layers(spark, layers)
+    catalog.write_table(gold.dim_date(spark), layers.gold, "dim_date")
+    missing = pipeline.check_gold(spark, layers, CALENDAR).where("NOT passed")
+    assert missing.count() == 8 and missing.where("check = 'exists'").count() == 8

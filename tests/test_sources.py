@@ -49,9 +49,8 @@ def test_table_round_trip_and_schema_replacement(spark, layer, rows):
 
 
 def test_default_format(spark, layer, rows):
-    audience = seeds.example_audience(spark, ["Alpha", "Bravo", "Cedar", "Delta"])
-    catalog.write_table(audience, layer, "example_audience", fmt=None)
-    assert ("Bravo", "mobile", 1310, 180) in rows(catalog.read_table(spark, layer, "example_audience"))
+    audience = warehouse.load_example_audience(spark, layer, ["Alpha", "Bravo", "Cedar", "Delta"])
+    assert ("Bravo", "mobile", 1310, 180) in rows(audience)
 
 
 def test_probes(spark, layer):
@@ -144,9 +143,14 @@ def test_config_store(spark, layer):
     assert all(r.passed for r in warehouse.config_checks(config).collect())
 
 
-def test_sample_events(spark, rows):
-    top = reports.top_event_types(seeds.sample_events(spark))
+def test_sample_events(spark, layer):
+    events = warehouse.load_sample_events(spark, layer)
+    top = reports.top_event_types(events)
     assert [tuple(r) for r in top.collect()] == [("page_view", 2), ("click", 1), ("exit", 1)]
+    assert all(r.passed for r in warehouse.event_checks(events).collect())
+    faulty = events.drop("user_id").withColumn("event_id", F.lit(None).cast("int"))
+    failed = {(r.check, r.violations) for r in warehouse.event_checks(faulty).where("NOT passed").collect()}
+    assert failed == {("has_columns", 1), ("no_nulls", 5)}
 
 
 BRANDS = ("Alpha", "Bravo", "Cedar", "Delta", "Ember")
