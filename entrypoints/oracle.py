@@ -56,12 +56,12 @@ raw_content AS (
               AS DECIMAL(18,2)) AS DOUBLE) AS ad_revenue
   FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
 ), silver_content AS (
-  SELECT CAST(row_number() OVER (ORDER BY content_id) AS INTEGER) AS content_key, *
+  SELECT row_number() OVER (ORDER BY content_id) AS content_key, *
   FROM (SELECT * FROM raw_content
         QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY publish_date, title, brand, section,
                                    content_type, author, word_count) = 1)
 ), silver_subscriptions AS (
-  SELECT CAST(row_number() OVER (ORDER BY subscriber_id) AS INTEGER) AS subscriber_key, *
+  SELECT row_number() OVER (ORDER BY subscriber_id) AS subscriber_key, *
   FROM raw_subscriptions
 ), silver_engagement AS (
   SELECT event_id, event_timestamp, CAST(event_timestamp AS DATE) AS event_date, brand, content_id,
@@ -97,7 +97,7 @@ raw_content AS (
          plan AS subscriber_tier, channel AS acquisition_channel
   FROM silver_subscriptions LEFT JOIN dim_date ON signup_date = full_date
 ), dim_campaign AS (
-  SELECT CAST(row_number() OVER (ORDER BY campaign_id) AS INTEGER) AS campaign_key, campaign_id,
+  SELECT row_number() OVER (ORDER BY campaign_id) AS campaign_key, campaign_id,
          campaign_name, advertiser, channel, channel AS campaign_type
   FROM (SELECT DISTINCT campaign_id, campaign_name, advertiser, channel FROM silver_ad_impressions
         QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY campaign_name, advertiser, channel) = 1)
@@ -494,7 +494,7 @@ _sql(
 _sql("distinct_keys", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
 _sql(
     "surrogate_key",
-    """SELECT l_orderkey, CAST(row_number() OVER (ORDER BY l_orderkey) AS INTEGER) AS order_line_key
+    """SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) AS order_line_key
        FROM (SELECT DISTINCT l_orderkey FROM lineitem)""",
 )
 _sql(

@@ -410,8 +410,8 @@ def _silver(name: str, build) -> None:
         return build(retail.raw_tables(spark, folder)[source]).drop("load_timestamp")
 
 
-_silver("silver_content", silver.silver_content)
-_silver("silver_subscriptions", silver.silver_subscriptions)
+_silver("silver_content", lambda raw: silver.silver_content(raw, retail.KEY_TYPE))
+_silver("silver_subscriptions", lambda raw: silver.silver_subscriptions(raw, retail.KEY_TYPE))
 _silver("silver_engagement", silver.silver_engagement)
 _silver("silver_ad_impressions", silver.silver_ad_impressions)
 
@@ -441,7 +441,7 @@ def distinct_keys(spark, folder):
 @query("surrogate_key")
 def surrogate_key(spark, folder):
     orders = _t(spark, folder, "lineitem").select("l_orderkey").distinct()
-    return dense_key(orders, "l_orderkey", "order_line_key")
+    return dense_key(orders, "l_orderkey", "order_line_key", retail.KEY_TYPE)
 
 
 # --- gold -------------------------------------------------------------------------------
@@ -480,7 +480,8 @@ def dim_subscriber(spark, folder):
 
 @query("dim_campaign")
 def dim_campaign(spark, folder):
-    return gold.dim_campaign(star(spark, folder).silver["silver_ad_impressions"])
+    ads = star(spark, folder).silver["silver_ad_impressions"]
+    return gold.dim_campaign(ads, retail.KEY_TYPE)
 
 
 @query("fct_engagement")
@@ -833,7 +834,7 @@ def dq_critical_nulls(spark, folder):
 @query("dq_contract")
 def dq_contract(spark, folder):
     g = star(spark, folder).gold
-    return q.run_suite([pipeline.contract_checks(g)] + [q.not_empty(df, t) for t, df in g.items()])
+    return q.run_suite([pipeline.contract_checks(g, retail.KEY_TYPE)] + [q.not_empty(df, t) for t, df in g.items()])
 
 
 @query("dq_warehouse")

@@ -34,9 +34,14 @@ def build_star(spark: SparkSession, folder: str) -> Star:
     layers = Layers.for_stage(place.rsplit("/", 1)[-1].replace("-", "_"), location=place)
     ensure_layers(spark, layers)
     pipeline.load_bronze(spark, layers, retail.raw_tables(spark, folder))
-    pipeline.build_silver(spark, layers)
+    pipeline.build_silver(spark, layers, retail.KEY_TYPE)
     pipeline.build_gold(
-        spark, layers, retail.CALENDAR, retail.brands(spark, folder), retail.platforms(spark)
+        spark,
+        layers,
+        retail.CALENDAR,
+        retail.brands(spark, folder),
+        retail.platforms(spark),
+        retail.KEY_TYPE,
     )
     return Star(
         layers,

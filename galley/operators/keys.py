@@ -73,8 +73,8 @@ def dense_key(
 
     The offset table has one row per shuffle partition, whatever the size of the input;
     that is why it may use a global window and a broadcast. The default key type is the
-    32-bit integer the gold contract asks for; under ANSI an overflow is an error, pass
-    ``key_type="long"`` for tables beyond two billion rows.
+    32-bit integer of the gold contract. More than two billion rows do not fit (under ANSI
+    that is an error, not a wrong key); such tables take ``key_type="bigint"``.
     """
     spark = df.sparkSession
     by = F.col(order_by).asc_nulls_first()

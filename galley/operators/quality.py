@@ -230,12 +230,13 @@ def has_columns(df: DataFrame, table: str, names: Sequence[str]) -> DataFrame:
     return _from_schema(df.sparkSession, "has_columns", table, len(missing_columns(df, names)))
 
 
-def contract(df: DataFrame, table: str) -> DataFrame:
-    """Gold contract: ``*_key`` columns are 32-bit integers, no column is complex."""
+def contract(df: DataFrame, table: str, key_type: str = "int") -> DataFrame:
+    """Gold contract: no column is complex, and ``*_key`` columns are 32-bit integers, or
+    of the wider ``key_type`` chosen for very large tables."""
     nested = (T.ArrayType, T.MapType, T.StructType)
     faults = sum(
         isinstance(f.dataType, nested)
-        or (f.name.endswith("_key") and not isinstance(f.dataType, T.IntegerType))
+        or (f.name.endswith("_key") and f.dataType.simpleString() not in ("int", key_type))
         for f in df.schema.fields
     )
     return _from_schema(df.sparkSession, "contract", table, faults)

@@ -36,6 +36,12 @@ def date_key_of(day: date, calendar_start: date) -> int:
     return (day - calendar_start).days + 1
 
 
+def with_month(fact: DataFrame, calendar_start: date) -> DataFrame:
+    """Adds ``date_month`` (YYYYMM), computed from the date key, to partition a fact by."""
+    day = F.date_add(F.lit(calendar_start), F.col("date_key") - 1)
+    return fact.withColumn("date_month", F.year(day) * 100 + F.month(day))
+
+
 def dim_brand_from(values: DataFrame, column: str) -> DataFrame:
     """Brand dimension from the distinct brands of a table (few by nature)."""
     names = values.select(F.col(column).alias("brand_name")).distinct()
@@ -45,13 +51,7 @@ def dim_brand_from(values: DataFrame, column: str) -> DataFrame:
 def dim_content(content: DataFrame, brands: DataFrame) -> DataFrame:
     looked_up = left_lookup(content, Lookup(brands, "brand", "brand_name", {"brand_key": "brand_key"}))
     return looked_up.select(
-        F.col("content_key").cast("int"),
-        "content_id",
-        "title",
-        "section",
-        "content_type",
-        "author",
-        F.col("brand_key").cast("int"),
+        "content_key", "content_id", "title", "section", "content_type", "author", "brand_key"
     )
 
 
@@ -60,9 +60,9 @@ def dim_subscriber(subscriptions: DataFrame, dates: DataFrame) -> DataFrame:
         subscriptions, Lookup(dates, "signup_date", "full_date", {"date_key": "signup_date_key"})
     )
     return looked_up.select(
-        F.col("subscriber_key").cast("int"),
+        "subscriber_key",
         "subscriber_id",
-        F.col("signup_date_key").cast("int"),
+        "signup_date_key",
         "plan",
         "region",
         "channel",
@@ -71,11 +71,11 @@ def dim_subscriber(subscriptions: DataFrame, dates: DataFrame) -> DataFrame:
     )
 
 
-def dim_campaign(ads: DataFrame) -> DataFrame:
+def dim_campaign(ads: DataFrame, key_type: str = "int") -> DataFrame:
     """One row per campaign id; where its attributes vary, the smallest combination."""
     columns = ["campaign_id", "campaign_name", "advertiser", "channel"]
     kept = first_per_key(ads.select(*columns), ["campaign_id"])
-    keyed = dense_key(kept, "campaign_id", "campaign_key")
+    keyed = dense_key(kept, "campaign_id", "campaign_key", key_type)
     return keyed.select("campaign_key", *columns, F.col("channel").alias("campaign_type"))
 
 
@@ -125,19 +125,12 @@ def fct_engagement(
         ],
     )
     return keyed.select(
-        *[
-            F.col(c).cast("int")
-            for c in (
-                "date_key",
-                "brand_key",
-                "content_key",
-                "subscriber_key",
-                "platform_key",
-                "page_views",
-                "sessions",
-                "time_on_page_sec",
-            )
-        ]
+        "date_key",
+        "brand_key",
+        "content_key",
+        "subscriber_key",
+        "platform_key",
+        *[F.col(c).cast("int") for c in ("page_views", "sessions", "time_on_page_sec")],
     )
 
 
@@ -145,9 +138,9 @@ def fct_subscription(subscriptions: DataFrame, dates: DataFrame, brands: DataFra
     """Grain: one subscriber, dated at signup; ``new_flag`` is 1 throughout."""
     keyed = star_lookup(subscriptions, [_dates(dates, "signup_date"), _brands(brands)])
     return keyed.select(
-        F.col("date_key").cast("int"),
-        F.col("brand_key").cast("int"),
-        F.col("subscriber_key").cast("int"),
+        "date_key",
+        "brand_key",
+        "subscriber_key",
         flag(F.col("is_active")).alias("active_flag"),
         F.lit(1).alias("new_flag"),
         flag(~F.col("is_active")).alias("churned_flag"),
@@ -176,7 +169,10 @@ def fct_ad(
         ],
     )
     return keyed.select(
-        *[F.col(c).cast("int") for c in ("date_key", "brand_key", "campaign_key", "platform_key")],
+        "date_key",
+        "brand_key",
+        "campaign_key",
+        "platform_key",
         F.col("impressions").cast("int"),
         F.col("clicks").cast("int"),
         F.col("ad_revenue").cast(MONEY).alias("ad_revenue"),
@@ -206,8 +202,8 @@ def subscription_snapshot(
     spark = subscriptions.sparkSession
     first_day = F.lit(calendar_start)
     narrow = left_lookup(_stay(subscriptions, data_end), _brands(brands)).select(
-        F.col("brand_key").cast("int"),
-        F.col("subscriber_key").cast("int"),
+        "brand_key",
+        "subscriber_key",
         (F.datediff("signup_date", first_day) + 1).alias("signup_key"),
         (F.datediff("end_date", first_day) + 1).alias("end_key"),
         (F.datediff("churn_date", first_day) + 1).alias("churn_key"),

@@ -4,7 +4,8 @@
 fact table involved, joined on the grouping columns if there are several facts.
 
 * A dimension filter becomes a semi-join on the key, so it removes fact rows before any
-  other work; a date period becomes a range on ``date_key``, which reaches the file scan.
+  other work; a date period becomes a range on ``date_key``, which reaches the file scan,
+  and on ``date_month`` where the fact is partitioned by it, which skips whole folders.
 * Sums and counts are grouped by the foreign keys first and joined to the dimensions
   afterwards: the join sees one row per key combination, not one per fact row.
 * Distinct counts cannot be added up, so they are grouped by the final attributes; ratios
@@ -211,6 +212,9 @@ class StarModel:
         if period:
             low, high = (date_key_of(d, self.calendar_start) for d in period)
             rows = rows.where(F.col("date_key").between(low, high))
+            if "date_month" in rows.columns:
+                first, last = (d.year * 100 + d.month for d in period)
+                rows = rows.where(F.col("date_month").between(first, last))
         for table, condition in where.items():
             if table == fact:
                 rows = rows.where(condition)

@@ -70,17 +70,17 @@ def load_bronze(spark: SparkSession, layers: Layers, raw: Mapping[str, DataFrame
     )
 
 
-def build_silver(spark: SparkSession, layers: Layers) -> None:
+def build_silver(spark: SparkSession, layers: Layers, key_type: str = "int") -> None:
     builders = {
-        "silver_content": (silver.silver_content, "raw_content"),
-        "silver_subscriptions": (silver.silver_subscriptions, "raw_subscriptions"),
-        "silver_engagement": (silver.silver_engagement, "raw_engagement"),
-        "silver_ad_impressions": (silver.silver_ad_impressions, "raw_ad_impressions"),
+        "silver_content": lambda raw: silver.silver_content(raw, key_type),
+        "silver_subscriptions": lambda raw: silver.silver_subscriptions(raw, key_type),
+        "silver_engagement": silver.silver_engagement,
+        "silver_ad_impressions": silver.silver_ad_impressions,
     }
 
     def put(name: str) -> None:
-        build, source = builders[name]
-        rows = build(read_table(spark, layers.bronze, source))
+        source = name.replace("silver_", "raw_")
+        rows = builders[name](read_table(spark, layers.bronze, source))
         write_table(rows, layers.silver, name, layers.fmt)
 
     side_by_side([lambda t=t: put(t) for t in SILVER_TABLES])
@@ -92,13 +92,15 @@ def build_gold(
     calendar: Calendar,
     brands: DataFrame,
     platforms: DataFrame,
+    key_type: str = "int",
 ) -> None:
     """Dimensions are written and read back before the facts use them: their size is then
-    known to the optimizer, which broadcasts only those that are small."""
+    known to the optimizer, which broadcasts only those that are small. Facts are
+    partitioned by month and sorted by day."""
     s = {name: read_table(spark, layers.silver, name) for name in SILVER_TABLES}
 
-    def put(df: DataFrame, name: str, cluster_by: tuple[str, ...] = ()) -> DataFrame:
-        write_table(df, layers.gold, name, layers.fmt, overwrite_schema=True, cluster_by=cluster_by)
+    def put(df: DataFrame, name: str, **layout) -> DataFrame:
+        write_table(df, layers.gold, name, layers.fmt, overwrite_schema=True, **layout)
         return read_table(spark, layers.gold, name)
 
     dates, brand, platform, campaigns = side_by_side(
@@ -106,7 +108,7 @@ def build_gold(
             lambda: put(gold.dim_date(spark, calendar.start, calendar.end), "dim_date"),
             lambda: put(brands, "dim_brand"),
             lambda: put(platforms, "dim_platform"),
-            lambda: put(gold.dim_campaign(s["silver_ad_impressions"]), "dim_campaign"),
+            lambda: put(gold.dim_campaign(s["silver_ad_impressions"], key_type), "dim_campaign"),
         ]
     )
     content, subscribers = side_by_side(
@@ -122,7 +124,10 @@ def build_gold(
         "fct_subscription": gold.fct_subscription(s["silver_subscriptions"], dates, brand),
         "fct_ad": gold.fct_ad(s["silver_ad_impressions"], dates, brand, campaigns, platform),
     }
-    side_by_side([lambda f=f: put(facts[f], f, ("date_key",)) for f in FACTS])
+    layout = {"partition_by": ["date_month"], "cluster_by": ["date_key"]}
+    side_by_side(
+        [lambda f=f: put(gold.with_month(facts[f], calendar.start), f, **layout) for f in FACTS]
+    )
 
 
 def load_model(spark: SparkSession, layers: Layers, calendar: Calendar) -> StarModel:
@@ -190,15 +195,17 @@ def row_count_checks(silver_tables: Mapping[str, DataFrame], facts: Mapping[str,
     )
 
 
-def contract_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
-    return q.run_suite([q.contract(tables[t], t) for t in GOLD_TABLES])
+def contract_checks(tables: Mapping[str, DataFrame], key_type: str = "int") -> DataFrame:
+    return q.run_suite([q.contract(tables[t], t, key_type) for t in GOLD_TABLES])
 
 
 def reconciliation(model: StarModel, tolerance: float = 0.01) -> DataFrame:
     return q.reconcile(measured_values(model), expected_values(model.tables), tolerance)
 
 
-def check_gold(spark: SparkSession, layers: Layers, calendar: Calendar) -> DataFrame:
+def check_gold(
+    spark: SparkSession, layers: Layers, calendar: Calendar, key_type: str = "int"
+) -> DataFrame:
     """All checks of an existing gold layer; if tables are missing, only that is reported."""
     present = q.tables_exist(spark, layers.gold, GOLD_TABLES)
     if q.summarise(present).first().failed:
@@ -208,7 +215,7 @@ def check_gold(spark: SparkSession, layers: Layers, calendar: Calendar) -> DataF
         [
             present,
             gold_checks(model.tables),
-            contract_checks(model.tables),
+            contract_checks(model.tables, key_type),
             q.reconciliation_checks(reconciliation(model)),
         ]
     )
@@ -224,6 +231,7 @@ def run(
     calendar: Calendar,
     brands: DataFrame,
     platforms: DataFrame,
+    key_type: str = "int",
 ) -> DataFrame:
     """Build all layers; stop with ``QualityError`` at the first layer whose checks fail.
 
@@ -235,14 +243,16 @@ def run(
     bronze = {t: read_table(spark, layers.bronze, t) for t in BRONZE_TABLES}
     q.gate(bronze_checks(bronze))
 
-    build_silver(spark, layers)
+    build_silver(spark, layers, key_type)
     silver_tables = {t: read_table(spark, layers.silver, t) for t in SILVER_TABLES}
     q.gate(silver_checks(silver_tables))
 
-    build_gold(spark, layers, calendar, brands, platforms)
+    build_gold(spark, layers, calendar, brands, platforms, key_type)
     facts = {f: read_table(spark, layers.gold, f) for f in FACTS}
     q.gate(
-        row_count_checks(silver_tables, facts).unionByName(check_gold(spark, layers, calendar))
+        row_count_checks(silver_tables, facts).unionByName(
+            check_gold(spark, layers, calendar, key_type)
+        )
     )
     return counts(spark, layers)
 

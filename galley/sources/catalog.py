@@ -57,22 +57,31 @@ def write_table(
     name: str,
     fmt: str | None = "parquet",
     overwrite_schema: bool = False,
+    partition_by: Sequence[str] = (),
     cluster_by: Sequence[str] = (),
     mode: str = "overwrite",
 ) -> None:
     """Replace (or append to) a managed table.
 
     ``fmt=None`` takes the session's default format. Parquet tables always take the new
-    schema on overwrite; the option is for formats that ask for it. ``cluster_by`` sorts
-    inside each task, without a shuffle, so that row-group statistics can skip data for
-    filters on those columns. A job must not overwrite a table it reads.
+    schema on overwrite; the option is for formats that ask for it. A job must not
+    overwrite a table it reads.
+
+    ``partition_by`` gives one folder per value, which filters on those columns skip. The
+    rows are rebalanced on them first: few files per folder, and Spark splits a folder that
+    would be too large for one task. ``cluster_by`` sorts inside each task, so that
+    row-group statistics skip data for filters on those columns.
     """
-    rows = df.sortWithinPartitions(*cluster_by) if cluster_by else df
+    rows = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+    if cluster_by:
+        rows = rows.sortWithinPartitions(*partition_by, *cluster_by)
     writer = rows.write.mode(mode)
     if fmt:
         writer = writer.format(fmt)
     if overwrite_schema:
         writer = writer.option("overwriteSchema", "true")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(_quoted(layer, name))
 
 

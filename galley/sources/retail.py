@@ -33,6 +33,9 @@ PRICES = {
 }
 OTHER_PRICE = 14.99
 
+# These tables may hold more rows than 32-bit keys can number.
+KEY_TYPE = "bigint"
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
