@@ -260,14 +260,14 @@ def _days(rows: DataFrame, column: str) -> DataFrame:
 @query("gen_engagement")
 def gen_engagement(spark, folder):
     days = _days(_t(spark, folder, "events"), "ts")
-    rows = synthetic.gen_engagement(synthetic.daily_rows(days, 1000), GENERATED_BRANDS)
+    rows = synthetic.gen_engagement(synthetic.daily_rows(days), GENERATED_BRANDS)
     return rows.withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp_ntz"))
 
 
 @query("gen_ads")
 def gen_ads(spark, folder):
     days = _days(_t(spark, folder, "lineitem"), "l_shipdate")
-    rows = synthetic.gen_ads(synthetic.daily_rows(days, 1000), GENERATED_BRANDS)
+    rows = synthetic.gen_ads(synthetic.daily_rows(days), GENERATED_BRANDS)
     return rows.groupBy("brand", "campaign_name", "platform").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct("campaign_id").alias("campaigns"),

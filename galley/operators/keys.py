@@ -52,7 +52,8 @@ def with_row_id(df: DataFrame, source: str, name: str, prefix: str, width: int =
 def dense_key_small(df: DataFrame, order_by: str, name: str) -> DataFrame:
     """1..n by ``order_by`` through one global sort.
 
-    For tables bounded by design (brands, partitions, days). It sorts in a single task.
+    It sorts in a single task, so it is only for tables with a known bound, such as a
+    calendar or a static list; ``dense_key`` gives the same keys at any size.
     """
     window = Window.orderBy(F.col(order_by).asc_nulls_first())
     return df.withColumn(name, F.row_number().over(window).cast("int"))

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galley.functions.columns import MONEY, calendar_columns, flag
-from galley.operators.keys import dense_key, dense_key_small, first_per_key
+from galley.operators.keys import dense_key, first_per_key
 from galley.operators.lookup import Lookup, left_lookup, star_lookup
 from galley.session import spread_partitions
 
-# Fixed range of the reference calendar.
+# Fixed range of the default calendar.
 CALENDAR_START = date(2026, 3, 25)
 CALENDAR_END = date(2027, 6, 23)
 
@@ -42,10 +42,10 @@ def with_month(fact: DataFrame, calendar_start: date) -> DataFrame:
     return fact.withColumn("date_month", F.year(day) * 100 + F.month(day))
 
 
-def dim_brand_from(values: DataFrame, column: str) -> DataFrame:
-    """Brand dimension from the distinct brands of a table (few by nature)."""
+def dim_brand_from(values: DataFrame, column: str, key_type: str = "int") -> DataFrame:
+    """Brand dimension from the distinct brands of a table, keyed in the order of names."""
     names = values.select(F.col(column).alias("brand_name")).distinct()
-    return dense_key_small(names, "brand_name", "brand_key").select("brand_key", "brand_name")
+    return dense_key(names, "brand_name", "brand_key", key_type).select("brand_key", "brand_name")
 
 
 def dim_content(content: DataFrame, brands: DataFrame) -> DataFrame:

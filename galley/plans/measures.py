@@ -297,9 +297,9 @@ class StarModel:
         elif names:
             joined = drill_across(frames, names)
         else:
-            # One row each: line them up on a constant key.
-            keyed = [f.withColumn("__one", F.lit(1)) for f in frames]
-            joined = reduce(lambda a, b: a.join(b, "__one"), keyed)
+            # One row each, with different columns: stack them and keep what is not null.
+            stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+            joined = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
         result = joined.select(*names, *[_finished(m).alias(m.name) for m in wanted])
         if order_by:
             result = result.orderBy(*order_by, *[F.col(n).asc_nulls_first() for n in names])

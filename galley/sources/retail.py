@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from galley.functions.columns import MONEY, prefixed_id, price_of
 from galley.plans.gold import dim_brand_from
 from galley.plans.pipeline import Calendar
+from galley.sources.files import read_parquet
 from galley.sources.seeds import dim_platform
 
 CALENDAR = Calendar(date(1995, 1, 1), date(2024, 12, 31))
@@ -40,7 +41,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_parquet(spark, f"{folder}/{name}.parquet")
 
 
 def sales_customer(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
