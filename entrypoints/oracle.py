@@ -901,6 +901,10 @@ ORACLE["dq_warehouse"] = f"WITH customers AS ({_CUSTOMERS}), placed AS ({_ORDERS
     ]
 )
 
+ORACLE["warehouse_assertions"] = ORACLE["dq_warehouse"] + _union(
+    ["", *(_check("exists", f"sales.{t}", "0", "(SELECT 1)") for t in ("customer", "order"))]
+)
+
 _RECONCILED = [
     "page_views", "sessions", "mrr", "active_subscribers", "new_subscribers",
     "churned_subscribers", "ad_revenue", "ad_impressions", "ad_clicks",

@@ -844,6 +844,16 @@ def dq_warehouse(spark, folder):
     )
 
 
+@query("warehouse_assertions")
+def warehouse_assertions(spark, folder):
+    """Checks of the stored tables, their existence included."""
+    layer = _layer(spark, "sales")
+    catalog.write_table(_customers(spark, folder), layer, "customer")
+    catalog.write_table(retail.sales_order(_t(spark, folder, "orders")), layer, "order")
+    checks = warehouse.check_warehouse(spark, layer)
+    return checks.withColumn("target", F.replace("target", F.lit(layer), F.lit("sales")))
+
+
 @query("reconcile")
 def reconcile(spark, folder):
     return pipeline.reconciliation(star(spark, folder).model)

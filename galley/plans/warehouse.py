@@ -17,7 +17,9 @@ from galley.operators.quality import (
     rule_non_negative,
     rule_not_empty,
     run_suite,
+    summarise,
     table_checks,
+    tables_exist,
     unique,
 )
 from galley.sources import seeds
@@ -71,6 +73,24 @@ def config_checks(config: DataFrame) -> DataFrame:
     return run_suite([not_empty(config, "config"), unique(config, "config", ["config_key"])])
 
 
+def check_warehouse(spark: SparkSession, layer: str) -> DataFrame:
+    """All checks of a stored warehouse; if tables are missing, only that is reported."""
+    present = tables_exist(spark, layer, ("customer", "order"))
+    if summarise(present).first().failed:
+        return present
+    checks = warehouse_checks(
+        read_table(spark, layer, "customer"), read_table(spark, layer, "order")
+    )
+    return present.unionByName(checks)
+
+
+def check_config_store(spark: SparkSession, layer: str) -> DataFrame:
+    present = tables_exist(spark, layer, ("config",))
+    if summarise(present).first().failed:
+        return present
+    return present.unionByName(config_checks(read_table(spark, layer, "config")))
+
+
 def load_sample_events(spark: SparkSession, layer: str) -> DataFrame:
     write_table(seeds.sample_events(spark), layer, "sample_events", overwrite_schema=True)
     return read_table(spark, layer, "sample_events")

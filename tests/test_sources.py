@@ -118,7 +118,8 @@ def test_sales_warehouse(spark, layer, rows):
         (3, "TechStart LLC", "Asia Pacific", 1, Decimal("5000.00"), date(2026, 6, 20)),
         (4, "Quiet Ltd", "Europe", 0, None, None),
     ]
-    assert all(r.passed for r in warehouse.warehouse_checks(customers, orders).collect())
+    checks = warehouse.check_warehouse(spark, layer).collect()
+    assert all(r.passed for r in checks) and len(checks) == 10
 
     catalog.seed(
         spark, layer, "order", [(104, 9, date(2026, 6, 1), Decimal("-1.00"), "x")], schemas.SALES_ORDER
@@ -140,7 +141,15 @@ def test_config_store(spark, layer):
     assert found["log_level"][0] == "INFO"
     assert found["api_endpoint"][0] == "https://uat-api.example.com"
     assert found["none"] is None
-    assert all(r.passed for r in warehouse.config_checks(config).collect())
+    assert all(r.passed for r in warehouse.check_config_store(spark, layer).collect())
+
+
+def test_missing_tables_are_reported(spark, layer):
+    catalog.ensure_table(spark, layer, "customer", schemas.SALES_CUSTOMER)
+    failed = warehouse.check_warehouse(spark, layer).where("NOT passed").collect()
+    assert [r.target for r in failed] == [f"{layer}.order"]
+    assert not warehouse.check_config_store(spark, layer).first().passed
+    assert not warehouse.check_config_store(spark, "no_such_layer").first().passed
 
 
 def test_sample_events(spark, layer):
