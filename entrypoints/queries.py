@@ -407,7 +407,7 @@ def _silver(name: str, build) -> None:
 
     @query(name)
     def run(spark, folder):
-        return build(retail.raw_tables(spark, folder)[source]).drop("load_timestamp")
+        return build(star(spark, folder).bronze[source]).drop("load_timestamp")
 
 
 _silver("silver_content", lambda raw: silver.silver_content(raw, retail.KEY_TYPE))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions.columns import as_boolean, as_day, enforce, with_audit
-from galley.operators.keys import dense_key, distinct_on, first_per_key
+from galley.operators.keys import dense_key, distinct_on_ids, first_per_key
 
 CONTENT_COLUMNS = [
     "content_key",
@@ -79,7 +79,7 @@ def _event_table(
 ) -> DataFrame:
     # Deduplicate first: a duplicate is settled before its measures are judged, as the
     # filter must see the surviving row only.
-    kept = distinct_on(raw, [key])
+    kept = distinct_on_ids(raw, key)
     typed = enforce(kept, {c: "int" for c in integers}).withColumn(*day)
     return typed.where(F.col(positive) > 0)
 

@@ -1,7 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from galley.operators.keys import dense_key, dense_key_small, distinct_on, first_per_key
+from galley.operators.keys import (
+    dense_key,
+    dense_key_small,
+    distinct_on,
+    distinct_on_ids,
+    first_per_key,
+)
 
 ROWS = [
     ("a", 3, "x"),
@@ -66,3 +72,31 @@ def test_dense_key_broadcasts_offsets_only(spark):
     plan = keyed._jdf.queryExecution().executedPlan().toString()
     broadcast = plan[plan.index("BroadcastExchange") :]
     assert "HashAggregate(keys=[__part" in broadcast
+
+
+@pytest.mark.parametrize("few,share", [(0, 1.0), (5, 1.0), (1000, 0.1), (1000, 1.0)])
+def test_distinct_ids_equal_the_plain_way(spark, rows, few, share):
+    """Too many keys for the limit, too many rows, and within both."""
+    many = spark.range(3000).select(
+        F.when(F.col("id") % 100 == 0, F.lit(None))
+        .when(F.col("id") % 3 == 0, F.lit("hot"))
+        .otherwise(F.concat(F.lit("e"), F.col("id") - F.col("id") % 2))
+        .alias("k"),
+        (F.col("id") % 17).alias("v"),
+        "id",
+    )
+    assert rows(distinct_on_ids(many, "k", few, share)) == rows(distinct_on(many, ["k"]))
+
+
+def test_unique_ids_are_not_shuffled(spark):
+    unique = spark.range(1000).select("id", (F.col("id") % 7).alias("v"))
+    plan = distinct_on_ids(unique, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_few_repeats_leave_the_other_rows_in_place(spark):
+    some = spark.range(1000).union(spark.range(3)).select("id", (F.col("id") % 7).alias("v"))
+    kept = distinct_on_ids(some, "id")
+    assert kept.count() == 1000
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti, BuildRight" in plan and "LeftSemi, BuildRight" in plan
