@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.llm import language_ecoc, quality_qda
+from galley.llm import jaccard_join, language_ecoc, packing, quality_qda
 from galley.llm.shared import table, workers_import_this
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,3 +33,13 @@ def op9(spark, folder):
 @query("op10_language_ecoc")
 def op10(spark, folder):
     return language_ecoc.identified(table(spark, folder, "documents"))
+
+
+@query("op3_ngram_jaccard_join")
+def op3(spark, folder):
+    return jaccard_join.joined(table(spark, folder, "documents"))
+
+
+@query("op5_best_fit_packing")
+def op5(spark, folder):
+    return packing.digests(table(spark, folder, "documents"))
