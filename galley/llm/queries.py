@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.llm import jaccard_join, language_ecoc, packing, quality_qda
+from galley.llm import jaccard_join, language_ecoc, packing, perplexity_rules, quality_qda
 from galley.llm.shared import table, workers_import_this
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,8 @@ def op3(spark, folder):
 @query("op5_best_fit_packing")
 def op5(spark, folder):
     return packing.digests(table(spark, folder, "documents"))
+
+
+@query("op4_ngram_perplexity")
+def op4(spark, folder):
+    return perplexity_rules.judged(table(spark, folder, "documents"))
