@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.llm import jaccard_join, language_ecoc, packing, perplexity_rules, quality_qda
+from galley.llm import jaccard_join, language_ecoc, packing, perplexity_rules, quality_qda, toxicity
 from galley.llm.shared import table, workers_import_this
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,8 @@ def op5(spark, folder):
 @query("op4_ngram_perplexity")
 def op4(spark, folder):
     return perplexity_rules.judged(table(spark, folder, "documents"))
+
+
+@query("op2_toxicity_kneser_ney")
+def op2(spark, folder):
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
