@@ -10,30 +10,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from galley.llm import jaccard_join, language_ecoc, packing, quality_qda
-from galley.llm.shared import pinned, table, workers_import_this
+from galley.llm.shared import pinned, prepared, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    workers_import_this(spark)
+    prepared(spark)
     return quality_qda.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter and one clearly nearest language."""
-    workers_import_this(spark)
+    prepared(spark)
     return language_ecoc.kept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id."""
-    workers_import_this(spark)
+    prepared(spark)
     return jaccard_join.kept(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in sequences."""
-    workers_import_this(spark)
+    prepared(spark)
     return packing.digests(docs)
 
 

@@ -19,8 +19,6 @@ Rows that repeat an id stay or go together. Other columns are neither read nor d
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -33,7 +31,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 HASHES = 160
-BLOCK = 512
+BLOCK = 256
 FILTER_BITS = 23
 _APART = bytes(b for b in range(33, 127) if not bytes([b]).isalnum())
 _FOLD = bytes(range(256)).translate(
@@ -106,7 +104,7 @@ def representatives(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame
     """``doc_id, set_a, set_b, size, bands`` of each row; two hashes name the set of n-grams."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 1000):
             sets = batch_shingles(batch["text"], n)
             yield pd.DataFrame(
                 {
@@ -123,33 +121,40 @@ def representatives(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame
     )
 
 
-def _membership_filter(ids: DataFrame) -> Callable[[Column], Column]:
-    """A test that is true for all ids given; a bitmap of fixed size, or-ed together by tasks."""
-    bits = 1 << FILTER_BITS
+class _Members:
+    """A bitmap of fixed size that is true for all ids it was made of, and for few others."""
 
-    def slot(x: pd.Series) -> np.ndarray:
-        return (_mix(x.to_numpy(dtype=np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+    def __init__(self, ids: DataFrame) -> None:
+        def partial(batches):
+            seen = np.zeros(1 << FILTER_BITS, dtype=bool)
+            for batch in batches:
+                seen[_Members.slot(batch["rep"])] = True
+            words = np.packbits(seen).view(np.int64)
+            (at,) = np.nonzero(words)
+            yield pd.DataFrame({"at": at, "word": words[at]})
 
-    def partial(batches):
-        seen = np.zeros(bits, dtype=bool)
-        for batch in batches:
-            seen[slot(batch["rep"])] = True
-        words = np.packbits(seen).view(np.int64)
-        (at,) = np.nonzero(words)
-        yield pd.DataFrame({"at": at, "word": words[at]})
+        parts = ids.select("rep").where("rep is not null").mapInPandas(partial, "at int, word long")
+        got = parts.groupBy("at").agg(F.expr("bit_or(word)").alias("word")).toPandas()  # 2^17 rows at most
+        words = np.zeros((1 << FILTER_BITS) // 64, dtype=np.int64)
+        words[got["at"].to_numpy(dtype=np.int64)] = got["word"].to_numpy(dtype=np.int64)
+        self.packed = words.view(np.uint8)
+
+    @staticmethod
+    def slot(x: pd.Series) -> np.ndarray:
+        mixed = _mix(x.to_numpy(dtype=np.int64).view(np.uint64))
+        return (mixed & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
-    rows = ids.select("rep").mapInPandas(partial, "at int, word long").groupBy("at").agg(F.expr("bit_or(word)").alias("word"))
-    got = rows.toPandas()  # at most 2^17 rows, whatever the input
-    words = np.zeros(bits // 64, dtype=np.int64)
-    words[got["at"].to_numpy(dtype=np.int64)] = got["word"].to_numpy(dtype=np.int64)
-    packed = words.view(np.uint8)
+    def may_hold(self, x: pd.Series) -> np.ndarray:
+        """False only for ids it was not made of; null ids are none."""
+        at = self.slot(x.fillna(0).astype(np.int64))
+        return ((self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0) & x.notna().to_numpy()
 
-    @F.pandas_udf("boolean")
-    def test(x: pd.Series) -> pd.Series:
-        at = slot(x.fillna(-1).astype(np.int64))
-        return pd.Series((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0)
+    def column(self, ids: Column) -> Column:
+        @F.pandas_udf("boolean")
+        def test(x: pd.Series) -> pd.Series:
+            return pd.Series(self.may_hold(x))
 
-    return test
+        return test(ids.cast("long"))
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -193,8 +198,7 @@ def _links(group: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarra
     band = int(group["band"].iloc[0])
     signatures = np.stack(group["bands"].to_list())
     common = intersections(sets).astype(np.float64)
-    union = sizes[:, None] + sizes[None, :] - common
-    fits = common >= threshold * union - 1e-9
+    fits = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
     if side.max() > side.min():
         fits &= side[:, None] != side[None, :]
     i, j = np.nonzero(np.triu(fits, 1))
@@ -249,13 +253,13 @@ def verified(docs: DataFrame, reps: DataFrame, n: int, threshold: float) -> Data
         )
     )
     members = pinned(members, "members")
-    wanted = _membership_filter(members.select("rep"))
-    compared = reps.where(F.col("size") > 0).where(wanted(F.col("rep")))
+    wanted = _Members(members)
+    compared = reps.where(F.col("size") > 0).where(wanted.column(F.col("rep")))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    texts = texts.where(wanted(F.col("rep")))
 
     def grams(batches):
-        for batch in slices(batches, 500):
+        for batch in slices(batches, 1000):
+            batch = batch[wanted.may_hold(batch["rep"])]
             sets = batch_shingles(batch["text"], n)
             yield pd.DataFrame(
                 {
@@ -379,7 +383,7 @@ def kept(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall:
     classes = pinned(joined(docs, n, threshold, recall), "classes")
     lost = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("rep")).distinct()
     # only rows that the fixed-size filter cannot clear are moved for the anti-join
-    doubtful = F.coalesce(_membership_filter(lost)(F.col("doc_id").cast("long")), F.lit(False))
+    doubtful = _Members(lost).column(F.col("doc_id"))
     cleared = docs.where(~doubtful)
     rest = docs.where(doubtful).join(lost, F.col("doc_id").cast("long") == F.col("rep"), "left_anti")
     return cleared.unionByName(rest)

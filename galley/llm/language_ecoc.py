@@ -239,7 +239,7 @@ def decoded(book: Codebook) -> Callable[[Column], Column]:
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def run(text: pd.Series) -> pd.DataFrame:
-        parts = [book.decode(text.iloc[k : k + 2000]) for k in range(0, len(text), 2000)]
+        parts = [book.decode(text.iloc[k : k + 1000]) for k in range(0, len(text), 1000)]
         return pd.concat(parts, ignore_index=True) if parts else book.decode(text)
 
     return run

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from galley.llm import jaccard_join, language_ecoc, packing, perplexity_rules, quality_qda, toxicity
-from galley.llm.shared import table, workers_import_this
+from galley.llm.shared import table, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -16,7 +16,7 @@ QUERIES: dict[str, Query] = {}
 def query(name: str) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            workers_import_this(spark)
+            prepared(spark)
             return build(spark, folder)
 
         QUERIES[name] = run

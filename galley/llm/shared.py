@@ -21,12 +21,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def workers_import_this(spark: SparkSession) -> None:
-    """Lets Python workers import the package that the driver has imported.
+TEXTS_PER_BATCH = 1000
 
-    The workers' search path is the one the session was started with; a driver that found the
-    package by another way (a changed ``sys.path``) would send them functions they cannot load.
+
+def prepared(spark: SparkSession) -> None:
+    """Sets a session up for these operators.
+
+    Texts are long: batches of ``TEXTS_PER_BATCH`` rows keep Python workers small. And workers
+    must be able to import the package that the driver has imported: their search path is the one
+    the session was started with, so the place of the package is added to it.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
@@ -92,7 +97,7 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
-def slices(batches: Iterable, size: int = 2000) -> Iterable:
+def slices(batches: Iterable, size: int = TEXTS_PER_BATCH) -> Iterable:
     """Frames of at most ``size`` rows, so a worker's memory does not follow the batch setting."""
     for batch in batches:
         for start in range(0, len(batch), size):

@@ -68,7 +68,7 @@ class Scorer:
 
         @F.pandas_udf("double")
         def run(text: pd.Series) -> pd.Series:
-            parts = [evidence(text.iloc[k : k + 2000], sent.value) for k in range(0, len(text), 2000)]
+            parts = [evidence(text.iloc[k : k + 1000], sent.value) for k in range(0, len(text), 1000)]
             x = np.concatenate(parts) if parts else np.zeros((0, 3))
             return pd.Series(sigmoid(x @ weights[:-1] + weights[-1]))
 
@@ -103,7 +103,7 @@ def fit(
 
     @F.pandas_udf("array<double>")
     def seen(text: pd.Series) -> pd.Series:
-        parts = [evidence(text.iloc[k : k + 2000], sent.value) for k in range(0, len(text), 2000)]
+        parts = [evidence(text.iloc[k : k + 1000], sent.value) for k in range(0, len(text), 1000)]
         return pd.Series([list(map(float, x)) for part in parts for x in part])
 
     got = known.select(seen("text").alias("x"), "y").toPandas()  # at most about max_calibration rows
