@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from galley.llm import jaccard_join, language_ecoc, packing, perplexity_rules, quality_qda, toxicity
-from galley.llm.shared import table, prepared
+from pyspark.sql import functions as F
+
+from galley.llm import (
+    html_extract,
+    jaccard_join,
+    language_ecoc,
+    license_rules,
+    nn_descent,
+    packing,
+    perplexity_rules,
+    quality_qda,
+    sentencepiece_dropout,
+    toxicity,
+)
+from galley.llm.shared import prepared, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +65,23 @@ def op4(spark, folder):
 @query("op2_toxicity_kneser_ney")
 def op2(spark, folder):
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_tag_path_ratios")
+def op8(spark, folder):
+    return html_extract.extracted(table(spark, folder, "pages"))
+
+
+@query("op7_license_rules")
+def op7(spark, folder):
+    return license_rules.scanned(table(spark, folder, "documents"))
+
+
+@query("op1_sentencepiece_dropout")
+def op1(spark, folder):
+    return sentencepiece_dropout.digests(table(spark, folder, "documents"))
+
+
+@query("op6_nn_descent")
+def op6(spark, folder):
+    return nn_descent.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
