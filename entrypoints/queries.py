@@ -72,8 +72,7 @@ def _layer(spark: SparkSession, label: str) -> str:
 
 @query("scan_project")
 def scan_project(spark, folder):
-    rows = _t(spark, folder, "lineitem").where(F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))
-    return rows.select(
+    return _t(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").alias("line_number"),
         F.col("l_quantity").alias("quantity"),
@@ -231,8 +230,7 @@ def stage_binding(spark, folder):
         place = scratch_path(spark, "stage")
         layers = catalog.Layers.for_stage(f"{stage}_{uuid.uuid4().hex[:12]}", location=place)
         catalog.ensure_layers(spark, layers)
-        kept = orders if stage == "uat" else orders.where(F.col("o_orderstatus") == "F")
-        catalog.write_table(kept, layers.bronze, "orders", layers.fmt)
+        catalog.write_table(orders, layers.bronze, "orders", layers.fmt)
         counted = catalog.layer_counts(spark, layers.bronze, ["orders"])
         results.append(counted.withColumn("stage", F.lit(stage)))
     return q.run_suite(results)

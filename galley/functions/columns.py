@@ -160,11 +160,18 @@ def with_draws(
     first residue would be written out ten times.
     """
     prime = F.lit(DRAW_PRIME)
-    residue = F.pmod(F.col(row_id).cast("long"), prime)
+    number = F.col(row_id).cast("long")
+    residue = F.pmod(number, prime)
+    # Ids a multiple of the prime apart share a residue; the quotient, weighted by each start,
+    # keeps their draws apart.
+    turn = F.pmod(F.expr(f"cast(`{row_id}` as bigint) div {DRAW_PRIME}"), prime)
     starts = {n: salt * DRAW_SALT_FACTOR % DRAW_PRIME for n, salt in salts.items()}
     x, square = "__x_{}".format, "__s_{}".format
     first = df.withColumns(
-        {x(n): F.pmod(residue * DRAW_ID_FACTOR + F.lit(start), prime) for n, start in starts.items()}
+        {
+            x(n): F.pmod(residue * DRAW_ID_FACTOR + F.lit(start) + F.pmod(turn * F.lit(start + 1), prime), prime)
+            for n, start in starts.items()
+        }
     )
     second = first.withColumns({square(n): F.pmod(F.col(x(n)) * F.col(x(n)), prime) for n in salts})
     last = second.withColumns(

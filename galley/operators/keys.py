@@ -44,44 +44,26 @@ def distinct_on(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return first_per_key(df, keys)
 
 
-# Repeated key hashes that are worth a broadcast: 8 bytes each, 8 MB in all.
-FEW_REPEATS = 1_000_000
-# Share of rows with a repeated key up to which two reads cost less than one shuffle.
-SMALL_SHARE = 0.05
-
-
-def distinct_on_ids(
-    df: DataFrame, key: str, few: int = FEW_REPEATS, share: float = SMALL_SHARE
-) -> DataFrame:
+def distinct_on_ids(df: DataFrame, key: str) -> DataFrame:
     """``distinct_on`` for a table whose ids are expected to be unique already.
 
-    Looking for repeats shuffles one 8-byte hash per row instead of the rows. Without
-    repeats the table is returned as it is. With a few (counted, and kept in a scratch
-    table), the rows whose hash repeats are deduplicated and all others pass by. With many,
-    the whole table is deduplicated. Different ids with the same hash only take the longer
-    way; the result is the same on all three.
+    Looking for repeats shuffles one 8-byte hash per row instead of the rows. Rows whose hash
+    occurs once pass by; those whose hash repeats are deduplicated. Different ids with the same
+    hash only take the longer way. One plan for every size: the joins carry no hint, so Spark
+    broadcasts the repeated hashes where it has measured them to be few and shuffles otherwise.
 
-    The table is read up to three times, so it should be a written one.
+    The table is read three times, so it should be a written one.
     """
-    spark = df.sparkSession
-    hashed = F.xxhash64(key)
-    path = scratch_path(spark, f"repeats-{key}")
-    (
-        df.groupBy(hashed.alias("__hash"))
+    tagged = df.withColumn("__hash", F.xxhash64(key))
+    repeats = (
+        tagged.groupBy(F.col("__hash").alias("__again"))
         .agg(F.count(F.lit(1)).alias("__rows"))
         .where(F.col("__rows") > 1)
-        .write.parquet(path)
+        .select("__again")
     )
-    repeats = spark.read.schema("__hash bigint, __rows bigint").parquet(path)
-    hashes, rows = repeats.agg(F.count("__hash"), F.coalesce(F.sum("__rows"), F.lit(0))).first()
-    if hashes == 0:
-        return df
-    if hashes > few or rows > share * df.count():
-        return distinct_on(df, [key])
-    known = F.broadcast(repeats.select("__hash"))
-    tagged = df.withColumn("__hash", hashed)
-    single = tagged.join(known, "__hash", "left_anti").drop("__hash")
-    repeated = tagged.join(known, "__hash", "left_semi").drop("__hash")
+    same = F.col("__hash") == F.col("__again")
+    single = tagged.join(repeats, same, "left_anti").drop("__hash")
+    repeated = tagged.join(repeats, same, "left_semi").drop("__hash")
     return single.unionByName(distinct_on(repeated, [key]))
 
 
@@ -90,16 +72,6 @@ def with_row_id(df: DataFrame, source: str, name: str, prefix: str, width: int =
     return df.withColumn(name, prefixed_id(prefix, F.col(source), width))
 
 
-def dense_key_small(df: DataFrame, order_by: str, name: str) -> DataFrame:
-    """1..n by ``order_by`` through one global sort.
-
-    It sorts in a single task, so it is only for tables with a known bound, such as a
-    calendar or a static list; ``dense_key`` gives the same keys at any size.
-    """
-    window = Window.orderBy(F.col(order_by).asc_nulls_first())
-    return df.withColumn(name, F.row_number().over(window).cast("int"))
-
-
 def dense_key(
     df: DataFrame, order_by: str, name: str, key_type: str = "int", partitions: int | None = None
 ) -> DataFrame:

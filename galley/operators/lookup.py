@@ -13,8 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-NULL_SPREAD = 64
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -33,7 +32,8 @@ def left_lookup(fact: DataFrame, look: Lookup) -> DataFrame:
     """Left join to a dimension that is unique on its key; keeps every fact row once.
 
     Rows with a null key match nothing, but a plain shuffle join would send all of them
-    to one partition. With ``spread_nulls_by`` they get one of 64 stand-in keys instead.
+    to one partition. With ``spread_nulls_by`` a hash of that column stands in for the key, so
+    they spread over all partitions, however many there are.
     The real equality stays in the join condition, so a stand-in can never match.
     """
     picked = look.dim.select(
@@ -42,8 +42,9 @@ def left_lookup(fact: DataFrame, look: Lookup) -> DataFrame:
     condition = fact[look.fact_key] == picked["__key"]
     if look.spread_nulls_by:
         kind = fact.schema[look.fact_key].dataType
-        bucket = F.pmod(F.xxhash64(fact[look.spread_nulls_by]), F.lit(NULL_SPREAD))
-        stand_in = F.coalesce(fact[look.fact_key], (-1 - bucket).cast(kind))
+        narrow = isinstance(kind, T.IntegerType)  # a 64-bit hash does not fit
+        hashed = (F.hash if narrow else F.xxhash64)(fact[look.spread_nulls_by])
+        stand_in = F.coalesce(fact[look.fact_key], hashed.cast(kind))
         condition = (stand_in == picked["__key"]) & condition
     return fact.join(picked, condition, "left").drop("__key")
 

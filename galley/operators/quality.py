@@ -52,7 +52,9 @@ def rule_no_null(column: str) -> Rule:
 
 
 def rule_non_negative(column: str) -> Rule:
-    return Rule("non_negative", column, F.count_if(F.col(column) < 0))
+    """Negative values; a nan is no amount and counts too."""
+    value = F.col(column)
+    return Rule("non_negative", column, F.count_if((value < 0) | F.isnan(value.cast("double"))))
 
 
 def rule_expect(name: str, condition: Column) -> Rule:
@@ -61,9 +63,10 @@ def rule_expect(name: str, condition: Column) -> Rule:
 
 
 def rule_no_gaps(column: str) -> Rule:
-    """One row for each day between the first and the last."""
+    """One row for each day between the first and the last: missing and repeated days count."""
     expected = F.datediff(F.max(column), F.min(column)) + 1
-    return Rule("no_gaps", column, F.abs(expected - F.count(F.lit(1))))
+    days = F.count_distinct(column)
+    return Rule("no_gaps", column, (expected - days) + (F.count(F.lit(1)) - days))
 
 
 def table_checks(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:

@@ -183,9 +183,19 @@ def fct_ad(
 
 
 def _stay(subscriptions: DataFrame, data_end: date) -> DataFrame:
-    """Subscriptions with the last day they are on record."""
-    end = F.coalesce(F.col("churn_date"), F.lit(data_end))
-    return subscriptions.withColumn("end_date", end).where(F.col("end_date") >= F.col("signup_date"))
+    """Subscriptions with the last day they are on record, ``data_end`` at the latest.
+
+    A churn after the end of the data has not been seen yet and is dropped. A churn before the
+    signup is no stay; ``silver_checks`` counts such rows.
+    """
+    end = F.lit(data_end)
+    seen = F.when(F.col("churn_date") <= end, F.col("churn_date"))
+    known = F.coalesce(F.col("churn_date") >= F.col("signup_date"), F.lit(True))
+    return (
+        subscriptions.where(known & (F.col("signup_date") <= end))
+        .withColumn("churn_date", seen)
+        .withColumn("end_date", F.coalesce(F.col("churn_date"), end))
+    )
 
 
 def subscription_snapshot(
@@ -193,6 +203,9 @@ def subscription_snapshot(
 ) -> DataFrame:
     """Grain: subscriber and day, from signup to the churn day or the end of the data.
 
+    Days before the calendar are left out; a subscriber of that time starts on its first day,
+    not as new.
+
     Active on every day before the churn day, new on the first day, churned on the churn
     day. The lookups run per subscriber; days are added last, as a run of date keys
     (arithmetic on the calendar start) on a narrow row, so the expanded rows never
@@ -210,7 +223,10 @@ def subscription_snapshot(
         F.col("mrr").cast(MONEY).alias("mrr"),
     )
     spread = narrow.repartition(spread_partitions(spark), "subscriber_key")
-    daily = spread.withColumn("date_key", F.explode(F.sequence("signup_key", "end_key")))
+    inside = spread.where(F.col("end_key") >= 1)
+    daily = inside.withColumn(
+        "date_key", F.explode(F.sequence(F.greatest("signup_key", F.lit(1)), F.col("end_key")))
+    )
     churns = F.coalesce(F.col("date_key") == F.col("churn_key"), F.lit(False))
     return daily.select(
         "date_key",
@@ -230,9 +246,11 @@ def subscription_daily_totals(
 
     Each subscriber contributes a change on the day it appears and another on the day
     after it is last seen; the totals are the running sum of the changes over the
-    calendar. Work grows with subscribers, not with subscribers times days. The running
-    sum is over one row per calendar day.
+    calendar. Changes before the calendar make its opening balance. Work grows with
+    subscribers, not with subscribers times days. The running sum is over one row per
+    calendar day.
     """
+    first_day = dates.agg(F.min("full_date")).scalar()
     mrr = F.col("mrr").cast(MONEY)
     left = flag(F.col("churn_date").isNotNull())
     on_record = [
@@ -264,6 +282,13 @@ def subscription_daily_totals(
     changes = (
         _stay(subscriptions, data_end)
         .select(F.inline(F.array(*on_record)))
+        .select(
+            F.greatest(F.col("day"), first_day).alias("day"),
+            "rows",
+            "active",
+            *[F.when(F.col("day") >= first_day, F.col(c)).otherwise(0).alias(c) for c in ("new", "churned")],
+            "mrr",
+        )
         .groupBy("day")
         .agg(*[F.sum(c).alias(c) for c in ("rows", "active", "new", "churned", "mrr")])
     )

@@ -154,6 +154,16 @@ def silver_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
             "silver_engagement": "event_id", "silver_ad_impressions": "impression_id"}
     return q.run_suite(
         [q.not_empty(tables[t], t) for t in SILVER_TABLES]
+        + [
+            q.table_checks(
+                tables["silver_subscriptions"],
+                "silver_subscriptions",
+                [
+                    q.rule_no_null("signup_date"),
+                    q.rule_expect("churn_after_signup", F.col("churn_date") >= F.col("signup_date")),
+                ],
+            )
+        ]
         + [q.unique(tables[t], t, [k]) for t, k in keys.items()]
     )
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -39,25 +38,17 @@ def spread_partitions(spark: SparkSession) -> int:
     return max(shuffles, spark.sparkContext.defaultParallelism)
 
 
-_local_scratch: dict[str, str] = {}
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may run without that setting; it then gets one temporary folder
-    per application. On a cluster a machine-local folder would be lost with its machine,
-    so the missing setting is an error there.
+    Where that is unset, as in tests, a folder in the session's warehouse takes its place: the
+    warehouse is shared by the driver and all executors too.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="galley-")
-    return _local_scratch[app]
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return f"{warehouse}/scratch-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -82,12 +82,15 @@ def raw_content(part: DataFrame) -> DataFrame:
 def raw_subscriptions(
     customer: DataFrame, orders: DataFrame, nation: DataFrame, region: DataFrame
 ) -> DataFrame:
-    """Signup at the first order; churned at the last one if it is before the cutoff."""
+    """Signup at the first order; churned at the last one if it is before the cutoff.
+
+    Customers without an order stay, with a null signup date that the silver checks count.
+    """
     day = F.to_date("o_orderdate")
     spans = orders.groupBy("o_custkey").agg(F.min(day).alias("first"), F.max(day).alias("last"))
-    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = customer.join(spans, F.col("c_custkey") == F.col("o_custkey")).join(
-        places, F.col("c_nationkey") == F.col("n_nationkey")
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    rows = customer.join(spans, F.col("c_custkey") == F.col("o_custkey"), "left").join(
+        places, F.col("c_nationkey") == F.col("n_nationkey"), "left"
     )
     gone = F.col("last") < F.lit(CHURN_CUTOFF)
     return rows.select(

@@ -65,7 +65,7 @@ def sample_events(spark: SparkSession) -> DataFrame:
 
 
 def example_audience(spark: SparkSession, brands: Sequence[str]) -> DataFrame:
-    rows = [(b, *f) for b, f in zip(brands, EXAMPLE_AUDIENCE_FIGURES, strict=False)]
+    rows = [(b, *f) for b, f in zip(brands, EXAMPLE_AUDIENCE_FIGURES, strict=True)]
     return spark.createDataFrame(rows, schemas.EXAMPLE_AUDIENCE)
 
 

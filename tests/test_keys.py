@@ -1,9 +1,9 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from galley.operators.keys import (
     dense_key,
-    dense_key_small,
     distinct_on,
     distinct_on_ids,
     first_per_key,
@@ -55,7 +55,8 @@ def test_hot_key_is_reduced_before_the_shuffle(spark):
 @pytest.mark.parametrize("partitions", [1, 4, 16])
 def test_dense_key_equals_the_global_sort(spark, rows, partitions):
     names = spark.range(3000).select(F.concat(F.lit("n"), F.col("id") * 37 % 3001).alias("name"))
-    small = dense_key_small(names, "name", "key")
+    order = Window.orderBy("name")
+    small = names.withColumn("key", F.row_number().over(order))
     large = dense_key(names.repartition(partitions), "name", "key", partitions=partitions)
     assert rows(large, "name", "key") == rows(small, "name", "key")
     assert dict(large.dtypes)["key"] == "int"
@@ -74,10 +75,8 @@ def test_dense_key_broadcasts_offsets_only(spark):
     assert "HashAggregate(keys=[__part" in broadcast
 
 
-@pytest.mark.parametrize("few,share", [(0, 1.0), (5, 1.0), (1000, 0.1), (1000, 1.0)])
-def test_distinct_ids_equal_the_plain_way(spark, rows, few, share):
-    """Too many keys for the limit, too many rows, and within both."""
-    many = spark.range(3000).select(
+def _with_repeats(spark):
+    return spark.range(3000).select(
         F.when(F.col("id") % 100 == 0, F.lit(None))
         .when(F.col("id") % 3 == 0, F.lit("hot"))
         .otherwise(F.concat(F.lit("e"), F.col("id") - F.col("id") % 2))
@@ -85,18 +84,27 @@ def test_distinct_ids_equal_the_plain_way(spark, rows, few, share):
         (F.col("id") % 17).alias("v"),
         "id",
     )
-    assert rows(distinct_on_ids(many, "k", few, share)) == rows(distinct_on(many, ["k"]))
 
 
-def test_unique_ids_are_not_shuffled(spark):
-    unique = spark.range(1000).select("id", (F.col("id") % 7).alias("v"))
-    plan = distinct_on_ids(unique, "id")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Window" not in plan
-
-
-def test_few_repeats_leave_the_other_rows_in_place(spark):
-    some = spark.range(1000).union(spark.range(3)).select("id", (F.col("id") % 7).alias("v"))
-    kept = distinct_on_ids(some, "id")
-    assert kept.count() == 1000
-    plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "LeftAnti, BuildRight" in plan and "LeftSemi, BuildRight" in plan
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_distinct_ids_equal_the_plain_way(spark, rows, threshold):
+    """A hot id, null ids, pairs and single ids, with and without a broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        many = _with_repeats(spark)
+        assert rows(distinct_on_ids(many, "k")) == rows(distinct_on(many, ["k"]))
+        unique = many.select("id", "v")
+        assert rows(distinct_on_ids(unique, "id")) == rows(unique)
+        assert distinct_on_ids(many.limit(0), "k").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_distinct_ids_run_no_job_while_they_are_built(spark):
+    group = "building"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        distinct_on_ids(_with_repeats(spark), "k")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -248,6 +248,40 @@ def test_daily_totals_equal_the_snapshot(layers, rows):
     assert rows(fast) == rows(slow)
 
 
+def test_snapshot_and_totals_agree_outside_the_range(spark, rows):
+    """Signups before the calendar, churn after the end of the data, before the signup, before the calendar."""
+    day = date.fromisoformat
+    subscriptions = spark.createDataFrame(
+        [
+            (1, "Alpha", day("2026-01-01"), None, 10.0),
+            (2, "Alpha", day("2026-01-05"), day("2026-04-02"), 20.0),
+            (3, "Alpha", day("2026-04-02"), day("2026-04-20"), 5.0),
+            (4, "Alpha", day("2026-04-03"), day("2026-04-01"), 7.0),
+            (5, "Alpha", day("2026-01-01"), day("2026-02-01"), 9.0),
+            (6, "Alpha", day("2026-05-01"), None, 9.0),
+        ],
+        "subscriber_key int, brand string, signup_date date, churn_date date, mrr double",
+    )
+    brands = spark.createDataFrame([(1, "Alpha")], "brand_key int, brand_name string")
+    start, end = day("2026-04-01"), day("2026-04-04")
+    dates = gold.dim_date(spark, start, day("2026-04-10"))
+    snapshot = gold.subscription_snapshot(subscriptions, brands, start, end)
+    assert rows(snapshot, "date_key", "subscriber_key", "active_flag", "new_flag", "churned_flag") == sorted(
+        [(d, 1, 1, 0, 0) for d in (1, 2, 3, 4)]
+        + [(1, 2, 1, 0, 0), (2, 2, 0, 0, 1)]
+        + [(2, 3, 1, 1, 0), (3, 3, 1, 0, 0), (4, 3, 1, 0, 0)],
+        key=repr,
+    )
+    slow = snapshot.groupBy("date_key").agg(
+        F.count(F.lit(1)).alias("subscribers"),
+        F.sum("active_flag").alias("active"),
+        F.sum("new_flag").alias("new"),
+        F.sum("churned_flag").alias("churned"),
+        F.sum("mrr").alias("mrr"),
+    )
+    assert rows(gold.subscription_daily_totals(subscriptions, dates, end)) == rows(slow)
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 16])
 def test_silver_does_not_depend_on_partitioning(raw_ads, raw_content, rows, partitions):
     for build, raw in ((silver.silver_ad_impressions, raw_ads), (silver.silver_content, raw_content)):

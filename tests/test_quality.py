@@ -55,6 +55,16 @@ def test_missing_day_is_a_gap(spark):
     assert result(q.no_gaps(whole, "t", "d")) == {("no_gaps", "t.d"): (0, True)}
 
 
+def test_a_repeated_day_does_not_hide_a_missing_one(spark):
+    days = spark.createDataFrame([(1,), (1,), (3,)], "n int").select(F.make_date(F.lit(2024), F.lit(1), "n").alias("d"))
+    assert result(q.no_gaps(days, "t", "d")) == {("no_gaps", "t.d"): (2, False)}
+
+
+def test_a_nan_is_no_amount(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (-1.0,), (None,)], "x double")
+    assert result(q.non_negative(df, "t", ["x"])) == {("non_negative", "t.x"): (2, False)}
+
+
 def test_foreign_keys_count_rows_and_skip_nulls(spark):
     fact = spark.createDataFrame([(1,), (7,), (7,), (None,)], "k int")
     dim = spark.createDataFrame([(1,), (2,)], "k int")

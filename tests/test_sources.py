@@ -23,7 +23,9 @@ def layer(spark):
 def _session(master, shared):
     """A stand-in: the setting of a running session cannot be changed."""
     return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default: shared),
+        conf=SimpleNamespace(
+            get=lambda key, *default: shared if key == "spark.checkpoint.dir" else "hdfs://warehouse"
+        ),
         sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"),
     )
 
@@ -35,10 +37,8 @@ def test_scratch_follows_the_session_setting():
 
 
 def test_scratch_is_never_machine_local_on_a_cluster():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_root(_session("spark://host:7077", None))
-    local = _session("local[2]", None)
-    assert scratch_root(local) == scratch_root(local)
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "local[2]"):
+        assert scratch_root(_session(master, None)) == f"hdfs://warehouse/scratch-app-{master}"
 
 
 def test_table_round_trip_and_schema_replacement(spark, layer, rows):
