@@ -220,8 +220,9 @@ def _trust(book: Codebook, rows: DataFrame, most: int) -> np.ndarray:
         right = np.zeros_like(book.code)
         seen = np.zeros(len(place))
         for batch in slices(batches):
+            batch = batch[batch["lang"].isin(list(place))]  # a language may have no letters to learn from
             margins = np.nan_to_num(book.margins(batch["text"]))
-            k = batch["lang"].map(place).to_numpy()
+            k = batch["lang"].map(place).to_numpy(dtype=np.int64)
             np.add.at(right, k, (margins * book.code[k] > 0).astype(float))
             np.add.at(seen, k, 1)
         i, j = np.indices(right.shape).reshape(2, -1)
