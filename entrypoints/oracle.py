@@ -1,4 +1,7 @@
-"""The named queries in ANSI SQL, written independently of the library.
+"""The named queries in ANSI SQL.
+
+The SQL is written independently of the library. The constants of the generator, its salts and the
+list of relationships are taken from it, as both sides must mean the same ones.
 
 Each text is complete: the star schema is spelled out as common table expressions over the
 retail tables.
@@ -222,6 +225,21 @@ _star(
         for t in tables
     ),
 )
+_sql(
+    "sample_loads",
+    """SELECT 'nation' AS "table", count(*) AS rows FROM nation
+       UNION ALL SELECT 'example_audience', 4 UNION ALL SELECT 'sample_events', 5""",
+)
+_sql(
+    "table_description",
+    """SELECT col_name, data_type, (SELECT count(*) FROM nation) AS rows
+       FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int'), ('Provider', 'parquet'))
+            AS t(col_name, data_type)""",
+)
+_star(
+    "audit_columns",
+    " UNION ALL ".join(f'SELECT \'{t}\' AS "table", count(*) AS rows FROM {t}' for t in _SILVER),
+)
 _sql(
     "stage_binding",
     """SELECT 'orders' AS "table", count(*) AS rows, 'dev' AS stage FROM orders
@@ -243,6 +261,12 @@ def _int(row: str, name: str, low: int, high: int) -> str:
     return f"CAST({low} + {_draw(row, synthetic.salt(name))} % {high - low + 1} AS INTEGER)"
 
 
+def _upto(row: str, name: str, table: str) -> str:
+    """From 1 to the number of rows of a table."""
+    rows = f"(SELECT count(*) FROM {table})"
+    return f"CAST(1 + {_draw(row, synthetic.salt(name))} % {rows} AS INTEGER)"
+
+
 def _choice(row: str, name: str, values: tuple[str, ...]) -> str:
     items = ", ".join(f"'{v}'" for v in values)
     return f"([{items}])[CAST({_draw(row, synthetic.salt(name))} % {len(values)} + 1 AS INTEGER)]"
@@ -312,9 +336,9 @@ _sql(
     "gen_engagement",
     f"""SELECT {_padded("EVT", "id", 12)} AS event_id, {_moment("id")} AS event_timestamp,
                {_choice("id", "ev_brand", _BRANDS)} AS brand,
-               {_padded("CNT", _int("id", "content", 1, 2000), 6)} AS content_id,
+               {_padded("CNT", _upto("id", "content", "part"), 6)} AS content_id,
                CASE WHEN {_fraction("id", "known")} < 0.6::DOUBLE
-                    THEN {_padded("SUB", _int("id", "subscriber", 1, 50000), 7)} END AS subscriber_id,
+                    THEN {_padded("SUB", _upto("id", "subscriber", "customer"), 7)} END AS subscriber_id,
                {_choice("id", "platform", synthetic.PLATFORMS)} AS platform,
                {_int("id", "views", 1, 12)} AS page_views, CAST(1 AS INTEGER) AS sessions,
                CAST({_int("id", "views", 1, 12)} * {_int("id", "seconds", 30, 300)} AS INTEGER) AS time_on_page_sec

@@ -221,6 +221,38 @@ def layer_counts(spark, folder):
     return counted.withColumn("layer", F.element_at(F.split("layer", "_"), -1))
 
 
+@query("sample_loads")
+def sample_loads(spark, folder):
+    """Sample tables beside a given one, in the session's default format and with a new schema."""
+    layer = _layer(spark, "sample")
+    catalog.write_table(_t(spark, folder, "nation").select("n_name"), layer, "nation", fmt=None)
+    audience = warehouse.load_example_audience(spark, layer, GENERATED_BRANDS[:4])
+    samples = warehouse.load_sample_events(spark, layer)
+    nations = catalog.read_table(spark, layer, "nation")
+    return catalog.row_counts({"nation": nations, "example_audience": audience, "sample_events": samples})
+
+
+@query("table_description")
+def table_description(spark, folder):
+    """The extended description of a written table: its columns, and what it says of itself."""
+    layer = _layer(spark, "described")
+    catalog.write_table(_t(spark, folder, "nation"), layer, "nation", fmt="parquet")
+    told = catalog.describe(spark, layer, "nation")
+    rows = catalog.read_table(spark, layer, "nation").agg(F.count(F.lit(1)).alias("rows"))
+    kept = told.where(F.col("col_name").isin("n_nationkey", "n_name", "n_regionkey", "Provider"))
+    return kept.select("col_name", F.lower("data_type").alias("data_type")).withColumn("rows", rows.scalar())
+
+
+@query("audit_columns")
+def audit_columns(spark, folder):
+    """Rows of each silver table with a load time that is not in the future."""
+    s = star(spark, folder)
+    loaded = {
+        name: table.where(F.col("load_timestamp") <= F.current_timestamp()) for name, table in s.silver.items()
+    }
+    return catalog.row_counts(loaded)
+
+
 @query("stage_binding")
 def stage_binding(spark, folder):
     """The same load under two stages, each with its own layers."""
@@ -258,7 +290,8 @@ def _days(rows: DataFrame, column: str) -> DataFrame:
 @query("gen_engagement")
 def gen_engagement(spark, folder):
     days = _days(_t(spark, folder, "events"), "ts")
-    rows = synthetic.gen_engagement(synthetic.daily_rows(days), GENERATED_BRANDS)
+    sizes = [_t(spark, folder, t).agg(F.count(F.lit(1))).scalar() for t in ("part", "customer")]
+    rows = synthetic.gen_engagement(synthetic.daily_rows(days), GENERATED_BRANDS, *sizes)
     return rows.withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp_ntz"))
 
 

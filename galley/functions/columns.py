@@ -183,8 +183,8 @@ def with_draws(
     return last.drop(*[x(n) for n in salts], *[square(n) for n in salts])
 
 
-def drawn_int(draw: Column, low: int, high: int) -> Column:
-    """Integer in [low, high], both ends included."""
+def drawn_int(draw: Column, low: int, high: int | Column) -> Column:
+    """Integer in [low, high], both ends included; the upper end may be a count of rows."""
     return (F.lit(low) + F.pmod(draw, F.lit(high - low + 1))).cast("int")
 
 

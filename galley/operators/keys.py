@@ -72,39 +72,39 @@ def with_row_id(df: DataFrame, source: str, name: str, prefix: str, width: int =
     return df.withColumn(name, prefixed_id(prefix, F.col(source), width))
 
 
-def dense_key(
-    df: DataFrame, order_by: str, name: str, key_type: str = "int", partitions: int | None = None
+def number_ids(
+    ids: DataFrame, column: str, name: str, key_type: str = "int", partitions: int | None = None
 ) -> DataFrame:
-    """1..n by a unique column, for tables of any size.
-
-    1. Range-partition and sort by the column, so partition p holds smaller values than
-       partition p + 1, and tag every row with its partition and its position in it.
-    2. Write the tagged rows to the shared scratch folder. Range bounds are sampled, so a
-       recomputed plan could cut elsewhere; the written table pins the cut for both reads
-       below and cuts the lineage.
-    3. Count rows per partition (reads the tag column only), add up the counts of earlier
+    """``(column, name)``: the distinct values of a column numbered 1..n in their order.
+
+    1. Range-partition and sort the distinct values, so partition p holds smaller values than
+       partition p + 1, and tag each with its partition and its position in it.
+    2. Write the tagged values, and nothing else, to the shared scratch folder. Range bounds are
+       sampled, so a recomputed plan could cut elsewhere; the written table pins the cut for
+       both reads below and cuts the lineage.
+    3. Count values per partition (reads the tag column only), add up the counts of earlier
        partitions, and join the offsets back.
 
     The offset table has one row per shuffle partition, whatever the size of the input;
     that is why it may use a global window and a broadcast. The default key type is the
-    32-bit integer of the gold contract. More than two billion rows do not fit (under ANSI
+    32-bit integer of the gold contract. More than two billion values do not fit (under ANSI
     that is an error, not a wrong key); such tables take ``key_type="bigint"``.
     """
-    spark = df.sparkSession
-    by = F.col(order_by).asc_nulls_first()
+    spark = ids.sparkSession
+    by = F.col(column).asc_nulls_first()
+    distinct = ids.select(column).distinct()
     ranged = (
-        df.repartitionByRange(partitions, by) if partitions else df.repartitionByRange(by)
+        distinct.repartitionByRange(partitions, by) if partitions else distinct.repartitionByRange(by)
     ).sortWithinPartitions(by)
     # monotonically_increasing_id() is partition << 33 | position within the partition.
-    tagged = ranged.withColumn("__tag", F.monotonically_increasing_id()).withColumns(
-        {
-            "__part": F.shiftright(F.col("__tag"), 33).cast("int"),
-            "__pos": F.col("__tag").bitwiseAND(F.lit((1 << 33) - 1)),
-        }
+    tagged = ranged.withColumn("__tag", F.monotonically_increasing_id()).select(
+        column,
+        F.shiftright(F.col("__tag"), 33).cast("int").alias("__part"),
+        F.col("__tag").bitwiseAND(F.lit((1 << 33) - 1)).alias("__pos"),
     )
-    path = scratch_path(spark, f"dense-{name}")
-    tagged.drop("__tag").write.parquet(path)
-    pinned = spark.read.parquet(path)
+    path = scratch_path(spark, f"ids-{name}")
+    tagged.write.parquet(path)
+    pinned = spark.read.schema(tagged.schema).parquet(path)
 
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -115,8 +115,25 @@ def dense_key(
             F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__offset"),
         )
     )
-    return (
-        pinned.join(F.broadcast(offsets), "__part")
-        .withColumn(name, (F.col("__offset") + F.col("__pos") + 1).cast(key_type))
-        .drop("__part", "__pos", "__offset")
+    return pinned.join(F.broadcast(offsets), "__part").select(
+        column, (F.col("__offset") + F.col("__pos") + 1).cast(key_type).alias(name)
     )
+
+
+def dense_key(
+    df: DataFrame,
+    order_by: str,
+    name: str,
+    key_type: str = "int",
+    partitions: int | None = None,
+    ids: DataFrame | None = None,
+) -> DataFrame:
+    """1..n by a unique column, for tables of any size.
+
+    Only the column itself is sorted and pinned (``number_ids``); the numbers are then joined to
+    the rows, which move once. ``ids`` may name a cheaper source of the same values, such as the
+    table before it was deduplicated.
+    """
+    numbers = number_ids(df if ids is None else ids, order_by, name, key_type, partitions)
+    renamed = numbers.withColumnRenamed(order_by, "__id")
+    return df.join(renamed, F.col(order_by).eqNullSafe(F.col("__id"))).drop("__id")

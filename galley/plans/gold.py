@@ -75,7 +75,7 @@ def dim_campaign(ads: DataFrame, key_type: str = "int") -> DataFrame:
     """One row per campaign id; where its attributes vary, the smallest combination."""
     columns = ["campaign_id", "campaign_name", "advertiser", "channel"]
     kept = first_per_key(ads.select(*columns), ["campaign_id"])
-    keyed = dense_key(kept, "campaign_id", "campaign_key", key_type)
+    keyed = dense_key(kept, "campaign_id", "campaign_key", key_type, ids=ads)
     return keyed.select("campaign_key", *columns, F.col("channel").alias("campaign_type"))
 
 

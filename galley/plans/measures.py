@@ -196,8 +196,16 @@ class StarModel:
             raise ValueError(f"{dim} does not filter {fact}") from None
 
     def last_day(self, fact: str) -> date:
-        """The latest day with facts: one number from a one-column aggregate."""
-        top = self.tables[fact].agg(F.max("date_key")).first()[0]
+        """The latest day with facts.
+
+        Facts are partitioned by month: the last month is found without reading a column, and
+        days are read from its files only.
+        """
+        rows = self.tables[fact]
+        if "date_month" in rows.columns:
+            month = rows.agg(F.max("date_month")).first()[0]
+            rows = rows.where(F.col("date_month") == F.lit(month)) if month is not None else rows
+        top = rows.agg(F.max("date_key")).first()[0]
         if top is None:
             raise ValueError(f"{fact} has no dated rows")
         return self.calendar_start + timedelta(days=top - 1)

@@ -62,7 +62,7 @@ AD_COLUMNS = [
 def silver_content(raw: DataFrame, key_type: str = "int") -> DataFrame:
     """One row per content id (earliest publish date), with a dense key."""
     kept = first_per_key(raw, ["content_id"], ["publish_date"])
-    keyed = dense_key(kept, "content_id", "content_key", key_type)
+    keyed = dense_key(kept, "content_id", "content_key", key_type, ids=raw)
     return with_audit(keyed.select(*CONTENT_COLUMNS))
 
 
@@ -70,7 +70,7 @@ def silver_subscriptions(raw: DataFrame, key_type: str = "int") -> DataFrame:
     """One row per subscriber id (latest signup), with a dense key and a real boolean."""
     kept = first_per_key(raw, ["subscriber_id"], [F.col("signup_date").desc_nulls_last()])
     typed = kept.withColumn("is_active", as_boolean(F.col("is_active")))
-    keyed = dense_key(typed, "subscriber_id", "subscriber_key", key_type)
+    keyed = dense_key(typed, "subscriber_id", "subscriber_key", key_type, ids=raw)
     return with_audit(keyed.select(*SUBSCRIPTION_COLUMNS))
 
 

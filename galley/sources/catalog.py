@@ -38,7 +38,8 @@ def _quoted(*parts: str) -> str:
 
 
 def ensure_layer(spark: SparkSession, name: str, location: str | None = None) -> None:
-    where = f" LOCATION '{location}/{name}'" if location else ""
+    place = f"{location}/{name}".replace("\\", "\\\\").replace("'", "\\'")
+    where = f" LOCATION '{place}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(name)}{where}")
 
 

@@ -210,8 +210,8 @@ def _moment() -> Column:
 def gen_engagement(
     rows: DataFrame,
     brands: Sequence[str],
-    contents: int = 5 * ITEMS_PER_BRAND,
-    subscribers: int = SUBSCRIBERS,
+    contents: int | Column = 5 * ITEMS_PER_BRAND,
+    subscribers: int | Column = SUBSCRIBERS,
     seed: int = SEED,
 ) -> DataFrame:
     """Page events for rows of (id, day); about 60 % have a subscriber."""

