@@ -614,20 +614,7 @@ def orphan_keys_query(spark, folder):
 def relationship_rows(spark, folder):
     """Every relationship: rows of the fact and rows that find their dimension row."""
     model = star(spark, folder).model
-    return q.run_suite(
-        [
-            model.tables[fact].select(key)
-            .groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-            .join(model.tables[dim].select(key, F.lit(1).alias("hit")), key, "left")
-            .agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-                F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)).alias("matched"),
-            )
-            .select(F.lit(fact).alias("fact"), F.lit(dim).alias("dim"), "rows", "matched")
-            for fact, dims in RELATIONSHIPS.items()
-            for dim, key in dims.items()
-        ]
-    )
+    return q.link_rows(model.tables, RELATIONSHIPS).select("fact", "dim", "rows", "matched")
 
 
 @query("drill_across")
@@ -795,11 +782,7 @@ def dq_referential(spark, folder):
     customers, lines = _t(spark, folder, "customer"), _t(spark, folder, "lineitem")
     return q.run_suite(
         [
-            q.fk_exists(g[f], f, key, g[d], d, key)
-            for f, dims in RELATIONSHIPS.items()
-            for d, key in dims.items()
-        ]
-        + [
+            q.star_links_exist(g, RELATIONSHIPS),
             q.fk_exists(orders, "orders", "o_custkey", customers, "customer", "c_custkey"),
             q.fk_exists(lines, "lineitem", "l_orderkey", finished, "finished", "o_orderkey"),
         ]

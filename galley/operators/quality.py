@@ -171,43 +171,57 @@ def unique_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, str]) -> Dat
     return _per_target(every_key.sparkSession, "unique", targets, found)
 
 
-def star_links_exist(
+def link_rows(
     tables: Mapping[str, DataFrame], relationships: Mapping[str, Mapping[str, str]]
 ) -> DataFrame:
-    """``fk_exists`` for every relationship of a star with integer keys.
+    """``(fact, dim, key, rows, keyed, matched)`` of every relationship of a star with integer keys.
 
-    Each fact is read once and counted per (relationship, key) with map-side combining;
-    one anti-join against the keys of all dimensions finds the orphans of all
-    relationships.
+    ``rows`` are all rows of the fact, ``keyed`` those with a key, ``matched`` those whose key the
+    dimension has. Each fact is read once and counted per (relationship, key) with map-side
+    combining; the counts are joined once to the keys of that fact's dimensions.
     """
-
-    def name(fact: str, dim: str, key: str) -> str:
-        return f"{fact}.{key}->{dim}.{key}"
-
-    used, known, targets = [], [], []
+    parts = []
     for fact, dims in relationships.items():
         pairs = [
-            F.struct(
-                F.lit(name(fact, dim, key)).alias("target"), F.col(key).cast("long").alias("key")
-            )
+            F.struct(F.lit(dim).alias("dim"), F.lit(key).alias("key"), F.col(key).cast("long").alias("value"))
             for dim, key in dims.items()
         ]
-        used.append(tables[fact].select(F.inline(F.array(*pairs))))
-        for dim, key in dims.items():
-            target = name(fact, dim, key)
-            targets.append(target)
-            known.append(
-                tables[dim].select(F.lit(target).alias("target"), F.col(key).cast("long").alias("key"))
-            )
-    counted = (
-        run_suite(used)
-        .where(F.col("key").isNotNull())
-        .groupBy("target", "key")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        counted = (
+            tables[fact]
+            .select(F.inline(F.array(*pairs)))
+            .groupBy("dim", "key", "value")
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        known = run_suite(
+            [
+                tables[dim].select(F.lit(dim).alias("__dim"), F.col(key).cast("long").alias("__value"))
+                for dim, key in dims.items()
+            ]
+        )
+        same = (F.col("dim") == F.col("__dim")) & (F.col("value") == F.col("__value"))
+        parts.append(counted.join(known, same, "left").withColumn("fact", F.lit(fact)))
+    n = F.col("n")
+    return (
+        run_suite(parts)
+        .groupBy("fact", "dim", "key")
+        .agg(
+            F.sum(n).alias("rows"),
+            F.coalesce(F.sum(F.when(F.col("value").isNotNull(), n)), F.lit(0)).alias("keyed"),
+            F.coalesce(F.sum(F.when(F.col("__value").isNotNull(), n)), F.lit(0)).alias("matched"),
+        )
+    )
+
+
+def star_links_exist(
+    tables: Mapping[str, DataFrame], relationships: Mapping[str, Mapping[str, str]]
+) -> DataFrame:
+    """``fk_exists`` for every relationship of a star, from one ``link_rows``."""
+    target = F.format_string("%s.%s->%s.%s", "fact", "key", "dim", "key")
+    found = link_rows(tables, relationships).select(
+        target.alias("target"), (F.col("keyed") - F.col("matched")).alias("n")
     )
-    missing = counted.join(run_suite(known), ["target", "key"], "left_anti")
-    found = missing.groupBy("target").agg(F.sum("rows").alias("n"))
-    return _per_target(counted.sparkSession, "fk_exists", targets, found)
+    targets = [f"{f}.{k}->{d}.{k}" for f, dims in relationships.items() for d, k in dims.items()]
+    return _per_target(found.sparkSession, "fk_exists", targets, found)
 
 
 def same_count(before: DataFrame, after: DataFrame, target: str) -> DataFrame:
