@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,20 +29,32 @@ class Star:
 _built: dict[tuple[str, str], Star] = {}
 
 
-def build_star(spark: SparkSession, folder: str) -> Star:
-    """Write bronze, silver and gold tables of the folder to a fresh place."""
+def _plain(step: str, run: Callable[[], object]) -> object:
+    return run()
+
+
+def build_star(
+    spark: SparkSession, folder: str, step: Callable[[str, Callable[[], object]], object] = _plain
+) -> Star:
+    """Write bronze, silver and gold tables of the folder to a fresh place.
+
+    ``step(name, run)`` runs each layer; a caller may time it.
+    """
     place = scratch_path(spark, "star")
     layers = Layers.for_stage(place.rsplit("/", 1)[-1].replace("-", "_"), location=place)
     ensure_layers(spark, layers)
-    pipeline.load_bronze(spark, layers, retail.raw_tables(spark, folder))
-    pipeline.build_silver(spark, layers, retail.KEY_TYPE)
-    pipeline.build_gold(
-        spark,
-        layers,
-        retail.CALENDAR,
-        retail.brands(spark, folder),
-        retail.platforms(spark),
-        retail.KEY_TYPE,
+    step("bronze", lambda: pipeline.load_bronze(spark, layers, retail.raw_tables(spark, folder)))
+    step("silver", lambda: pipeline.build_silver(spark, layers, retail.KEY_TYPE))
+    step(
+        "gold",
+        lambda: pipeline.build_gold(
+            spark,
+            layers,
+            retail.CALENDAR,
+            retail.brands(spark, folder),
+            retail.platforms(spark),
+            retail.KEY_TYPE,
+        ),
     )
     return Star(
         layers,
@@ -51,7 +64,9 @@ def build_star(spark: SparkSession, folder: str) -> Star:
     )
 
 
-def star(spark: SparkSession, folder: str) -> Star:
+def star(
+    spark: SparkSession, folder: str, step: Callable[[str, Callable[[], object]], object] = _plain
+) -> Star:
     """The tables of the folder; the first call of a session builds them.
 
     Queries over silver and gold read written tables, as a job downstream of the daily
@@ -59,5 +74,5 @@ def star(spark: SparkSession, folder: str) -> Star:
     """
     key = (spark.sparkContext.applicationId, folder)
     if key not in _built:
-        _built[key] = build_star(spark, folder)
+        _built[key] = build_star(spark, folder, step)
     return _built[key]
