@@ -560,6 +560,26 @@ _star(
     f", {_SNAPSHOT} SELECT date_key, {_SNAPSHOT_SUMS} FROM snapshot GROUP BY 1",
 )
 
+_CUT = """cut AS (
+  SELECT brand_key, day, CASE WHEN churn_date IS NOT NULL AND day = churn_date THEN 0 ELSE 1 END AS active,
+         CAST(mrr AS DECIMAL(18,2)) AS mrr
+  FROM (SELECT s.*, CAST(unnest(generate_series(CAST(signup_date AS TIMESTAMP),
+               CAST(coalesce(churn_date, DATE '2001-12-31') AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day
+        FROM silver_subscriptions s)
+  LEFT JOIN dim_brand ON brand = brand_name
+  WHERE day BETWEEN DATE '1996-04-01' AND DATE '1998-06-20')"""
+_star(
+    "snapshot_active_on_a_day",
+    f""", {_CUT} SELECT brand_key, count(*) AS subscribers, CAST(sum(active) AS BIGINT) AS active,
+       CAST(sum(mrr) AS DOUBLE) AS mrr FROM cut WHERE day = DATE '1998-03-15' GROUP BY 1""",
+)
+_star(
+    "snapshot_mrr_by_month",
+    f""", {_CUT}, last AS (SELECT year(day) * 100 + month(day) AS date_month, max(day) AS day FROM cut GROUP BY 1)
+       SELECT CAST(date_month AS INTEGER) AS date_month, count(*) AS subscribers, CAST(sum(mrr) AS DOUBLE) AS mrr
+       FROM cut JOIN last USING (day) GROUP BY 1""",
+)
+
 # --- joins ------------------------------------------------------------------------------
 
 _sql(

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entrypoints.star import star
+from entrypoints.star import snapshot, star
 from galley.functions import columns as c
 from galley.operators import quality as q
 from galley.operators.keys import dense_key, first_per_key, with_row_id
@@ -570,6 +571,16 @@ def subscription_daily_totals(spark, folder):
     )
 
 
+@query("snapshot_active_on_a_day")
+def snapshot_active_on_a_day(spark, folder):
+    return reports.active_on(snapshot(spark, folder), date(1998, 3, 15), retail.SNAPSHOT_CALENDAR.start)
+
+
+@query("snapshot_mrr_by_month")
+def snapshot_mrr_by_month(spark, folder):
+    return reports.mrr_by_month(snapshot(spark, folder))
+
+
 # --- joins ------------------------------------------------------------------------------
 
 

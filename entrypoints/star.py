@@ -76,3 +76,15 @@ def star(
     if key not in _built:
         _built[key] = build_star(spark, folder, step)
     return _built[key]
+
+
+_snapshots: dict[tuple[str, str], DataFrame] = {}
+
+
+def snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily snapshot, written once in a session, with bounds that cut through stays."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _snapshots:
+        layers = star(spark, folder).layers
+        _snapshots[key] = pipeline.load_snapshot(spark, layers, retail.SNAPSHOT_CALENDAR, retail.SNAPSHOT_END)
+    return _snapshots[key]

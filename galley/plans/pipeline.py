@@ -38,6 +38,12 @@ DIMENSIONS = {
 FACTS = tuple(RELATIONSHIPS)
 GOLD_TABLES = (*DIMENSIONS, *FACTS)
 
+# The daily snapshot is a fact beside the star: a row per subscriber and day, written on request.
+SNAPSHOT = "fct_subscription_daily"
+SNAPSHOT_LINKS = {
+    SNAPSHOT: {"dim_date": "date_key", "dim_brand": "brand_key", "dim_subscriber": "subscriber_key"}
+}
+
 # Anonymous traffic has no subscriber, so this key may be null.
 NULLABLE_KEYS = {("fct_engagement", "subscriber_key")}
 
@@ -130,6 +136,26 @@ def build_gold(
     )
 
 
+def load_snapshot(spark: SparkSession, layers: Layers, calendar: Calendar, data_end: date) -> DataFrame:
+    """Writes the daily snapshot as a gold fact, partitioned by month and sorted by day."""
+    rows = gold.subscription_snapshot(
+        read_table(spark, layers.silver, "silver_subscriptions"),
+        read_table(spark, layers.gold, "dim_brand"),
+        calendar.start,
+        data_end,
+    )
+    write_table(
+        gold.with_month(rows, calendar.start),
+        layers.gold,
+        SNAPSHOT,
+        layers.fmt,
+        overwrite_schema=True,
+        partition_by=["date_month"],
+        cluster_by=["date_key"],
+    )
+    return read_table(spark, layers.gold, SNAPSHOT)
+
+
 def load_model(spark: SparkSession, layers: Layers, calendar: Calendar) -> StarModel:
     tables = {name: read_table(spark, layers.gold, name) for name in GOLD_TABLES}
     return StarModel(tables, calendar.start)
@@ -231,6 +257,21 @@ def check_gold(
     )
 
 
+def snapshot_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Keys, links, flags and amounts of the daily snapshot; its grain is subscriber and day."""
+    rows = tables[SNAPSHOT]
+    keys = SNAPSHOT_LINKS[SNAPSHOT].values()
+    one_state = F.col("active_flag") + F.col("churned_flag") == 1
+    rules = [q.rule_not_empty(), *[q.rule_no_null(k) for k in keys], q.rule_non_negative("mrr")]
+    return q.run_suite(
+        [
+            q.table_checks(rows, SNAPSHOT, [*rules, q.rule_expect("active_or_churned", one_state)]),
+            q.star_links_exist(tables, SNAPSHOT_LINKS),
+            q.unique(rows, SNAPSHOT, ["date_key", "subscriber_key"]),
+        ]
+    )
+
+
 # --- run --------------------------------------------------------------------------------
 
 

@@ -126,6 +126,27 @@ def new_subscribers_by_channel(model: StarModel, year: int) -> DataFrame:
     )
 
 
+def active_on(snapshot: DataFrame, day: date, calendar_start: date) -> DataFrame:
+    """``(brand_key, subscribers, active, mrr)`` on one day; reads the files of its month only."""
+    key = (day - calendar_start).days + 1
+    rows = snapshot.where((F.col("date_month") == day.year * 100 + day.month) & (F.col("date_key") == key))
+    return rows.groupBy("brand_key").agg(
+        F.count(F.lit(1)).alias("subscribers"), F.sum("active_flag").alias("active"), F.sum("mrr").alias("mrr")
+    )
+
+
+def mrr_by_month(snapshot: DataFrame) -> DataFrame:
+    """``(date_month, subscribers, mrr)`` on the last day of each month in the snapshot.
+
+    Days are added up first, so what meets per month is a row per day.
+    """
+    daily = snapshot.groupBy("date_month", "date_key").agg(
+        F.count(F.lit(1)).alias("subscribers"), F.sum("mrr").alias("mrr")
+    )
+    last = F.max_by(F.struct("subscribers", "mrr"), "date_key")
+    return daily.groupBy("date_month").agg(last.alias("last")).select("date_month", "last.*")
+
+
 def brands_by_arpu(model: StarModel) -> DataFrame:
     return model.query(["arpu"], ["dim_brand.brand_name"], order_by=[_descending("arpu")])
 

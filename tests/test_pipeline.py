@@ -1,5 +1,7 @@
 """The whole run on generated tables, and its gate."""
 
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,13 @@ def test_run_builds_and_checks_everything(spark, raw):
     checks = pipeline.check_gold(spark, layers, CALENDAR)
     assert checks.where("NOT passed").count() == 0 and checks.count() == 9 + 52 + 9 + 9
 
+    snapshot = pipeline.load_snapshot(spark, layers, CALENDAR, date(2026, 5, 31))
+    tables = {**model.tables, pipeline.SNAPSHOT: snapshot}
+    assert pipeline.snapshot_checks(tables).where("NOT passed").count() == 0
+    day = reports.active_on(snapshot, date(2026, 4, 15), CALENDAR.start)
+    assert day.agg(F.sum("subscribers")).first()[0] > 0
+    assert reports.mrr_by_month(snapshot).count() >= 3
+
     # a second run replaces the tables
     assert run(spark, layers, raw).where("table = 'fct_ad'").first().rows == counted["gold", "fct_ad"]
 
