@@ -86,7 +86,7 @@ LICENSES = (
     ("proprietary", "proprietary|commercial|end user", "proprietary"),
 )
 
-_VERSION = r"(?: (?:version|v) ?[0-9][0-9a-z]*(?: [0-9]+)*| v?[0-9](?: [0-9])*(?= ))?(?: or (?:any )?later(?: version)?)?"
+_VERSION = r"(?: (?:version|v) ?[0-9][0-9a-z]*(?: [0-9]+)*| v?[0-9](?: [0-9])*)?(?: or (?:any )?later(?: version)?)?"
 _WORD = "licen[sc]e"
 # Ways to refer to a license: priority, keyword, pattern with {names} or {ids}.
 FORMS = (

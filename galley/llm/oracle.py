@@ -2,4 +2,66 @@
 
 from __future__ import annotations
 
+from galley.llm.license_rules import CONFIDENCE, rule_rows
+
 ORACLE: dict[str, str] = {}
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _license_sql() -> str:
+    """The license scan. The list of rules is the operator's own; what is done with it is not.
+
+    Every word stands between two spaces of its own, so that a pattern may take the edges of its
+    words along: these regular expressions cannot look around.
+    """
+    rules = ",\n".join(
+        f"({k}, {base}, {priority}, {_text(label)}, {_text(keyword)}, {_text(' (?:' + pattern.replace(' ', '  ') + ') ')})"
+        for k, base, priority, label, keyword, pattern in rule_rows()
+    )
+    sure = " ".join(f"WHEN {level} THEN {value}" for level, value in CONFIDENCE.items())
+    return rf"""
+WITH rules(rule, base, priority, label, keyword, pattern) AS (VALUES {rules}),
+docs AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM documents
+), spaced AS (
+  SELECT k, ' ' || array_to_string(words, '  ') || ' ' AS held, array_to_string(words, ' ') AS plain FROM docs
+), found AS (
+  SELECT k, rule, base, priority, label, regexp_extract_all(held, pattern) AS hits, string_split_regex(held, pattern) AS gaps
+  FROM (SELECT * FROM spaced WHERE regexp_matches(plain, 'licen|spdx| under ')) JOIN rules ON contains(plain, keyword)
+), numbered AS (
+  SELECT k, rule, base, priority, label, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap,
+         unnest(range(1, len(hits) + 1)) AS pos
+  FROM found WHERE len(hits) > 0
+), counted AS (
+  SELECT *, (length(hit) - length(replace(hit, ' ', ''))) // 2 AS n_hit,
+         (length(gap) - length(replace(gap, ' ', ''))) // 2 AS n_gap
+  FROM numbered
+), places AS (
+  SELECT *, head + n_hit - 1 AS tail FROM (
+    SELECT *, CAST(sum(n_gap + n_hit) OVER (PARTITION BY k, rule ORDER BY pos) - n_hit AS BIGINT) AS head FROM counted)
+), kept AS (
+  SELECT * FROM places p WHERE NOT EXISTS (
+    SELECT 1 FROM places o WHERE o.k = p.k AND o.head <= p.head AND o.tail >= p.tail AND o.priority >= p.priority
+      AND (o.rule <> p.rule OR o.pos <> p.pos)
+      AND (o.priority > p.priority OR o.tail - o.head > p.tail - p.head OR o.rule < p.rule))
+), base AS (
+  SELECT k, count(*) AS n_base, min(head) AS first_word, max(head) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places WHERE base GROUP BY k
+), labels AS (
+  SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT k, label FROM kept UNION SELECT k, label FROM places WHERE base) GROUP BY k
+), scores AS (SELECT k, max(CASE priority {sure} END) AS score FROM kept GROUP BY k)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN base USING (k) LEFT JOIN labels USING (k) LEFT JOIN scores USING (k)
+"""
+
+
+ORACLE["op7_license_rules"] = _license_sql()
