@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from galley.functions.columns import MONEY, calendar_columns, flag
 from galley.operators.keys import dense_key, first_per_key
 from galley.operators.lookup import Lookup, left_lookup, star_lookup
-from galley.session import spread_partitions
 
 # Fixed range of the default calendar.
 CALENDAR_START = date(2026, 3, 25)
@@ -182,6 +181,10 @@ def fct_ad(
 # --- daily snapshot ---------------------------------------------------------------------
 
 
+# Days that one row of the snapshot's input expands to after the last shuffle.
+RUN_DAYS = 31
+
+
 def _stay(subscriptions: DataFrame, data_end: date) -> DataFrame:
     """Subscriptions with the last day they are on record, ``data_end`` at the latest.
 
@@ -209,10 +212,9 @@ def subscription_snapshot(
     Active on every day before the churn day, new on the first day, churned on the churn
     day. The lookups run per subscriber; days are added last, as a run of date keys
     (arithmetic on the calendar start) on a narrow row, so the expanded rows never
-    shuffle. Each row grows by the length of a stay, so the narrow rows are spread over
-    all tasks first.
+    shuffle. Stays are cut into runs of ``RUN_DAYS`` days first and the runs are rebalanced:
+    Spark sizes the tasks by what there is, and each row grows by a run at most afterwards.
     """
-    spark = subscriptions.sparkSession
     first_day = F.lit(calendar_start)
     narrow = left_lookup(_stay(subscriptions, data_end), _brands(brands)).select(
         "brand_key",
@@ -222,11 +224,11 @@ def subscription_snapshot(
         (F.datediff("churn_date", first_day) + 1).alias("churn_key"),
         F.col("mrr").cast(MONEY).alias("mrr"),
     )
-    spread = narrow.repartition(spread_partitions(spark), "subscriber_key")
-    inside = spread.where(F.col("end_key") >= 1)
-    daily = inside.withColumn(
-        "date_key", F.explode(F.sequence(F.greatest("signup_key", F.lit(1)), F.col("end_key")))
-    )
+    inside = narrow.where(F.col("end_key") >= 1)
+    first = F.greatest("signup_key", F.lit(1))
+    runs = inside.withColumn("from_key", F.explode(F.sequence(first, F.col("end_key"), F.lit(RUN_DAYS))))
+    last = F.least(F.col("from_key") + (RUN_DAYS - 1), F.col("end_key"))
+    daily = runs.hint("rebalance").withColumn("date_key", F.explode(F.sequence("from_key", last)))
     churns = F.coalesce(F.col("date_key") == F.col("churn_key"), F.lit(False))
     return daily.select(
         "date_key",
