@@ -991,6 +991,15 @@ _IDS = {"content": "content_id", "subscriptions": "subscriber_id", "engagement":
 _LAYER_CHECKS = [_empty(t) for t in _BRONZE + _SILVER]
 _LAYER_CHECKS += [_null(f"raw_{t}", c) for t, c in _IDS.items()]
 _LAYER_CHECKS += [_unique(f"silver_{t}", c) for t, c in _IDS.items()]
+_LAYER_CHECKS += [
+    _null("silver_subscriptions", "signup_date"),
+    _check(
+        "expect",
+        "silver_subscriptions.churn_after_signup",
+        "count(*)",
+        "silver_subscriptions WHERE churn_date < signup_date",
+    ),
+]
 _star(
     "dq_summary",
     f"""SELECT count(*) AS checks, count(*) FILTER (WHERE NOT passed) AS failed, bool_and(passed) AS passed
