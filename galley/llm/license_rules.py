@@ -2,7 +2,8 @@
 
 Rules are regular expressions over the words of a text (A-Z lower-cased, joined by single spaces),
 made by combining the license names below with the ways in which texts refer to a license. A rule
-is tried only on texts that hold its keyword, and texts without any keyword are only counted. Of the
+is tried only on texts that hold its keyword and the beginning of one of its names, and texts without
+any keyword are only counted. Of the
 places found, one that lies inside another of the same or a higher priority is suppressed; of two at
 the same place, the higher priority and then the earlier rule stays. Three base phrases are always
 reported.
@@ -14,6 +15,8 @@ Other columns are neither read nor disturbed.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,13 +112,18 @@ def _any(names: str) -> str:
     return "(?:" + "|".join(sorted(names.split("|"), key=lambda x: (-len(x), x))) + ")"
 
 
-def rule_rows() -> list[tuple[int, bool, int, str, str, str]]:
-    """``(order, base, priority, label, keyword, pattern)`` of every rule."""
-    rows = [(0, True, 2, label, phrase.split()[-1], phrase) for phrase, label in BASE]
+def _literal(names: str) -> list[str]:
+    """The fixed beginnings of a list of names; a text without any of them holds none of the names."""
+    return sorted({re.split(r" ?\?|\(", name)[0].rstrip() for name in names.split("|")})
+
+
+def rule_rows() -> list[tuple[int, bool, int, str, str, str, list[str]]]:
+    """``(order, base, priority, label, keyword, pattern, beginnings)`` of every rule."""
+    rows = [(0, True, 2, label, phrase.split()[-1], phrase, [phrase]) for phrase, label in BASE]
     for priority, keyword, form in FORMS:
         for label, names, ids in LICENSES:
             pattern = form.format(names=_any(names), ids=_any(ids), version=_VERSION, word=_WORD)
-            rows.append((0, False, priority, label, keyword, pattern))
+            rows.append((0, False, priority, label, keyword, pattern, _literal(ids if "{ids}" in form else names)))
     return [(k, *row[1:]) for k, row in enumerate(rows)]
 
 
@@ -125,8 +133,9 @@ def _rule_array() -> Column:
         F.struct(
             F.lit(k).alias("rule"), F.lit(base).alias("base"), F.lit(priority).alias("priority"),
             F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern"),
+            F.array(*[F.lit(x) for x in beginnings]).alias("beginnings"),
         )
-        for k, base, priority, label, keyword, pattern in rule_rows()
+        for k, base, priority, label, keyword, pattern, beginnings in rule_rows()
     ]
     return F.array(*made)
 
@@ -137,9 +146,12 @@ def _spaces(x: Column) -> Column:
 
 def places(gated: DataFrame) -> DataFrame:
     """``key, rule..label, first, last``: where each rule's words stand in ``gated(key, canon)``."""
-    tried = gated.select(
-        "key", "canon", F.explode(F.filter(_rule_array(), lambda r: F.contains(F.col("canon"), r["keyword"]))).alias("r")
+    canon = F.col("canon")
+    hopeful = F.filter(
+        _rule_array(),
+        lambda r: F.contains(canon, r["keyword"]) & F.exists(r["beginnings"], lambda x: F.contains(canon, x)),
     )
+    tried = gated.select("key", "canon", F.explode(hopeful).alias("r"))
     found = tried.select(
         "key", "r", "canon", F.expr("regexp_extract_all(canon, r.pattern, 0)").alias("hits")
     ).where(F.size("hits") > 0)

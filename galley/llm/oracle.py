@@ -19,7 +19,7 @@ def _license_sql() -> str:
     """
     rules = ",\n".join(
         f"({k}, {base}, {priority}, {_text(label)}, {_text(keyword)}, {_text(' (?:' + pattern.replace(' ', '  ') + ') ')})"
-        for k, base, priority, label, keyword, pattern in rule_rows()
+        for k, base, priority, label, keyword, pattern, _ in rule_rows()
     )
     sure = " ".join(f"WHEN {level} THEN {value}" for level, value in CONFIDENCE.items())
     return rf"""
