@@ -1,7 +1,7 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
-A text is cut into units, each a run of spaces with the characters after it (no piece of the
-vocabulary reaches over the start of such a unit; that is checked). Inside a unit the best-scored
+A text is cut into units: a run of spaces with the letters, or the other characters, after it (no
+piece of the vocabulary reaches over the start of such a unit; that is checked). Inside a unit the best-scored
 pair of neighbours is merged first, the leftmost among equals. Each candidate merge is skipped if
 a keyed hash of the seed, the stream, the place among the symbols and the merged piece falls below the dropout rate;
 a skipped pair can only come back as part of another pair. Every occurrence of a unit draws one of
@@ -38,7 +38,11 @@ LONG = 48
 MAX_CACHED = 600_000
 _MASK = (1 << 64) - 1
 _STEP, _FACTOR = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_UNITS = re.compile(" *[^ ]+| +")
+# Units end where letters meet anything else: ASCII without letters, Latin-1 signs, U+2000 to U+2BFF.
+_OTHERS = r"\x00-\x1F!-@\[-`{-\xBF\u00D7\u00F7\u2000-\u2BFF"
+_KINDS = f"[{_OTHERS}]+|[^ {_OTHERS}]+"
+_PARTS = re.compile(_KINDS)
+_UNITS = re.compile(f" *(?:{_KINDS})| +")
 
 
 def default_model() -> str:
@@ -73,7 +77,7 @@ class Pieces:
                 self.held.append(b"")
             else:
                 shown = piece.replace(SPACE, " ")
-                if " " in shown.lstrip(" "):
+                if " " in shown.lstrip(" ") or len(_PARTS.findall(shown)) > 1:
                     raise ValueError("pieces that reach over the start of a unit are not supported")
                 self.ids[shown] = k
                 self.scores[shown] = -2e9 - model.get_score(k)
@@ -191,6 +195,7 @@ def _encoder(path: str, dropout: float, seed: int) -> Encoder:
 
 def decode(ids, path: str) -> str:
     """The text of a list of ids."""
+    ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
     held = b"".join(map(_pieces(path).held.__getitem__, ids)).decode("utf-8", "replace")
     return held[1:] if held.startswith(" ") else held
 
