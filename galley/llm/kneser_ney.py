@@ -1,15 +1,16 @@
-"""Modified Kneser-Ney models over the characters of words, counted by Spark.
+"""Modified Kneser-Ney models over the characters of words, counted and kept by Spark.
 
 A word is the sequence of its characters and an end mark, each predicted from the four symbols
-before it (start marks first). A symbol has 12 bits: characters below U+0800 are themselves, the
-rest are folded into 2,048 classes. An n-gram of up to five symbols is then one 64-bit integer, so
-counts, continuation counts, discounts and back-off weights are plain aggregations of integers.
+before it (start marks first). An n-gram of up to five symbols is two integers: ``code`` has 12 bits
+a symbol, the low 11 bits of its code point and a bit for those from U+0800 up, ``rest`` has 10 bits
+a symbol, the upper bits of the code point. Together they are the whole n-gram, so counts,
+continuation counts, discounts and back-off weights are plain aggregations of integers.
 
 Counts cover every word of every text given; they are summed by word, batch and task before they
-are shuffled. The finished model is stored as sorted arrays of n-gram codes with one value each. Codes
-are hashed to ``2**SLOT_BITS`` slots per order and class, and a slot keeps its most frequent code;
-the others are scored by back-off. So the model has a proven size, whatever the corpus, which is
-what allows it to be sent to every task.
+are shuffled. A model keeps every n-gram and every context, as a written table; no part of it passes
+the driver. Probabilities are found by joins, order by order, for the distinct n-grams of the texts
+that are to be scored. ``Shares`` holds these: up to ``MAX_SENT`` of them are sent to the tasks, more
+are joined to the words. Both ways give the same scores.
 
 With classes, the orders above ``SHARED`` are counted by class and the lower ones over all classes
 together, so expressions that are rare in a class fall back on shared counts.
@@ -17,7 +18,9 @@ together, so expressions that are rare in a class fall back on shared counts.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -28,34 +31,55 @@ from galley.llm.shared import Vocabulary, byte_words, pinned, slices
 
 ORDER = 5
 SYMBOL_BITS = 12
-SLOT_BITS = 20
+REST_BITS = 10
 SHARED = 2
+MAX_SENT = 4_000_000  # n-grams sent to every task; more are joined
 _PAD, _END = 1, 2
 _MASKS = [np.int64((1 << (SYMBOL_BITS * k)) - 1) for k in range(ORDER + 1)]
+_RESTS = [np.int64((1 << (REST_BITS * k)) - 1) for k in range(ORDER + 1)]
 _FLUSH = 4_000_000
+_GRAM = ["code", "rest"]
 
 
-def word_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """``(word, code)`` of every symbol of every word: five symbols in one integer."""
+def word_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(word, code, rest)`` of every symbol of every word: five symbols in two integers."""
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     gap = "\x02" + "\x01" * (ORDER - 1)
     marks = bytes([0, 1, 2]), bytes([3, 3, 3])
     text = "\x01" * (ORDER - 1)
     text += gap.join(w.translate(bytes.maketrans(*marks)).decode("utf-8", "replace") for w in words) + "\x02"
     stream = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
-    symbol = np.where(stream < 2048, stream, 2048 + ((stream ^ (stream >> 11)) & 2047))
+    symbol = (stream & 2047) | ((stream > 2047) << 11)
     code = np.zeros(len(symbol) - ORDER + 1, dtype=np.int64)
+    rest = np.zeros_like(code)
     for k in range(ORDER):
         code = (code << SYMBOL_BITS) | symbol[k : k + len(code)]
+    upper = stream >> 11
+    if upper.any():
+        for k in range(ORDER):
+            rest = (rest << REST_BITS) | upper[k : k + len(code)]
     last = symbol[ORDER - 1 :]
     owner = np.cumsum(last == _END) - (last == _END)
     ok = last != _PAD
-    return owner[ok], code[ok]
+    return owner[ok], code[ok], rest[ok]
+
+
+def distinct(code: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams, and for each given one its place among them."""
+    if not rest.any():
+        code, at = np.unique(code, return_inverse=True)
+        return code, np.zeros_like(code), at
+    order = np.lexsort((code, rest))
+    code, rest = code[order], rest[order]
+    new = np.concatenate([[True], (np.diff(code) != 0) | (np.diff(rest) != 0)])
+    at = np.empty(len(order), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    return code[new], rest[new], at
 
 
 def counts(rows: DataFrame, group: Column | None = None) -> DataFrame:
-    """``(y, code, n)`` of all words of ``rows.text``, ``y`` the group (0 without one)."""
+    """``(y, code, rest, n)`` of all words of ``rows.text``, ``y`` the group (0 without one)."""
 
     def partial(batches):
         held: dict[int, list] = {}
@@ -63,9 +87,9 @@ def counts(rows: DataFrame, group: Column | None = None) -> DataFrame:
 
         def merged():
             for y, parts in held.items():
-                code, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([p[1] for p in parts]))
-                yield y, code, n
+                code, rest, at = distinct(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
+                n = np.bincount(at, np.concatenate([p[2] for p in parts]))
+                yield y, code, rest, n
 
         for batch in slices(batches):
             for y, part in batch.groupby("y"):
@@ -75,75 +99,186 @@ def counts(rows: DataFrame, group: Column | None = None) -> DataFrame:
                 if not words:
                     continue
                 times = np.bincount(np.concatenate(uses), minlength=len(words))
-                owner, code = word_codes(words)
-                code, at = np.unique(code, return_inverse=True)
-                held.setdefault(int(y), []).append((code, np.bincount(at, times[owner])))
+                owner, code, rest = word_codes(words)
+                code, rest, at = distinct(code, rest)
+                held.setdefault(int(y), []).append((code, rest, np.bincount(at, times[owner])))
                 size += len(code)
             if size > _FLUSH:
-                held = {y: [(code, n)] for y, code, n in merged()}
+                held = {y: [tuple(parts)] for y, *parts in merged()}
                 size = sum(len(p[0][0]) for p in held.values())
                 if size > _FLUSH // 2:
-                    for y, ((code, n),) in held.items():
-                        yield pd.DataFrame({"y": y, "code": code, "n": n.astype(np.int64)})
+                    for y, ((code, rest, n),) in held.items():
+                        yield pd.DataFrame({"y": y, "code": code, "rest": rest, "n": n.astype(np.int64)})
                     held, size = {}, 0
-        for y, code, n in merged():
-            yield pd.DataFrame({"y": y, "code": code, "n": n.astype(np.int64)})
+        for y, code, rest, n in merged():
+            yield pd.DataFrame({"y": y, "code": code, "rest": rest, "n": n.astype(np.int64)})
 
     group = F.lit(0) if group is None else group
     parts = rows.select(F.col("text").cast("string").alias("text"), group.cast("int").alias("y"))
     return (
         parts.where("y is not null")
-        .mapInPandas(partial, "y int, code long, n long")
-        .groupBy("y", "code")
+        .mapInPandas(partial, "y int, code long, rest long, n long")
+        .groupBy("y", *_GRAM)
         .agg(F.sum("n").alias("n"))
     )
 
 
 @dataclass
-class Table:
-    """Sorted codes with their values."""
+class Sent:
+    """Sorted n-grams with their logarithms of probability, one column a class."""
 
     codes: np.ndarray
-    values: np.ndarray
+    rests: np.ndarray
+    logs: np.ndarray
+    plain: int  # the first n-grams, whose rest is zero
+
+    def get(self, code: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """The rows of n-grams, every one of which is held."""
+        at = np.searchsorted(self.codes[: self.plain], code)
+        (odd,) = np.nonzero(rest)
+        if len(odd):
+            codes, rests, held, by = self._odd
+            wanted = np.searchsorted(codes, code[odd]) * len(rests) + np.searchsorted(rests, rest[odd])
+            at[odd] = self.plain + by[np.searchsorted(held, wanted)]
+        return self.logs[at]
+
+    @cached_property
+    def _odd(self) -> tuple[np.ndarray, ...]:
+        """The other n-grams as one sorted number each, made of the places of both integers."""
+        codes, own = np.unique(self.codes[self.plain :], return_inverse=True)
+        rests, upper = np.unique(self.rests[self.plain :], return_inverse=True)
+        held = own * len(rests) + upper
+        by = np.argsort(held)
+        return codes, rests, held[by], by
+
+    def word_scores(self, words: list[bytes]) -> np.ndarray:
+        """Log-probability of each word in each class, words x classes; last column: symbols."""
+        owner, code, rest = word_codes(words)
+        code, rest, at = distinct(code, rest)
+        logs = self.get(code, rest)
+        out = np.zeros((len(words), logs.shape[1] + 1))
+        for c in range(logs.shape[1]):
+            out[:, c] = np.bincount(owner, logs[at, c], minlength=len(words))
+        out[:, -1] = np.bincount(owner, minlength=len(words))
+        return out
 
-    def get(self, code: np.ndarray, missing: float) -> np.ndarray:
-        if not len(self.codes):
-            return np.full(len(code), missing)
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where(self.codes[at] == code, self.values[at], missing)
+
+@dataclass
+class Shares:
+    """``table``: ``code, rest, p0, p1, ...``, the log-probability of every n-gram in each class; ``n`` rows."""
+
+    table: DataFrame
+    n: int
+    classes: int
+
+    def sent(self) -> Sent | None:
+        """All of it as arrays, where it is small enough to go to every task."""
+        if self.n > MAX_SENT:
+            return None
+        got = self.table.toArrow()
+        code, rest, *logs = (got.column(i).to_numpy() for i in range(2 + self.classes))
+        by = np.lexsort((code, rest))
+        rest = rest[by]
+        plain = int(np.searchsorted(rest, 1))
+        return Sent(code[by], rest, np.column_stack(logs).astype(np.float32)[by], plain)
+
+    def joined(self, texts: DataFrame) -> DataFrame:
+        """``key, n, symbols, p0, p1, ...`` of each distinct word of ``texts(key, text)``, ``n`` times in the text.
+
+        Words are scored once each; texts do not move, but their distinct words do.
+        """
+
+        def words_of(batches):
+            for batch in slices(batches):
+                rows = [
+                    (key, word, n)
+                    for key, text in zip(batch["key"], batch["text"], strict=True)
+                    for word, n in Counter(byte_words(text)).items()
+                ]
+                yield pd.DataFrame(rows, columns=["key", "word", "n"], dtype=object)
+
+        def codes_of(batches):
+            for batch in slices(batches):
+                words = list(batch["word"])
+                owner, code, rest = word_codes(words)
+                at = pd.Series(words, dtype=object).iloc[owner].reset_index(drop=True)
+                yield pd.DataFrame({"word": at, "code": code, "rest": rest})
+
+        key = texts.schema["key"].dataType.simpleString()
+        held = pinned(texts.select("key", "text").mapInPandas(words_of, f"key {key}, word binary, n long"), "words")
+        codes = held.select("word").distinct().mapInPandas(codes_of, "word binary, code long, rest long")
+        columns = [f"p{c}" for c in range(self.classes)]
+        scores = (
+            codes.join(self.table, _GRAM)
+            .groupBy("word")
+            .agg(*[F.sum(c).alias(c) for c in columns], F.count(F.lit(1)).alias("symbols"))
+        )
+        return held.join(scores, "word").select("key", "n", "symbols", *columns)
 
 
 @dataclass
 class Model:
-    """``grams[y][k]``: discounted share of an n-gram of order k; ``weights[y][k]``: back-off of its context."""
+    """``table``: ``k, y, kind, code, rest, value``. Kind 0: discounted share of an n-gram of order k;
+    kind 1: back-off weight of its context."""
 
-    grams: dict[int, dict[int, Table]]
-    weights: dict[int, dict[int, Table]]
+    table: DataFrame
     symbols: int
     classes: list[int]
+    shared: bool
 
-    def of(self, held: dict, y: int, k: int, shared: bool) -> Table:
-        return held[-1 if shared and k <= SHARED else y][k]
-
-    def log_share(self, code: np.ndarray, y: int, shared: bool = False) -> np.ndarray:
-        """Natural logarithm of the probability of each code's last symbol."""
-        p = np.full(len(code), 1 / max(1, self.symbols))
+    def shares(self, grams: DataFrame, ys: list[int]) -> Shares:
+        """Natural logarithm of the probability of the last symbol of each of ``grams(code, rest)``."""
+        wanted = pinned(grams.select(*_GRAM).distinct(), "wanted")
+        below: DataFrame | None = None
         for k in range(1, ORDER + 1):
-            own = code & _MASKS[k]
-            p = self.of(self.grams, y, k, shared).get(own, 0.0) + self.of(self.weights, y, k, shared).get(
-                own >> SYMBOL_BITS, 1.0
-            ) * p
-        return np.log(np.maximum(p, 1e-300))
-
-    def word_scores(self, words: list[bytes], ys: list[int], shared: bool = False) -> np.ndarray:
-        """Log-probability of each word in each class, words x classes; last column: symbols."""
-        owner, code = word_codes(words)
-        code, at = np.unique(code, return_inverse=True)
-        out = np.zeros((len(words), len(ys) + 1))
-        for c, y in enumerate(ys):
-            out[:, c] = np.bincount(owner, self.log_share(code, y, shared)[at], minlength=len(words))
-        out[:, -1] = np.bincount(owner, minlength=len(words))
-        return out
+            code, rest = _suffix(k)
+            now = wanted.select(code.alias("code"), rest.alias("rest"))
+            now = now.distinct() if k < ORDER else now
+            own, back = self._values(k, 0, ys), self._values(k, 1, ys)
+            now = now.join(own, _GRAM, "left")
+            shift = [
+                F.shiftright("code", SYMBOL_BITS).alias("context"), F.shiftright("rest", REST_BITS).alias("upper"),
+                *[c.alias(n) for c, n in zip(_suffix(k - 1), ("lower", "under"), strict=True)],
+            ]
+            now = now.select("*", *shift)
+            if k == 1:  # one context, the empty one
+                top = back.first()
+                weights = [1.0 if top is None or top[f"v{c}"] is None else top[f"v{c}"] for c in range(len(ys))]
+                p = [F.coalesce(f"v{c}", F.lit(0.0)) + w / max(1, self.symbols) for c, w in enumerate(weights)]
+            else:
+                back = back.select(F.col("code").alias("context"), F.col("rest").alias("upper"), *[F.col(f"v{c}").alias(f"b{c}") for c in range(len(ys))])
+                below = below.select(F.col("code").alias("lower"), F.col("rest").alias("under"), *[F.col(f"p{c}").alias(f"l{c}") for c in range(len(ys))])
+                now = now.join(back, ["context", "upper"], "left").join(below, ["lower", "under"])
+                p = [F.coalesce(f"v{c}", F.lit(0.0)) + F.coalesce(f"b{c}", F.lit(1.0)) * F.col(f"l{c}") for c in range(len(ys))]
+            below = now.select(*_GRAM, *[x.alias(f"p{c}") for c, x in enumerate(p)])
+        logs = [F.log(F.greatest(f"p{c}", F.lit(1e-300))).alias(f"p{c}") for c in range(len(ys))]
+        table = pinned(below.select(*_GRAM, *logs), "shares")
+        return Shares(table, table.count(), len(ys))
+
+    def _values(self, k: int, kind: int, ys: list[int]) -> DataFrame:
+        """``code, rest, v0, v1, ...``: the values of an order, one column a class."""
+        of = [-1 if self.shared and k <= SHARED else y for y in ys]
+        rows = self.table.where((F.col("k") == k) & (F.col("kind") == kind) & F.col("y").isin(of))
+        if len(set(of)) == 1:
+            return rows.select(*_GRAM, *[F.col("value").alias(f"v{c}") for c in range(len(of))])
+        return rows.groupBy(*_GRAM).agg(*[F.max(F.when(F.col("y") == y, F.col("value"))).alias(f"v{c}") for c, y in enumerate(of)])
+
+    def log_share(self, code: np.ndarray, y: int, rest: np.ndarray | None = None) -> np.ndarray:
+        """Logarithms of the probabilities of a few n-grams given here."""
+        code, rest, at = distinct(code, np.zeros_like(code) if rest is None else rest)
+        frame = pd.DataFrame({"code": code, "rest": rest})
+        return self.shares(self.table.sparkSession.createDataFrame(frame), [y]).sent().get(code, rest)[at, 0]
+
+    def word_scores(self, words: list[bytes], ys: list[int]) -> np.ndarray:
+        """The scores of a few words given here."""
+        _, code, rest = word_codes(words)
+        frame = pd.DataFrame({"code": code, "rest": rest})
+        return self.shares(self.table.sparkSession.createDataFrame(frame), ys).sent().word_scores(words)
+
+
+def _suffix(k: int) -> tuple[Column, Column]:
+    """The last ``k`` symbols of an n-gram."""
+    return F.col("code").bitwiseAND(F.lit(int(_MASKS[k]))), F.col("rest").bitwiseAND(F.lit(int(_RESTS[k])))
 
 
 def _discounts(n: dict[int, int]) -> tuple[float, float, float]:
@@ -165,11 +300,10 @@ def fit(counted: DataFrame, shared: bool = False) -> Model:
         if k < ORDER:
             left = current
             if shared and k == SHARED:  # left neighbours are told apart over all classes
-                left = current.select(F.lit(-1).alias("y"), "code").distinct()
-            current = left.groupBy("y", F.col("code").bitwiseAND(F.lit(int(_MASKS[k]))).alias("code")).agg(
-                F.count(F.lit(1)).alias("n")
-            )
-        levels.append(current.select(F.lit(k).alias("k"), "y", "code", "n"))
+                left = current.select(F.lit(-1).alias("y"), *_GRAM).distinct()
+            code, rest = _suffix(k)
+            current = left.groupBy("y", code.alias("code"), rest.alias("rest")).agg(F.count(F.lit(1)).alias("n"))
+        levels.append(current.select(F.lit(k).alias("k"), "y", *_GRAM, "n"))
     grams = levels[0]
     for level in levels[1:]:
         grams = grams.unionByName(level)
@@ -177,7 +311,7 @@ def fit(counted: DataFrame, shared: bool = False) -> Model:
     seen: dict[tuple[int, int], dict[int, int]] = {}
     for r in grams.where("n <= 4").groupBy("k", "y", "n").count().collect():
         seen.setdefault((r.k, r.y), {})[r.n] = r["count"]
-    facts = grams.where("k = 1").agg(F.countDistinct("code").alias("symbols")).first()
+    facts = grams.where("k = 1").agg(F.countDistinct(*_GRAM).alias("symbols")).first()
     classes = [r.y for r in counted.select("y").distinct().collect()]
 
     discount = F.lit(0.0)
@@ -185,34 +319,16 @@ def fit(counted: DataFrame, shared: bool = False) -> Model:
         d = _discounts(n)
         step = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         discount = F.when((F.col("k") == k) & (F.col("y") == y), step).otherwise(discount)
-    taken = grams.select("k", "y", "code", "n", discount.alias("d"), F.shiftright("code", SYMBOL_BITS).alias("context"))
-    contexts = taken.groupBy("k", "y", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("back"))
-    values = taken.join(contexts, ["k", "y", "context"]).select(
-        "k", "y", F.lit(0).alias("kind"), "n", "code", ((F.col("n") - F.col("d")) / F.col("total")).alias("value")
+    taken = grams.select(
+        "k", "y", *_GRAM, "n", discount.alias("d"),
+        F.shiftright("code", SYMBOL_BITS).alias("context"), F.shiftright("rest", REST_BITS).alias("upper"),
+    )
+    contexts = taken.groupBy("k", "y", "context", "upper").agg(F.sum("n").alias("total"), F.sum("d").alias("back"))
+    values = taken.join(contexts, ["k", "y", "context", "upper"]).select(
+        "k", "y", F.lit(0).alias("kind"), *_GRAM, ((F.col("n") - F.col("d")) / F.col("total")).alias("value")
     )
     backs = contexts.select(
-        "k", "y", F.lit(1).alias("kind"), F.col("total").alias("n"), F.col("context").alias("code"),
+        "k", "y", F.lit(1).alias("kind"), F.col("context").alias("code"), F.col("upper").alias("rest"),
         (F.col("back") / F.col("total")).alias("value"),
     )
-    slot = F.pmod(F.hash("code"), F.lit(1 << SLOT_BITS))
-    stored = (
-        values.unionByName(backs)
-        .groupBy("k", "y", "kind", slot.alias("slot"))
-        .agg(F.max(F.struct("n", "code", "value")).alias("top"))
-        .select("k", "y", "kind", "top.code", F.col("top.value").cast("float").alias("value"))
-    )
-    return _read(stored, facts.symbols, sorted(classes), shared)
-
-
-def _read(stored: DataFrame, symbols: int, classes: list[int], shared: bool) -> Model:
-    """The model as arrays; ``stored`` has at most ``2**SLOT_BITS`` rows per order, class and kind."""
-    got = stored.toArrow()
-    k, y, kind, code, value = (got.column(i).to_numpy() for i in range(5))
-    model = Model({}, {}, symbols, classes)
-    for c in [*classes, -1]:
-        for order in range(1, ORDER + 1):
-            for which, held in ((0, model.grams), (1, model.weights)):
-                own = (k == order) & (y == c) & (kind == which)
-                by = np.argsort(code[own])
-                held.setdefault(c, {})[order] = Table(code[own][by], value[own][by])
-    return model
+    return Model(pinned(values.unionByName(backs), "model"), facts.symbols, sorted(classes), shared)

@@ -16,8 +16,6 @@ disturbed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,9 +29,7 @@ from galley.llm.shared import (
     labelled,
     learning_rows,
     pinned,
-
     remainder,
-    sigmoid,
 )
 
 MAX_LABELLED = 1_000_000
@@ -41,11 +37,11 @@ MAX_CALIBRATION = 30_000
 TOXIC, ORDINARY = 1, 0
 
 
-def evidence(texts: pd.Series, model: kneser_ney.Model) -> np.ndarray:
+def evidence(texts: pd.Series, sent: kneser_ney.Sent) -> np.ndarray:
     """Per text: largest difference of a word per symbol, largest of a word, and mean per symbol."""
     vocabulary = Vocabulary()
     ids = [vocabulary.number(byte_words(t)) for t in texts]
-    scores = model.word_scores(vocabulary.words(), [TOXIC, ORDINARY], shared=True)
+    scores = sent.word_scores(vocabulary.words())
     difference, symbols = scores[:, 0] - scores[:, 1], scores[:, 2]
     rate = difference / np.maximum(symbols, 1)
     out = np.zeros((len(ids), 3))
@@ -55,24 +51,48 @@ def evidence(texts: pd.Series, model: kneser_ney.Model) -> np.ndarray:
     return np.clip(out, -5, 8)
 
 
-class Scorer:
-    """The model, sent once to each worker, and the logistic on its evidence."""
+def evidenced(rows: DataFrame, model: kneser_ney.Model) -> DataFrame:
+    """``rows`` with their evidence ``x``, an array of three numbers."""
+    text = F.col("text").cast("string")
+    shares = model.shares(kneser_ney.counts(rows), [TOXIC, ORDINARY])
+    arrays = shares.sent()
+    if arrays is None:
+        difference = F.col("p0") - F.col("p1")
+        limited = lambda x: F.least(F.greatest(x, F.lit(-5.0)), F.lit(8.0))
+        keyed = rows.withColumn("key", F.concat_ws(" ", F.xxhash64(text), F.xxhash64(text, F.lit(1))))  # of equal texts
+        own = shares.joined(keyed.select("key", text.alias("text"))).groupBy("key").agg(
+            F.array(
+                limited(F.max(difference / F.col("symbols"))),
+                limited(F.max(difference) / 10),
+                limited(F.sum(difference * F.col("n")) / F.sum(F.col("symbols") * F.col("n"))),
+            ).alias("x")
+        )
+        none = F.array(*[F.lit(0.0)] * 3)
+        return keyed.join(own, "key", "left").withColumn("x", F.coalesce("x", none)).drop("key")
+    sent = rows.sparkSession.sparkContext.broadcast(arrays)
+
+    @F.pandas_udf("array<double>")
+    def seen(text: pd.Series) -> pd.Series:
+        parts = [evidence(text.iloc[k : k + 1000], sent.value) for k in range(0, len(text), 1000)]
+        return pd.Series([list(map(float, x)) for part in parts for x in part], dtype=object)
 
-    def __init__(self, sent, weights: np.ndarray, constant: float | None = None) -> None:
-        self.sent, self.weights, self.constant = sent, weights, constant
+    return rows.withColumn("x", seen(text))
 
-    def column(self) -> Callable[[Column], Column]:
-        if self.constant is not None:
-            return lambda text: F.lit(float(self.constant))
-        sent, weights = self.sent, self.weights
 
-        @F.pandas_udf("double")
-        def run(text: pd.Series) -> pd.Series:
-            parts = [evidence(text.iloc[k : k + 1000], sent.value) for k in range(0, len(text), 1000)]
-            x = np.concatenate(parts) if parts else np.zeros((0, 3))
-            return pd.Series(sigmoid(x @ weights[:-1] + weights[-1]))
+class Scorer:
+    """The model and the logistic on its evidence, or a constant score."""
+
+    def __init__(self, model: kneser_ney.Model | None, weights: np.ndarray, constant: float | None = None) -> None:
+        self.model, self.weights, self.constant = model, weights, constant
 
-        return run
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with their score."""
+        if self.constant is not None:
+            return rows.withColumn("score", F.lit(float(self.constant)))
+        *slopes, intercept = map(float, self.weights)
+        z = sum((F.col("x")[k] * w for k, w in enumerate(slopes)), F.lit(intercept))
+        z = F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))
+        return evidenced(rows, self.model).withColumn("score", 1 / (1 + F.exp(-z))).drop("x")
 
 
 def fit(
@@ -93,23 +113,16 @@ def fit(
     counted = pinned(kneser_ney.counts(rows, (F.col("y") > 0).cast("int") + part), "classes")
     of_first = kneser_ney.fit(counted.where("y < 2"), shared=True)
     of_both = kneser_ney.fit(
-        counted.groupBy((F.col("y") % 2).alias("y"), "code").agg(F.sum("n").alias("n")), shared=True
+        counted.groupBy((F.col("y") % 2).alias("y"), "code", "rest").agg(F.sum("n").alias("n")), shared=True
     )
     known = learning_rows(docs, labelled(labels, "toxic", second, max_calibration))
     if set(of_first.classes) != {TOXIC, ORDINARY}:
         share = known.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0]
         return Scorer(None, None, share or 0.0)
-    sent = docs.sparkSession.sparkContext.broadcast(of_first)
-
-    @F.pandas_udf("array<double>")
-    def seen(text: pd.Series) -> pd.Series:
-        parts = [evidence(text.iloc[k : k + 1000], sent.value) for k in range(0, len(text), 1000)]
-        return pd.Series([list(map(float, x)) for part in parts for x in part])
-
-    got = known.select(seen("text").alias("x"), "y").toPandas()  # at most about max_calibration rows
+    got = evidenced(known, of_first).select("x", "y").toPandas()  # at most about max_calibration rows
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, 3)
     weights = fit_logistic(x, (got["y"].to_numpy() > 0).astype(np.float64), ridge=1e-4)
-    return Scorer(docs.sparkSession.sparkContext.broadcast(of_both), weights)
+    return Scorer(of_both, weights)
 
 
 def learn_rows(key: str) -> Column:
@@ -120,8 +133,9 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
     """``doc_id, held_out, score, predicted`` of every document."""
     part = remainder("doc_id", 3)
     scorer = fit(docs, labels, part == 0, part == 2)
-    return docs.select(
+    rows = scorer.scored(docs.select("doc_id", "text"))
+    return rows.select(
         "doc_id",
         F.coalesce(~learn_rows("doc_id"), F.lit(False)).alias("held_out"),
-        scorer.column()(F.col("text")).alias("score"),
+        "score",
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -259,6 +259,35 @@ def test_kneser_ney_equals_brute_force(spark):
     assert abs(np.exp(model.log_share(codes, 0)).sum() - 1) < 1e-5
 
 
+def test_model_keeps_every_ngram(spark):
+    """Many words, and characters that differ above U+0800 only in their upper bits."""
+    random.seed(4)
+    held = ["".join(random.choices("abcdefghijklmnop", k=8)) for _ in range(6000)]
+    held += ["\u4e00\u4e01", "\u5800\u5801", "\uac00\u0e01", "😀é"]
+    grams = {tuple(([1] * 4 + [ord(c) for c in w] + [2])[i : i + 5]) for w in held for i in range(len(w) + 1)}
+    frame = spark.createDataFrame([(" ".join(held[k::10]),) for k in range(10)], "text string")
+    model = kneser_ney.fit(kneser_ney.counts(frame))
+    kept = {r.k: r["count"] for r in model.table.where("kind = 0").groupBy("k").count().collect()}
+    assert kept == {k: len({g[5 - k :] for g in grams}) for k in range(1, 6)}
+    seen, unseen = model.word_scores(["\u4e00\u4e01".encode(), "\u4e00\u5801".encode()], [0])[:, 0]
+    assert seen > unseen + 1
+
+
+def test_joined_scores_equal_sent_scores(spark, docs, monkeypatch):
+    marks = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    more = spark.createDataFrame([(-1, "日本語 日本 語 " * 9, "ja"), (-2, "", "en"), (-3, None, "en")], "doc_id long, text string, lang string")
+    rows = docs.select("doc_id", "text", "lang").unionByName(more)
+    results = []
+    for limit in (kneser_ney.MAX_SENT, 0):
+        monkeypatch.setattr(kneser_ney, "MAX_SENT", limit)
+        judged = {r.doc_id: r.perplexity for r in perplexity_rules.judged(rows).collect()}
+        results.append((judged, {r.doc_id: r.score for r in toxicity.scored(rows, marks).collect()}))
+    (one, score), (other, again) = results
+    assert one.keys() == other.keys() and one[-2] is other[-2] is None
+    assert all(abs(one[k] - other[k]) < 1e-4 for k in one if one[k] is not None)
+    assert score.keys() == again.keys() and all(abs(score[k] - again[k]) < 1e-3 for k in score)
+
+
 # --- 5: packing --------------------------------------------------------------------------
 
 
