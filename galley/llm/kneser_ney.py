@@ -19,6 +19,7 @@ together, so expressions that are rare in a class fall back on shared counts.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -78,8 +79,30 @@ def distinct(code: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code[new], rest[new], at
 
 
-def counts(rows: DataFrame, group: Column | None = None) -> DataFrame:
-    """``(y, code, rest, n)`` of all words of ``rows.text``, ``y`` the group (0 without one)."""
+def whole(text: str | None) -> list[bytes]:
+    """The words of a text as one, with single spaces between, so that n-grams run over their edges."""
+    words = byte_words(text)
+    return [b" ".join(words)] if words else []
+
+
+def chunks(words: list[bytes], size: int = 2_000_000) -> Iterable[tuple[int, list[bytes]]]:
+    """Parts of about ``size`` bytes with the place of their first word."""
+    start = held = 0
+    for k, word in enumerate(words):
+        if held and held + len(word) > size:
+            yield start, words[start:k]
+            start, held = k, 0
+        held += len(word)
+    if start < len(words):
+        yield start, words[start:]
+
+
+def counts(rows: DataFrame, group: Column | None = None, across: bool = False) -> DataFrame:
+    """``(y, code, rest, n)`` of all words of ``rows.text``, ``y`` the group (0 without one).
+
+    With ``across``, n-grams run over the edges of words.
+    """
+    units = whole if across else byte_words
 
     def partial(batches):
         held: dict[int, list] = {}
@@ -94,15 +117,16 @@ def counts(rows: DataFrame, group: Column | None = None) -> DataFrame:
         for batch in slices(batches):
             for y, part in batch.groupby("y"):
                 vocabulary = Vocabulary()
-                uses = [vocabulary.number(byte_words(t)) for t in part["text"]]
+                uses = [vocabulary.number(units(t)) for t in part["text"]]
                 words = vocabulary.words()
                 if not words:
                     continue
                 times = np.bincount(np.concatenate(uses), minlength=len(words))
-                owner, code, rest = word_codes(words)
-                code, rest, at = distinct(code, rest)
-                held.setdefault(int(y), []).append((code, rest, np.bincount(at, times[owner])))
-                size += len(code)
+                for start, some in chunks(words):
+                    owner, code, rest = word_codes(some)
+                    code, rest, at = distinct(code, rest)
+                    held.setdefault(int(y), []).append((code, rest, np.bincount(at, times[start + owner])))
+                    size += len(code)
             if size > _FLUSH:
                 held = {y: [tuple(parts)] for y, *parts in merged()}
                 size = sum(len(p[0][0]) for p in held.values())
@@ -153,13 +177,15 @@ class Sent:
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         """Log-probability of each word in each class, words x classes; last column: symbols."""
-        owner, code, rest = word_codes(words)
-        code, rest, at = distinct(code, rest)
-        logs = self.get(code, rest)
-        out = np.zeros((len(words), logs.shape[1] + 1))
-        for c in range(logs.shape[1]):
-            out[:, c] = np.bincount(owner, logs[at, c], minlength=len(words))
-        out[:, -1] = np.bincount(owner, minlength=len(words))
+        classes = self.logs.shape[1]
+        out = np.zeros((len(words), classes + 1))
+        for start, some in chunks(words):
+            owner, code, rest = word_codes(some)
+            code, rest, at = distinct(code, rest)
+            logs, part = self.get(code, rest), slice(start, start + len(some))
+            for c in range(classes):
+                out[part, c] = np.bincount(owner, logs[at, c], minlength=len(some))
+            out[part, -1] = np.bincount(owner, minlength=len(some))
         return out
 
 
@@ -215,6 +241,29 @@ class Shares:
         )
         return held.join(scores, "word").select("key", "n", "symbols", *columns)
 
+    def joined_across(self, texts: DataFrame) -> DataFrame:
+        """``key, symbols, p0, p1, ...`` of ``texts(key, text)``, with n-grams over the edges of words.
+
+        The distinct n-grams of each text move. A key that repeats adds up.
+        """
+
+        def codes_of(batches):
+            for batch in slices(batches, 100):
+                for key, text in zip(batch["key"], batch["text"], strict=True):
+                    code, rest, at = distinct(*word_codes(whole(text))[1:])
+                    frame = pd.DataFrame({"code": code, "rest": rest, "n": np.bincount(at, minlength=len(code))})
+                    frame.insert(0, "key", pd.Series([key] * len(frame), dtype=object))
+                    yield frame
+
+        key = texts.schema["key"].dataType.simpleString()
+        codes = texts.select("key", "text").mapInPandas(codes_of, f"key {key}, code long, rest long, n long")
+        columns = [f"p{c}" for c in range(self.classes)]
+        return (
+            codes.join(self.table, _GRAM)
+            .groupBy("key")
+            .agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in columns], F.sum("n").alias("symbols"))
+        )
+
 
 @dataclass
 class Model:
