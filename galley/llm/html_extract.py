@@ -216,7 +216,7 @@ def main_text(html: str | None) -> str:
     whole = bool(names - {"html", "body"})
     near = smoothed(scores)
     bar = THRESHOLD * near[top]
-    kept = [t for path, t, _ in held if (path[: len(root)] == root if whole else near[path] >= bar)]
+    kept = [t for path, t, _ in held if near[path] >= bar or (whole and path[: len(root)] == root)]
     return " ".join(kept)
 
 

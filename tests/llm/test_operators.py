@@ -475,5 +475,19 @@ def test_boilerplate_goes():
     assert html_extract.main_text(page) == "Ti&tle One two, three. Four five a b"
 
 
+def test_text_in_sibling_containers_comes_out():
+    """Pages without article or main, and with two: what passes the threshold is kept wherever it is."""
+    say = lambda k: f"<p>{f'Sentence {k}, with some words in it, and a stop. ' * 6}</p>"
+    links = "<div class=links><a href=x>One</a><a href=y>Two</a></div>"
+    pages = (
+        f"<body><div class=content><section class=intro>{say(1)}</section><section class=main>{say(2)}{say(3)}</section></div>{links}",
+        f"<body><article id=a>{say(1)}</article><article id=b>{say(2)}{say(3)}</article>{links}",
+        f"<body>{links}<div class=first>{say(1)}</div><div class=second>{say(2)}</div><div class=third>{say(3)}</div>",
+    )
+    for page in pages:
+        got = html_extract.main_text(f"<html>{page}</body></html>")
+        assert all(f"Sentence {k}," in got for k in (1, 2, 3)) and "One" not in got, page
+
+
 def test_words_part_at_six_characters_only():
     assert byte_words("a\u00a0b c\x1cd\te\u2003f") == ["a\u00a0b".encode(), b"c\x1cd", "e\u2003f".encode()]
