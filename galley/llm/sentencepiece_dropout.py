@@ -3,10 +3,10 @@
 A text is cut into units: a run of spaces with the letters, or the other characters, after it (no
 piece of the vocabulary reaches over the start of such a unit; that is checked). Inside a unit the best-scored
 pair of neighbours is merged first, the leftmost among equals. Each candidate merge is skipped if
-a keyed hash of the seed, the stream, the place among the symbols and the merged piece falls below the dropout rate;
-a skipped pair can only come back as part of another pair. Every occurrence of a unit draws one of
-``STREAMS`` streams by a hash of the seed, the text and its position, so that equal units are
-segmented in different ways while the work for each is done once per stream. Characters without a
+a keyed hash of the seed, the text, the position of the unit in it, the place among the symbols and
+the merged piece falls below the dropout rate; a skipped pair can only come back as part of another
+pair. So every occurrence of a unit draws its own skips. What is kept of a unit is its tree of
+decisions: the candidate merge that follows each sequence of merges and skips. Characters without a
 piece become byte pieces.
 
 Without dropout the ids are those of the library. Decoding gives back the text exactly: a U+2581 in
@@ -32,10 +32,9 @@ from pyspark.sql import functions as F
 
 DROPOUT = 0.1
 SEED = 13
-STREAMS = 4
 SPACE = "▁"
 LONG = 48
-MAX_CACHED = 600_000
+MAX_CACHED = 400_000
 _MASK = (1 << 64) - 1
 _STEP, _FACTOR = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 # Units end where letters meet anything else: ASCII without letters, Latin-1 signs, U+2000 to U+2BFF.
@@ -87,6 +86,9 @@ class Pieces:
     def encode_unit(self, unit: str, key: int, limit: int) -> list[int]:
         """Ids of one unit; merges whose keyed hash is below ``limit`` are skipped."""
         merged = self._merge_long(unit, key, limit) if len(unit) > LONG else self._merge(unit, key, limit)
+        return self._ids(merged)
+
+    def _ids(self, merged: list[str]) -> list[int]:
         out = list(map(self.ids.get, merged))
         if None in out:
             out = []
@@ -95,6 +97,38 @@ class Pieces:
                 out += [k] if k is not None else [self.bytes[b] for b in symbol.encode("utf-8", "replace")]
         return out
 
+    def grow(self, unit: str, node: list | None, key: int, limit: int) -> tuple[list | bytes, bytes, int]:
+        """The tree with the decisions of this key, its ids, and the number of nodes made.
+
+        A node is ``[step, turn, what follows the merge, what follows the skip]``, the ids end a path.
+        """
+        symbols = list(unit)
+        score, turn = self.scores.get, self.turns
+        agenda = [score(pair, 0.0) for pair in map(str.__add__, symbols, unit[1:])]
+        agenda.append(0.0)
+        tree = parent = [None]
+        slot, made = 0, 1
+        tree[0] = node
+        while best := min(agenda):
+            at = agenda.index(best)
+            piece = symbols[at] + symbols[at + 1]
+            node = parent[slot]
+            if node is None:
+                node = parent[slot] = [at * _STEP, turn[piece], None, None]
+                made += 1
+            skipped = ((key + node[0] ^ node[1]) * _FACTOR & _MASK) < limit
+            parent, slot = node, 2 + skipped
+            if skipped:
+                agenda[at] = 0.0
+                continue
+            symbols[at] = piece
+            del symbols[at + 1], agenda[at + 1]
+            agenda[at] = score(piece + symbols[at + 1], 0.0) if at + 1 < len(symbols) else 0.0
+            if at:
+                agenda[at - 1] = score(symbols[at - 1] + piece, 0.0)
+        ids = parent[slot] = array("i", self._ids(symbols)).tobytes()
+        return tree[0], ids, made
+
     def _merge(self, unit: str, key: int, limit: int) -> list[str]:
         symbols = list(unit)
         score, turn = self.scores.get, self.turns
@@ -154,38 +188,46 @@ def _pieces(path: str) -> Pieces:
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of the units it has met, up to ``MAX_CACHED`` of them."""
+    """Encodes texts; keeps the trees of the units it has met, up to ``MAX_CACHED`` nodes."""
 
     def __init__(self, path: str, dropout: float, seed: int) -> None:
         self.pieces = _pieces(path)
         self.limit = int(dropout * 2**64)
         self.seed = seed
-        self.keys = [_mixed((seed * 0x9E3779B97F4A7C15 + k + 1) & _MASK) for k in range(STREAMS)]
-        self.cached: list[dict[str, bytes]] = [{} for _ in range(STREAMS)]
+        self.roots: dict[str, list | bytes] = {}
+        self.nodes = 0
 
-    def streams(self, text: str, n: int) -> list[int]:
+    def keys(self, text: str, n: int) -> list[int]:
+        """A key for each unit of a text."""
         if not self.limit:
             return [0] * n
-        x = np.arange(n, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), self.seed))
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        return (x >> np.uint64(40)).astype(np.int64).__mod__(STREAMS).tolist()
+        x = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), self.seed))
+        x = (x ^ (x >> np.uint64(31))) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_STEP)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))).tolist()
+
+    def unit(self, unit: str, key: int) -> bytes:
+        """Ids of one occurrence of a unit."""
+        if len(unit) > LONG:
+            return array("i", self.pieces.encode_unit(unit, key, self.limit)).tobytes()
+        root = node = self.roots.get(unit)
+        limit = self.limit
+        while type(node) is list:
+            node = node[2 + (((key + node[0] ^ node[1]) * _FACTOR & _MASK) < limit)]
+        if node is None:
+            if self.nodes >= MAX_CACHED:
+                self.roots.clear()
+                self.nodes, root = 0, None
+            self.roots[unit], node, made = self.pieces.grow(unit, root, key, limit)
+            self.nodes += made
+        return node
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
         units = _UNITS.findall(" " + text)
-        cached = self.cached
-        out = []
-        for unit, stream in zip(units, self.streams(text, len(units)), strict=True):
-            ids = cached[stream].get(unit)
-            if ids is None:
-                ids = array("i", self.pieces.encode_unit(unit, self.keys[stream], self.limit)).tobytes()
-                if len(unit) <= LONG:
-                    if len(cached[stream]) >= MAX_CACHED // STREAMS:
-                        cached[stream].clear()
-                    cached[stream][unit] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), dtype=np.int32)
+        return np.frombuffer(b"".join(map(self.unit, units, self.keys(text, len(units)))), dtype=np.int32)
 
 
 @lru_cache(maxsize=2)

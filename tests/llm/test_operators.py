@@ -70,6 +70,24 @@ def test_dropout_varies_and_decodes_exactly(texts):
     assert changed > len(texts) / 2
 
 
+def test_every_occurrence_draws_its_own_skips():
+    path = sentencepiece_dropout.default_model()
+    encoder = sentencepiece_dropout.Encoder(path, 0.3, 1)
+    ids = encoder.encode(" ".join(["international"] * 400)).tolist()
+    units, own = set(), []
+    for k in ids:
+        if encoder.pieces.held[k].startswith(b" ") and own:
+            units.add(tuple(own))
+            own = []
+        own.append(k)
+    assert len(units) > 20
+    pieces, random_ = encoder.pieces, random.Random(4)
+    for _ in range(300):  # the tree of decisions is the agenda itself
+        unit = " " + "".join(random_.choice("thenadiosr") for _ in range(random_.randint(1, 12)))
+        key = random_.getrandbits(64)
+        assert np.frombuffer(encoder.unit(unit, key), np.int32).tolist() == pieces.encode_unit(unit, key, encoder.limit)
+
+
 def test_long_units_merge_as_short_ones():
     pieces = sentencepiece_dropout.Pieces(sentencepiece_dropout.default_model())
     random.seed(3)
