@@ -104,7 +104,9 @@ CONFIDENCE = {4: 0.99, 3: 0.95, 2: 0.85, 1: 0.6}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_KEYWORDS = "(?i)licen|spdx|(?:released|distributed|available|published|provided|covered) under"
+# On the raw text, so any separators may stand between the words of a keyword.
+_APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_KEYWORDS = f"(?i)licen|spdx|(?:released|distributed|available|published|provided|covered){_APART}under"
 
 
 def _any(names: str) -> str:

@@ -45,3 +45,15 @@ def test_license_scan_of_random_words_equals_sql(spark):
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
     _same(license_rules.scanned(frame).toPandas(), con.execute(ORACLE["op7_license_rules"]).df())
+
+
+def test_license_scan_of_wrapped_references_equals_sql(spark):
+    rows = [
+        (k, f"Released{gap}under the{gap}Mozilla Public terms. DISTRIBUTED{gap}Under the GPL.")
+        for k, gap in enumerate([" ", "\n", "\t", "  ", ", ", "\r\n * ", " -- "])
+    ]
+    got = license_rules.scanned(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    _same(got, con.execute(ORACLE["op7_license_rules"]).df())
+    assert set(got["labels"]) == {"gpl,mpl"}
