@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.llm import (
+    exact_topk,
     html_extract,
     jaccard_join,
     language_ecoc,
@@ -15,8 +16,10 @@ from galley.llm import (
     nn_descent,
     packing,
     perplexity_rules,
+    prefix_trie,
     quality_qda,
     sentencepiece_dropout,
+    token_alignment,
     toxicity,
 )
 from galley.llm.shared import prepared, table
@@ -85,3 +88,18 @@ def op1(spark, folder):
 @query("op6_nn_descent")
 def op6(spark, folder):
     return nn_descent.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_prefix_trie")
+def op11(spark, folder):
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
+@query("op12_norm_buckets")
+def op12(spark, folder):
+    return exact_topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_pair_bitmaps")
+def op13(spark, folder):
+    return token_alignment.aligned(table(spark, folder, "documents"))
