@@ -755,6 +755,37 @@ _report(
 _report(
     "n20_ad_revenue_by_campaign", ["ad_revenue"], ["campaign_id", "campaign_name"], ["dim_campaign"]
 )
+# The same questions, answered from stored roll-ups.
+for _name in (
+    "n02_active_subscribers_card", "n04_churn_rate_card", "n07_page_views_by_month", "n08_new_and_churned_by_month",
+    "n09_top_brands", "n10_brand_churn_rate", "n11_top_sections", "n12_mrr_trend", "n13_ecpm_by_platform",
+    "n15_arpu_by_brand", "n16_churn_by_brand_and_month", "n17_best_ecpm_brand", "n18_brand_growth",
+    "n20_monthly_active_users", "n20_top_content", "n20_ad_revenue_by_campaign", "drill_across_months",
+):
+    ORACLE[f"stored_{_name}"] = ORACLE[_name]
+
+_BY_MONTH = """dated AS (
+  SELECT CAST(year * 100 + month AS INTEGER) AS date_month, f.* FROM fct_engagement f LEFT JOIN dim_date USING (date_key))"""
+_LEVELS = (
+    "date_month, brand_key, content_key, platform_key", "date_month, brand_key, platform_key", "date_month, content_key",
+    "date_month, brand_key", "date_month", "brand_key", "",
+)
+_star(
+    "rollup_levels",
+    f", {_BY_MONTH} "
+    + " UNION ALL ".join(
+        f"""SELECT CAST({n} AS INTEGER) AS level, count(*) AS groups, CAST(sum(r) AS BIGINT) AS rows,
+            CAST(sum(p) AS BIGINT) AS page_views
+            FROM (SELECT count(*) AS r, sum(page_views) AS p FROM dated {f"GROUP BY {k}" if k else ""})"""
+        for n, k in enumerate(_LEVELS)
+    ),
+)
+_star(
+    "distinct_users_cube",
+    f""", {_BY_MONTH} SELECT date_month, brand_key, platform_key,
+       CAST(grouping(date_month, brand_key, platform_key) AS BIGINT) AS level, count(DISTINCT subscriber_key) AS active_users
+       FROM dated GROUP BY CUBE (date_month, brand_key, platform_key)""",
+)
 _sql(
     "n21_top_event_types",
     "SELECT event_type, count(*) AS count FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3",

@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entrypoints.star import snapshot, star
+from entrypoints.star import snapshot, star, stored_model
 from galley.functions import columns as c
+from galley.operators import bitmaps
 from galley.operators import quality as q
 from galley.operators.keys import dense_key, first_per_key, with_row_id
 from galley.operators.lookup import joined_rows, orphan_keys, orphan_rows
-from galley.plans import gold, pipeline, reports, silver, warehouse
+from galley.plans import gold, pipeline, reports, rollups, silver, warehouse
 from galley.plans.measures import (
     RELATIONSHIPS,
     displayed,
@@ -694,6 +695,57 @@ _report("n20_top_content", reports.top_content)
 _report("n20_ad_revenue_by_campaign", reports.ad_revenue_by_campaign)
 
 
+# --- stored roll-ups --------------------------------------------------------------------
+
+
+def _stored_report(name: str, build) -> None:
+    """A report from roll-ups alone: the facts are taken away."""
+
+    @query(f"stored_{name}")
+    def run(spark, folder):
+        return build(stored_model(spark, folder))
+
+
+for _name, _build in {
+    "n02_active_subscribers_card": lambda m: reports.card(m, "active_subscribers"),
+    "n04_churn_rate_card": lambda m: reports.card(m, "churn_rate_pct"),
+    "n07_page_views_by_month": reports.page_views_by_month,
+    "n08_new_and_churned_by_month": reports.new_and_churned_by_month,
+    "n09_top_brands": reports.top_brands,
+    "n10_brand_churn_rate": lambda m: reports.brand_churn_rate(m, "Brand#7", m.last_day("fct_subscription")),
+    "n12_mrr_trend": lambda m: reports.mrr_trend(m, m.last_day("fct_subscription")),
+    "n11_top_sections": lambda m: reports.top_sections(m, m.last_day("fct_engagement")),
+    "n13_ecpm_by_platform": reports.ecpm_by_platform,
+    "n15_arpu_by_brand": reports.brands_by_arpu,
+    "n16_churn_by_brand_and_month": reports.churn_by_brand_and_month,
+    "n17_best_ecpm_brand": lambda m: reports.best_ecpm_brand(m, m.last_day("fct_ad")),
+    "n18_brand_growth": lambda m: reports.brand_growth(m, "Brand#7"),
+    "n20_monthly_active_users": reports.monthly_active_users,
+    "n20_top_content": reports.top_content,
+    "n20_ad_revenue_by_campaign": reports.ad_revenue_by_campaign,
+    "drill_across_months": lambda m: m.query(["new_subscribers", "ad_clicks", "page_views"], reports.MONTHS),
+}.items():
+    _stored_report(_name, _build)
+
+
+@query("rollup_levels")
+def rollup_levels(spark, folder):
+    """Every level of the engagement roll-up: groups, events and page views."""
+    sums = stored_model(spark, folder).rollups.sums["fct_engagement"]
+    return sums.groupBy("level").agg(
+        F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows"), F.sum("page_views").alias("page_views")
+    )
+
+
+@query("distinct_users_cube")
+def distinct_users_cube(spark, folder):
+    """Distinct users by month, brand and platform with all subtotals, from stored bitmaps."""
+    sets = stored_model(spark, folder).rollups.sets["fct_engagement"]
+    keys = rollups.BITMAP_KEYS["fct_engagement"]
+    every = [[k for i, k in enumerate(keys) if n >> i & 1] for n in range(1 << len(keys))]
+    return bitmaps.counted_sets(sets, every, "active_users")
+
+
 @query("n21_top_event_types")
 def n21(spark, folder):
     return reports.top_event_types(_t(spark, folder, "events"))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.plans import pipeline
+from galley.plans import pipeline, rollups
 from galley.plans.measures import StarModel
 from galley.session import scratch_path
 from galley.sources import retail
@@ -88,3 +88,16 @@ def snapshot(spark: SparkSession, folder: str) -> DataFrame:
         layers = star(spark, folder).layers
         _snapshots[key] = pipeline.load_snapshot(spark, layers, retail.SNAPSHOT_CALENDAR, retail.SNAPSHOT_END)
     return _snapshots[key]
+
+
+_stored: dict[tuple[str, str], StarModel] = {}
+
+
+def stored_model(spark: SparkSession, folder: str) -> StarModel:
+    """The model with its roll-ups, which are written once in a session."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _stored:
+        built = star(spark, folder)
+        rollups.build_rollups(spark, built.layers)
+        _stored[key] = replace(built.model, rollups=rollups.load_rollups(spark, built.layers))
+    return _stored[key]

@@ -8,8 +8,11 @@ fact table involved, joined on the grouping columns if there are several facts.
   and on ``date_month`` where the fact is partitioned by it, which skips whole folders.
 * Sums and counts are grouped by the foreign keys first and joined to the dimensions
   afterwards: the join sees one row per key combination, not one per fact row.
-* Distinct counts cannot be added up, so they are grouped by the final attributes; ratios
-  are computed last, from their aggregated parts.
+* Distinct counts cannot be added up: the rows are first reduced to the distinct combinations of
+  foreign keys and counted value, then joined and counted by the final attributes. Ratios are
+  computed last, from their aggregated parts.
+* With stored roll-ups (``rollups``), what they cover is answered from them, distinct counts
+  included, and the fact is not read.
 * Grouping uses left joins: facts without a dimension row stay, under null, and the groups
   of an additive measure add up to its total.
 """
@@ -20,6 +23,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,10 +183,12 @@ def _finished(m: Measure) -> Column:
 
 @dataclass(frozen=True)
 class StarModel:
-    """Dimension and fact tables by name, and the day that has ``date_key`` 1."""
+    """Dimension and fact tables by name, the day that has ``date_key`` 1, and stored roll-ups
+    (``galley.plans.rollups.Rollups``), if there are any."""
 
     tables: Mapping[str, DataFrame]
     calendar_start: date
+    rollups: Any = None
 
     def relate(self, fact: str, dim: str) -> DataFrame:
         """Fact rows with the attributes of one dimension."""
@@ -240,6 +246,10 @@ class StarModel:
         where: Mapping[str, Column],
         period: tuple[date, date] | None,
     ) -> DataFrame:
+        if self.rollups is not None:
+            stored = self.rollups.answer(self, fact, bases, by, where, period)
+            if stored is not None:
+                return stored
         rows = self._sliced(fact, where, period)
         parts = {f"__{b}": MEASURES[b].base for b in bases}
         if not by:
@@ -251,18 +261,15 @@ class StarModel:
         keys = [self._key(fact, d) for d in dims]
         attributes = [column for _, column in by]
 
-        if all(b.kind != "distinct" for b in parts.values()):
-            rows = rows.groupBy(*keys).agg(*[b.aggregate().alias(n) for n, b in parts.items()])
-            final = [F.sum(n).alias(n) for n in parts]
-        else:
-            # Value columns get new names: one of them may also be a key.
-            needed = sorted({c for b in parts.values() for c in b.columns()})
-            rows = rows.select(*keys, *[F.col(c).alias(f"__v_{c}") for c in needed])
-            renamed = {
-                n: Base(b.fact, b.kind, f"__v_{b.column}", f"__v_{b.flag}" if b.flag else None)
-                for n, b in parts.items()
-            }
-            final = [b.aggregate().alias(n) for n, b in renamed.items()]
+        # The counted value gets a new name: its column may also be a key.
+        counted = {n: b.row_value().alias(f"__v{n}") for n, b in parts.items() if b.kind == "distinct"}
+        added = {n: b for n, b in parts.items() if b.kind != "distinct"}
+        rows = rows.select("*", *counted.values()).groupBy(*keys, *[f"__v{n}" for n in counted])
+        # without sums, the groups themselves are the distinct combinations
+        rows = rows.agg(F.count(F.lit(1)).alias("__rows"), *[b.aggregate().alias(n) for n, b in added.items()])
+        final = [
+            (F.count_distinct(f"__v{n}") if b.kind == "distinct" else F.sum(n)).alias(n) for n, b in parts.items()
+        ]
 
         for dim, columns in dims.items():
             key = self._key(fact, dim)
@@ -290,15 +297,18 @@ class StarModel:
         if len(set(names)) != len(names):
             raise ValueError(f"grouping columns share a name: {names}")
 
-        per_fact: dict[str, list[str]] = {}
+        # Roll-ups keep sums and sets in different tables; the fact has both.
+        per_fact: dict[tuple[str, bool], list[str]] = {}
         for m in wanted:
             for b in _bases_of(m):
-                found = per_fact.setdefault(MEASURES[b].base.fact, [])
+                base = MEASURES[b].base
+                apart = self.rollups is not None and base.kind == "distinct"
+                found = per_fact.setdefault((base.fact, apart), [])
                 if b not in found:
                     found.append(b)
         frames = [
             self._aggregate(fact, bases, groups, where or {}, period)
-            for fact, bases in per_fact.items()
+            for (fact, _), bases in per_fact.items()
         ]
         if len(frames) == 1:
             joined = frames[0]
