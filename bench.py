@@ -59,13 +59,14 @@ def media_layers(spark, timed) -> dict[str, float]:
     calendar = pipeline.Calendar(gold.CALENDAR_START, gold.CALENDAR_END)
     raw = synthetic.raw_tables(spark, GENERATED_BRANDS)
     brands, platforms = seeds.dim_brand(spark, GENERATED_BRANDS), seeds.dim_platform(spark)
+    seen: pipeline.Seen = {}
     return {
-        "media_bronze": timed(lambda: pipeline.load_bronze(spark, layers, raw)),
-        "media_silver": timed(lambda: pipeline.build_silver(spark, layers)),
+        "media_bronze": timed(lambda: pipeline.load_bronze(spark, layers, raw, seen)),
+        "media_silver": timed(lambda: pipeline.build_silver(spark, layers, seen=seen)),
         "media_gold": timed(
-            lambda: pipeline.build_gold(spark, layers, calendar, brands, platforms)
+            lambda: pipeline.build_gold(spark, layers, calendar, brands, platforms, seen=seen)
         ),
-        "media_checks": timed(lambda: gate(pipeline.check_gold(spark, layers, calendar))),
+        "media_checks": timed(lambda: gate(pipeline.check_gold(spark, layers, calendar, seen=seen))),
     }
 
 

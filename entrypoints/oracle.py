@@ -1036,3 +1036,39 @@ _star(
     f"""SELECT count(*) AS checks, count(*) FILTER (WHERE NOT passed) AS failed, bool_and(passed) AS passed
         FROM ({_union(_LAYER_CHECKS)})""",
 )
+
+ORACLE["dq_suite_observed"] = ORACLE["dq_suite"]
+_sql(
+    "dq_observed_faults",
+    """WITH counted AS (
+         SELECT count(*) AS rows, count(*) FILTER (WHERE l_shipdate IS NULL) AS nulls,
+                count(*) FILTER (WHERE l_quantity < 0) AS negative,
+                count(*) FILTER (WHERE NOT (l_discount <= l_tax)) AS broken
+         FROM lineitem)
+       SELECT "check", target, violations, violations = 0 AS passed, rows FROM (
+         SELECT 'not_empty' AS "check", 'lineitem' AS target, CAST(CASE WHEN rows = 0 THEN 1 ELSE 0 END AS BIGINT) AS violations, rows
+         FROM counted
+         UNION ALL SELECT 'no_nulls', 'lineitem.l_shipdate', nulls, rows FROM counted
+         UNION ALL SELECT 'non_negative', 'lineitem.l_quantity', negative, rows FROM counted
+         UNION ALL SELECT 'expect', 'lineitem.discount<=tax', broken, rows FROM counted)""",
+)
+
+_star(
+    "stable_keys",
+    """, first AS (
+         SELECT subscriber_id, row_number() OVER (ORDER BY subscriber_id) AS first_key
+         FROM silver_subscriptions WHERE signup_date < DATE '1996-01-01')
+       SELECT subscriber_id, first_key, CASE WHEN first_key IS NOT NULL THEN first_key ELSE (SELECT count(*) FROM first)
+         + row_number() OVER (PARTITION BY first_key IS NULL ORDER BY subscriber_id) END AS subscriber_key
+       FROM silver_subscriptions LEFT JOIN first USING (subscriber_id)""",
+)
+_star(
+    "stable_campaign_keys",
+    """, loads AS (
+         SELECT campaign_id, min(CASE WHEN year(impression_date) <= 1995 AND impressions >= 5000 THEN 1
+                WHEN year(impression_date) <= 1998 AND impressions >= 2900 THEN 2
+                WHEN impressions >= 100 THEN 3 END) AS batch
+         FROM silver_ad_impressions GROUP BY 1)
+       SELECT campaign_id, row_number() OVER (ORDER BY batch, campaign_id) AS campaign_key, CAST(batch AS INTEGER) AS batch
+       FROM loads WHERE batch IS NOT NULL""",
+)

@@ -21,6 +21,7 @@ from galley.operators import bitmaps
 from galley.operators import quality as q
 from galley.operators.keys import dense_key, first_per_key, with_row_id
 from galley.operators.lookup import joined_rows, orphan_keys, orphan_rows
+from galley.operators.registry import KeyRegistry
 from galley.plans import gold, pipeline, reports, rollups, silver, warehouse
 from galley.plans.measures import (
     RELATIONSHIPS,
@@ -582,6 +583,31 @@ def snapshot_mrr_by_month(spark, folder):
     return reports.mrr_by_month(snapshot(spark, folder))
 
 
+# --- keys of several runs ---------------------------------------------------------------
+
+
+@query("stable_keys")
+def stable_keys(spark, folder):
+    """Subscriber keys of a first load (signups before 1996) and of the load of all rows after it."""
+    keys = KeyRegistry(spark, _layer(spark, "keys"))
+    raw = star(spark, folder).bronze["raw_subscriptions"]
+    runs = [raw.where(F.col("signup_date") < F.lit(date(1996, 1, 1))), raw]
+    first, second = (silver.silver_subscriptions(rows, "bigint", keys).select("subscriber_id", "subscriber_key") for rows in runs)
+    return second.join(first.withColumnRenamed("subscriber_key", "first_key"), "subscriber_id", "left")
+
+
+@query("stable_campaign_keys")
+def stable_campaign_keys(spark, folder):
+    """Campaigns by load: the keys each load of a growing table (by year) has added."""
+    layer = _layer(spark, "keys")
+    keys = KeyRegistry(spark, layer)
+    ads = star(spark, folder).silver["silver_ad_impressions"]
+    for year in (1995, 1998, 2002):
+        rows = ads.where(F.year("impression_date") <= year) if year < 2002 else ads
+        gold.dim_campaign(rows.where(F.col("impressions") >= 5000 - (year - 1995) * 700), "bigint", keys)
+    return keys.known("campaign_key").select(F.col("id").alias("campaign_id"), F.col("key").alias("campaign_key"), "batch")
+
+
 # --- joins ------------------------------------------------------------------------------
 
 
@@ -951,6 +977,37 @@ def dq_suite(spark, folder):
     return pipeline.gold_checks(s.gold)
 
 
+@query("dq_suite_observed")
+def dq_suite_observed(spark, folder):
+    """The gold suite of a fresh build, its rules observed by the writes."""
+    s = star(spark, folder)
+    layers = catalog.Layers(s.layers.bronze, s.layers.silver, _layer(spark, "observed"))
+    seen: pipeline.Seen = {}
+    pipeline.build_gold(
+        spark, layers, retail.CALENDAR, retail.brands(spark, folder), retail.platforms(spark), retail.KEY_TYPE, seen
+    )
+    return pipeline.gold_checks(pipeline.load_model(spark, layers, retail.CALENDAR).tables, seen)
+
+
+@query("dq_observed_faults")
+def dq_observed_faults(spark, folder):
+    """Rules of a table that breaks them, counted while it is written."""
+    lines = _t(spark, folder, "lineitem")
+    rules = [
+        q.rule_not_empty(),
+        q.rule_no_null("l_shipdate"),
+        q.rule_non_negative("l_quantity"),
+        q.rule_expect("discount<=tax", F.col("l_discount") <= F.col("l_tax")),
+    ]
+    seen = q.Observed("lineitem", rules)
+    month = F.year("l_shipdate") * 100 + F.month("l_shipdate")
+    catalog.write_table(
+        lines.withColumn("month", month), _layer(spark, "faults"), "lineitem",
+        partition_by=["month"], cluster_by=["l_shipdate"], watch=seen.watch,
+    )
+    return seen.checks(spark).withColumn("rows", F.lit(seen.rows).cast("long"))
+
+
 @query("dq_summary")
 def dq_summary(spark, folder):
     s = star(spark, folder)

@@ -1,8 +1,9 @@
 """Data-quality checks. Every check yields rows ``(check, target, violations, passed)``.
 
 Rules that look at one row at a time (nulls, signs, row predicates) and table-wide simple
-aggregates are collected per table and answered by a single scan; only uniqueness and
-referential integrity need a shuffle of their own, and both count per key before it.
+aggregates are collected per table and answered by a single scan, or by the write of the table
+itself (``Observed``); only uniqueness and referential integrity need a shuffle of their own, and
+both count per key before it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,9 +39,12 @@ class QualityError(RuntimeError):
 
 @dataclass(frozen=True)
 class Rule:
+    """``observable`` rules are sums over rows; those that look for distinct values are not."""
+
     check: str
     target: str
     violations: Column
+    observable: bool = True
 
 
 def rule_not_empty() -> Rule:
@@ -66,7 +70,7 @@ def rule_no_gaps(column: str) -> Rule:
     """One row for each day between the first and the last: missing and repeated days count."""
     expected = F.datediff(F.max(column), F.min(column)) + 1
     days = F.count_distinct(column)
-    return Rule("no_gaps", column, (expected - days) + (F.count(F.lit(1)) - days))
+    return Rule("no_gaps", column, (expected - days) + (F.count(F.lit(1)) - days), observable=False)
 
 
 def table_checks(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
@@ -86,6 +90,51 @@ def table_checks(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
     return counted.select(F.inline(F.array(*rows)))
 
 
+class Observed:
+    """Rules and figures of a table, gathered by the write that makes it.
+
+    ``watch`` is applied to what is written, after its last shuffle: those tasks count once, also
+    when executors are lost and earlier stages run again. After the write, ``rows``, ``figures`` and
+    ``checks`` tell what went by, without reading the table. Rules that cannot be observed are
+    left to a scan of the written table.
+    """
+
+    def __init__(self, table: str, rules: Sequence[Rule] = (), figures: Mapping[str, Column] | None = None) -> None:
+        self.table = table
+        self.rules = [r for r in rules if r.observable]
+        self.others = [r for r in rules if not r.observable]
+        self._figures = dict(figures or {})
+        self._observation = Observation()
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        counted = [F.coalesce(r.violations, F.lit(0)).cast("long").alias(f"v{i}") for i, r in enumerate(self.rules)]
+        figures = [c.alias(f"f{i}") for i, c in enumerate(self._figures.values())]
+        return df.observe(self._observation, F.count(F.lit(1)).alias("rows"), *counted, *figures)
+
+    @property
+    def rows(self) -> int:
+        return self._observation.get["rows"]
+
+    @property
+    def figures(self) -> dict[str, object]:
+        seen = self._observation.get
+        return {name: seen[f"f{i}"] for i, name in enumerate(self._figures)}
+
+    def checks(self, spark: SparkSession, written: DataFrame | None = None) -> DataFrame:
+        """Check rows; ``written`` is the table, for rules that need a scan."""
+        seen = self._observation.get
+        found = [
+            (r.check, self.table if r.target == "*" else f"{self.table}.{r.target}", seen[f"v{i}"], seen[f"v{i}"] == 0)
+            for i, r in enumerate(self.rules)
+        ]
+        rows = spark.createDataFrame(found, CHECK_SCHEMA)
+        if self.others:
+            if written is None:
+                raise ValueError(f"{self.table} has rules that need a scan")
+            rows = rows.unionByName(table_checks(written, self.table, self.others))
+        return rows
+
+
 def not_empty(df: DataFrame, table: str) -> DataFrame:
     return table_checks(df, table, [rule_not_empty()])
 
@@ -232,6 +281,11 @@ def same_count(before: DataFrame, after: DataFrame, target: str) -> DataFrame:
     return _one_row(counted, "same_count", target)
 
 
+def same_rows(before: Observed, after: Observed, target: str) -> DataFrame:
+    """``same_count`` of two observed writes."""
+    return _from_schema(SparkSession.active(), "same_count", target, abs(after.rows - before.rows))
+
+
 # --- checks on the schema alone ---------------------------------------------------------
 
 

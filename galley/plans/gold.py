@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from galley.functions.columns import MONEY, calendar_columns, flag
 from galley.operators.keys import dense_key, first_per_key
 from galley.operators.lookup import Lookup, left_lookup, star_lookup
+from galley.operators.registry import KeyRegistry
+from galley.plans.silver import with_key
 
 # Fixed range of the default calendar.
 CALENDAR_START = date(2026, 3, 25)
@@ -70,11 +72,13 @@ def dim_subscriber(subscriptions: DataFrame, dates: DataFrame) -> DataFrame:
     )
 
 
-def dim_campaign(ads: DataFrame, key_type: str = "int") -> DataFrame:
+def dim_campaign(
+    ads: DataFrame, key_type: str = "int", keys: KeyRegistry | None = None
+) -> DataFrame:
     """One row per campaign id; where its attributes vary, the smallest combination."""
     columns = ["campaign_id", "campaign_name", "advertiser", "channel"]
     kept = first_per_key(ads.select(*columns), ["campaign_id"])
-    keyed = dense_key(kept, "campaign_id", "campaign_key", key_type, ids=ads)
+    keyed = with_key(kept, "campaign_id", "campaign_key", key_type, ads, keys)
     return keyed.select("campaign_key", *columns, F.col("channel").alias("campaign_type"))
 
 

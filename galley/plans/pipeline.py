@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.operators import quality as q
+from galley.operators.registry import KeyRegistry
 from galley.plans import gold, silver
 from galley.plans.measures import (
+    RECONCILE_SQL,
     RELATIONSHIPS,
     StarModel,
     expected_values,
@@ -70,16 +72,41 @@ def side_by_side(writes: Sequence[Callable[[], object]]) -> list:
         return list(pool.map(lambda write: write(), writes))
 
 
-def load_bronze(spark: SparkSession, layers: Layers, raw: Mapping[str, DataFrame]) -> None:
+# Tables by name with what their writes have observed. A build fills it where one is given.
+Seen = dict[str, q.Observed]
+
+
+def _watched(seen: Seen | None, table: str, rules: Sequence[q.Rule], figures: Mapping | None = None):
+    """What a write of the table is to be watched by; None where nobody looks."""
+    if seen is None:
+        return None
+    seen[table] = q.Observed(table, rules, figures)
+    return seen[table].watch
+
+
+def load_bronze(
+    spark: SparkSession, layers: Layers, raw: Mapping[str, DataFrame], seen: Seen | None = None
+) -> None:
     side_by_side(
-        [lambda t=t: write_table(raw[t], layers.bronze, t, layers.fmt) for t in BRONZE_TABLES]
+        [
+            lambda t=t: write_table(
+                raw[t], layers.bronze, t, layers.fmt, watch=_watched(seen, t, bronze_rules(t))
+            )
+            for t in BRONZE_TABLES
+        ]
     )
 
 
-def build_silver(spark: SparkSession, layers: Layers, key_type: str = "int") -> None:
+def build_silver(
+    spark: SparkSession,
+    layers: Layers,
+    key_type: str = "int",
+    seen: Seen | None = None,
+    keys: KeyRegistry | None = None,
+) -> None:
     builders = {
-        "silver_content": lambda raw: silver.silver_content(raw, key_type),
-        "silver_subscriptions": lambda raw: silver.silver_subscriptions(raw, key_type),
+        "silver_content": lambda raw: silver.silver_content(raw, key_type, keys),
+        "silver_subscriptions": lambda raw: silver.silver_subscriptions(raw, key_type, keys),
         "silver_engagement": silver.silver_engagement,
         "silver_ad_impressions": silver.silver_ad_impressions,
     }
@@ -87,7 +114,8 @@ def build_silver(spark: SparkSession, layers: Layers, key_type: str = "int") ->
     def put(name: str) -> None:
         source = name.replace("silver_", "raw_")
         rows = builders[name](read_table(spark, layers.bronze, source))
-        write_table(rows, layers.silver, name, layers.fmt)
+        watch = _watched(seen, name, silver_rules(name))
+        write_table(rows, layers.silver, name, layers.fmt, watch=watch)
 
     side_by_side([lambda t=t: put(t) for t in SILVER_TABLES])
 
@@ -99,6 +127,8 @@ def build_gold(
     brands: DataFrame,
     platforms: DataFrame,
     key_type: str = "int",
+    seen: Seen | None = None,
+    keys: KeyRegistry | None = None,
 ) -> None:
     """Dimensions are written and read back before the facts use them: their size is then
     known to the optimizer, which broadcasts only those that are small. Facts are
@@ -106,7 +136,9 @@ def build_gold(
     s = {name: read_table(spark, layers.silver, name) for name in SILVER_TABLES}
 
     def put(df: DataFrame, name: str, **layout) -> DataFrame:
-        write_table(df, layers.gold, name, layers.fmt, overwrite_schema=True, **layout)
+        figures = {title: F.expr(text) for title, text in RECONCILE_SQL.get(name, {}).items() if _adds_up(text)}
+        watch = _watched(seen, name, gold_rules(name), figures)
+        write_table(df, layers.gold, name, layers.fmt, overwrite_schema=True, watch=watch, **layout)
         return read_table(spark, layers.gold, name)
 
     dates, brand, platform, campaigns = side_by_side(
@@ -114,7 +146,7 @@ def build_gold(
             lambda: put(gold.dim_date(spark, calendar.start, calendar.end), "dim_date"),
             lambda: put(brands, "dim_brand"),
             lambda: put(platforms, "dim_platform"),
-            lambda: put(gold.dim_campaign(s["silver_ad_impressions"], key_type), "dim_campaign"),
+            lambda: put(gold.dim_campaign(s["silver_ad_impressions"], key_type, keys), "dim_campaign"),
         ]
     )
     content, subscribers = side_by_side(
@@ -164,34 +196,37 @@ def load_model(spark: SparkSession, layers: Layers, calendar: Calendar) -> StarM
 # --- checks -----------------------------------------------------------------------------
 
 
+IDS = {"content": "content_id", "subscriptions": "subscriber_id", "engagement": "event_id",
+       "ad_impressions": "impression_id"}
+
+
+def _id_of(table: str) -> str:
+    return IDS[table.split("_", 1)[1]]
+
+
+def bronze_rules(table: str) -> list[q.Rule]:
+    return [q.rule_not_empty(), q.rule_no_null(_id_of(table))]
+
+
+def silver_rules(table: str) -> list[q.Rule]:
+    rules = [q.rule_not_empty()]
+    if table == "silver_subscriptions":
+        rules.append(q.rule_no_null("signup_date"))
+        rules.append(q.rule_expect("churn_after_signup", F.col("churn_date") >= F.col("signup_date")))
+    return rules
+
+
 def bronze_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
-    ids = {"raw_content": "content_id", "raw_subscriptions": "subscriber_id",
-           "raw_engagement": "event_id", "raw_ad_impressions": "impression_id"}
-    return q.run_suite(
-        [
-            q.table_checks(tables[t], t, [q.rule_not_empty(), q.rule_no_null(ids[t])])
-            for t in BRONZE_TABLES
-        ]
-    )
+    return q.run_suite([q.table_checks(tables[t], t, bronze_rules(t)) for t in BRONZE_TABLES])
+
+
+def _silver_unique(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
+    return [q.unique(tables[t], t, [_id_of(t)]) for t in SILVER_TABLES]
 
 
 def silver_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
-    keys = {"silver_content": "content_id", "silver_subscriptions": "subscriber_id",
-            "silver_engagement": "event_id", "silver_ad_impressions": "impression_id"}
-    return q.run_suite(
-        [q.not_empty(tables[t], t) for t in SILVER_TABLES]
-        + [
-            q.table_checks(
-                tables["silver_subscriptions"],
-                "silver_subscriptions",
-                [
-                    q.rule_no_null("signup_date"),
-                    q.rule_expect("churn_after_signup", F.col("churn_date") >= F.col("signup_date")),
-                ],
-            )
-        ]
-        + [q.unique(tables[t], t, [k]) for t, k in keys.items()]
-    )
+    scans = [q.table_checks(tables[t], t, silver_rules(t)) for t in SILVER_TABLES]
+    return q.run_suite([*scans, *_silver_unique(tables)])
 
 
 def gold_rules(table: str) -> list[q.Rule]:
@@ -211,23 +246,31 @@ def gold_rules(table: str) -> list[q.Rule]:
     return rules
 
 
-def gold_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Existence, keys, integrity, continuity and business rules of the star schema."""
-    scans = [q.table_checks(tables[t], t, gold_rules(t)) for t in GOLD_TABLES]
+def gold_checks(tables: Mapping[str, DataFrame], seen: Seen | None = None) -> DataFrame:
+    """Existence, keys, integrity, continuity and business rules of the star schema.
+
+    What the writes have ``seen`` is not looked up again: keys and links remain to be read.
+    """
+    if seen is None:
+        rules = [q.table_checks(tables[t], t, gold_rules(t)) for t in GOLD_TABLES]
+    else:
+        rules = [seen[t].checks(tables[t].sparkSession, tables[t]) for t in GOLD_TABLES]
     keys = q.unique_keys(tables, DIMENSIONS)
     links = q.star_links_exist(tables, RELATIONSHIPS)
-    return q.run_suite([*scans, keys, links])
+    return q.run_suite([*rules, keys, links])
+
+
+SOURCES = {
+    "fct_engagement": "silver_engagement",
+    "fct_subscription": "silver_subscriptions",
+    "fct_ad": "silver_ad_impressions",
+}
 
 
 def row_count_checks(silver_tables: Mapping[str, DataFrame], facts: Mapping[str, DataFrame]) -> DataFrame:
     """Lookups must neither lose nor multiply fact rows."""
-    pairs = {
-        "fct_engagement": "silver_engagement",
-        "fct_subscription": "silver_subscriptions",
-        "fct_ad": "silver_ad_impressions",
-    }
     return q.run_suite(
-        [q.same_count(silver_tables[s], facts[f], f"{s}->{f}") for f, s in pairs.items()]
+        [q.same_count(silver_tables[s], facts[f], f"{s}->{f}") for f, s in SOURCES.items()]
     )
 
 
@@ -239,10 +282,39 @@ def reconciliation(model: StarModel, tolerance: float = 0.01) -> DataFrame:
     return q.reconcile(measured_values(model), expected_values(model.tables), tolerance)
 
 
+def _adds_up(text: str) -> bool:
+    """Whether a figure can be observed; distinct counts cannot."""
+    return "DISTINCT" not in text
+
+
+def observed_reconciliation(model: StarModel, seen: Seen, tolerance: float = 0.01) -> DataFrame:
+    """Measures of the stored tables against the figures that their writes have observed.
+
+    Distinct counts are stated in SQL over the table, as in ``reconciliation``.
+    """
+    spark = model.tables["dim_date"].sparkSession
+    figures = {title: value for f in FACTS for title, value in seen[f].figures.items()}
+    rows = [(title, None if value is None else float(value)) for title, value in figures.items()]
+    others = {
+        fact: {title: text for title, text in texts.items() if not _adds_up(text)}
+        for fact, texts in RECONCILE_SQL.items()
+    }
+    counted = expected_values(model.tables, {f: texts for f, texts in others.items() if texts})
+    expected = spark.createDataFrame(rows, "measure string, value double").unionByName(counted)
+    return q.reconcile(measured_values(model), expected, tolerance)
+
+
 def check_gold(
-    spark: SparkSession, layers: Layers, calendar: Calendar, key_type: str = "int"
+    spark: SparkSession,
+    layers: Layers,
+    calendar: Calendar,
+    key_type: str = "int",
+    seen: Seen | None = None,
 ) -> DataFrame:
-    """All checks of an existing gold layer; if tables are missing, only that is reported."""
+    """All checks of an existing gold layer; if tables are missing, only that is reported.
+
+    With what the writes of this run have ``seen``, facts are read for links and measures only.
+    """
     present = q.tables_exist(spark, layers.gold, GOLD_TABLES)
     if q.summarise(present).first().failed:
         return present
@@ -250,9 +322,11 @@ def check_gold(
     return q.run_suite(
         [
             present,
-            gold_checks(model.tables),
+            gold_checks(model.tables, seen),
             contract_checks(model.tables, key_type),
-            q.reconciliation_checks(reconciliation(model)),
+            q.reconciliation_checks(
+                reconciliation(model) if seen is None else observed_reconciliation(model, seen)
+            ),
         ]
     )
 
@@ -283,28 +357,27 @@ def run(
     brands: DataFrame,
     platforms: DataFrame,
     key_type: str = "int",
+    keys: KeyRegistry | None = None,
 ) -> DataFrame:
     """Build all layers; stop with ``QualityError`` at the first layer whose checks fail.
 
-    Returns (layer, table, rows) of everything written.
+    With a registry of ``keys``, surrogate keys are those of earlier runs where ids are known.
+    Rules on rows and row counts are observed by the writes. Returns (layer, table, rows) of
+    everything written.
     """
     ensure_layers(spark, layers)
+    seen: Seen = {}
 
-    load_bronze(spark, layers, raw)
-    bronze = {t: read_table(spark, layers.bronze, t) for t in BRONZE_TABLES}
-    q.gate(bronze_checks(bronze))
+    load_bronze(spark, layers, raw, seen)
+    q.gate(q.run_suite([seen[t].checks(spark) for t in BRONZE_TABLES]))
 
-    build_silver(spark, layers, key_type)
+    build_silver(spark, layers, key_type, seen, keys)
     silver_tables = {t: read_table(spark, layers.silver, t) for t in SILVER_TABLES}
-    q.gate(silver_checks(silver_tables))
-
-    build_gold(spark, layers, calendar, brands, platforms, key_type)
-    facts = {f: read_table(spark, layers.gold, f) for f in FACTS}
-    q.gate(
-        row_count_checks(silver_tables, facts).unionByName(
-            check_gold(spark, layers, calendar, key_type)
-        )
-    )
+    q.gate(q.run_suite([*(seen[t].checks(spark) for t in SILVER_TABLES), *_silver_unique(silver_tables)]))
+
+    build_gold(spark, layers, calendar, brands, platforms, key_type, seen, keys)
+    same = [q.same_rows(seen[s], seen[f], f"{s}->{f}") for f, s in SOURCES.items()]
+    q.gate(q.run_suite([*same, check_gold(spark, layers, calendar, key_type, seen)]))
     return counts(spark, layers)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from galley.functions.columns import as_boolean, as_day, enforce, with_audit
 from galley.operators.keys import dense_key, distinct_on_ids, first_per_key
+from galley.operators.registry import KeyRegistry
 
 CONTENT_COLUMNS = [
     "content_key",
@@ -59,18 +60,29 @@ AD_COLUMNS = [
 ]
 
 
-def silver_content(raw: DataFrame, key_type: str = "int") -> DataFrame:
-    """One row per content id (earliest publish date), with a dense key."""
+def with_key(
+    df: DataFrame, column: str, name: str, key_type: str, ids: DataFrame, keys: KeyRegistry | None
+) -> DataFrame:
+    """Keys of this run, or those of a registry, which stay the same from run to run."""
+    if keys is None:
+        return dense_key(df, column, name, key_type, ids=ids)
+    return keys.keyed(df, column, name, key_type, ids)
+
+
+def silver_content(raw: DataFrame, key_type: str = "int", keys: KeyRegistry | None = None) -> DataFrame:
+    """One row per content id (earliest publish date), with a dense or a registered key."""
     kept = first_per_key(raw, ["content_id"], ["publish_date"])
-    keyed = dense_key(kept, "content_id", "content_key", key_type, ids=raw)
+    keyed = with_key(kept, "content_id", "content_key", key_type, raw, keys)
     return with_audit(keyed.select(*CONTENT_COLUMNS))
 
 
-def silver_subscriptions(raw: DataFrame, key_type: str = "int") -> DataFrame:
-    """One row per subscriber id (latest signup), with a dense key and a real boolean."""
+def silver_subscriptions(
+    raw: DataFrame, key_type: str = "int", keys: KeyRegistry | None = None
+) -> DataFrame:
+    """One row per subscriber id (latest signup), with a key as above and a real boolean."""
     kept = first_per_key(raw, ["subscriber_id"], [F.col("signup_date").desc_nulls_last()])
     typed = kept.withColumn("is_active", as_boolean(F.col("is_active")))
-    keyed = dense_key(typed, "subscriber_id", "subscriber_key", key_type, ids=raw)
+    keyed = with_key(typed, "subscriber_id", "subscriber_key", key_type, raw, keys)
     return with_audit(keyed.select(*SUBSCRIPTION_COLUMNS))
 
 

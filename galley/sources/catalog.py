@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -61,6 +61,7 @@ def write_table(
     partition_by: Sequence[str] = (),
     cluster_by: Sequence[str] = (),
     mode: str = "overwrite",
+    watch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Replace (or append to) a managed table.
 
@@ -72,8 +73,12 @@ def write_table(
     rows are rebalanced on them first: few files per folder, and Spark splits a folder that
     would be too large for one task. ``cluster_by`` sorts inside each task, so that
     row-group statistics skip data for filters on those columns.
+
+    ``watch`` sees the rows in the tasks that write them (``quality.Observed.watch``).
     """
     rows = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+    if watch:
+        rows = watch(rows)
     if cluster_by:
         rows = rows.sortWithinPartitions(*partition_by, *cluster_by)
     writer = rows.write.mode(mode)
