@@ -1072,3 +1072,19 @@ _star(
        SELECT campaign_id, row_number() OVER (ORDER BY batch, campaign_id) AS campaign_key, CAST(batch AS INTEGER) AS batch
        FROM loads WHERE batch IS NOT NULL""",
 )
+
+_star(
+    "late_day_refresh",
+    """SELECT CAST(year * 100 + month AS INTEGER) AS date_month, count(*) AS rows, CAST(sum(ad_revenue) AS DOUBLE) AS ad_revenue,
+              year = 1998 AND month = 3 AS rewritten
+       FROM fct_ad JOIN dim_date USING (date_key) GROUP BY year, month""",
+)
+_sql(
+    "published_versions",
+    """SELECT step, CASE WHEN step = 'second' THEN (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P')
+              ELSE (SELECT count(*) FROM orders) END AS rows
+       FROM (VALUES ('first'), ('broken'), ('second'), ('back')) AS t(step)""",
+)
+ORACLE["restarted_run"] = (
+    "SELECT *, CAST(2 AS BIGINT) AS steps_before, CAST(1 AS BIGINT) AS steps_after FROM (" + ORACLE["layer_counts"] + ")"
+)

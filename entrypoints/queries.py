@@ -22,7 +22,7 @@ from galley.operators import quality as q
 from galley.operators.keys import dense_key, first_per_key, with_row_id
 from galley.operators.lookup import joined_rows, orphan_keys, orphan_rows
 from galley.operators.registry import KeyRegistry
-from galley.plans import gold, pipeline, reports, rollups, silver, warehouse
+from galley.plans import gold, incremental, journal, pipeline, reports, rollups, silver, warehouse
 from galley.plans.measures import (
     RELATIONSHIPS,
     displayed,
@@ -30,7 +30,7 @@ from galley.plans.measures import (
     measured_values,
 )
 from galley.session import scratch_path
-from galley.sources import catalog, files, retail, synthetic
+from galley.sources import catalog, files, retail, synthetic, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -608,6 +608,96 @@ def stable_campaign_keys(spark, folder):
     return keys.known("campaign_key").select(F.col("id").alias("campaign_id"), F.col("key").alias("campaign_key"), "batch")
 
 
+# --- replacing what changed -------------------------------------------------------------
+
+LATE_DAY = date(1998, 3, 15)
+
+
+@query("late_day_refresh")
+def late_day_refresh(spark, folder):
+    """The ad fact before and after the rows of one day arrive: months, and which were written again."""
+    s = star(spark, folder)
+    g, ads = s.gold, s.silver["silver_ad_impressions"]
+    layer = _layer(spark, "late")
+
+    def build(rows):
+        return gold.fct_ad(rows, g["dim_date"], g["dim_brand"], g["dim_campaign"], g["dim_platform"])
+
+    def refresh(rows):
+        incremental.refresh_fact(spark, rows, "impression_date", build, layer, "fct_ad", retail.CALENDAR.start)
+        return catalog.read_table(spark, layer, "fct_ad")
+
+    def places(fact):
+        return fact.groupBy("date_month").agg(F.min("_metadata.file_path").alias("place"))
+
+    early = ads.where(~F.coalesce(F.col("impression_date") == F.lit(LATE_DAY), F.lit(False)))
+    catalog.write_table(places(refresh(early)), layer, "before")
+    before = catalog.read_table(spark, layer, "before")
+    fact = refresh(ads)
+    written = places(fact).join(before.withColumnRenamed("place", "old"), "date_month").select(
+        "date_month", (F.col("place") != F.col("old")).alias("rewritten")
+    )
+    sums = fact.groupBy("date_month").agg(F.count(F.lit(1)).alias("rows"), F.sum("ad_revenue").alias("ad_revenue"))
+    return sums.join(written, "date_month")
+
+
+@query("published_versions")
+def published_versions(spark, folder):
+    """Orders published three times (the second write fails half way), then one step back."""
+    layer = _layer(spark, "published")
+    orders = _t(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    broken = F.when(F.col("o_orderstatus") == "P", F.raise_error(F.lit("no such order"))).otherwise(F.col("o_totalprice"))
+    steps = []
+
+    def seen(step):
+        shown = catalog.read_table(spark, layer, "orders").agg(F.count(F.lit(1)).alias("rows")).first().rows
+        steps.append((step, shown))
+
+    versions.publish(orders, layer, "orders")
+    seen("first")
+    try:
+        versions.publish(orders.withColumn("o_totalprice", broken), layer, "orders")
+    except Exception as stopped:
+        if "no such order" not in str(stopped):
+            raise
+    seen("broken")
+    versions.publish(orders.where(F.col("o_orderstatus") != "P"), layer, "orders")
+    seen("second")
+    versions.roll_back(spark, layer, "orders")
+    seen("back")
+    return spark.createDataFrame(steps, "step string, rows long")
+
+
+@query("restarted_run")
+def restarted_run(spark, folder):
+    """A run that stops at its gold gate and is started again: rows, and how often layers were built."""
+    place = scratch_path(spark, "restart")
+    layers = catalog.Layers.for_stage(place.rsplit("/", 1)[-1].replace("-", "_"), location=place, versioned=True)
+    book = journal.Journal(spark, _layer(spark, "journal"))
+    raw = star(spark, folder).bronze
+    known = {
+        "silver_subscriptions.signup_date": "customers without orders",
+        "fct_subscription.date_key": "customers without orders",
+    }
+
+    def run(platforms):
+        return pipeline.run(
+            spark, layers, raw, retail.CALENDAR, retail.brands(spark, folder), platforms,
+            retail.KEY_TYPE, journal=book, accept=known,
+        )
+
+    try:
+        run(retail.platforms(spark).where("platform <> 'click'"))
+    except q.QualityError:
+        stopped = book.entries().count()
+    counted = run(retail.platforms(spark))
+    finished = book.entries().count() - stopped
+    return counted.select(
+        F.element_at(F.split("layer", "_"), -1).alias("layer"), "table", "rows",
+        F.lit(stopped).cast("long").alias("steps_before"), F.lit(finished).cast("long").alias("steps_after"),
+    )
+
+
 # --- joins ------------------------------------------------------------------------------
 
 

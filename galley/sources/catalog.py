@@ -16,7 +16,8 @@ class Layers:
     """Where a stage keeps its tables. The same job runs per stage with other names.
 
     ``location`` is the folder of the databases; without it they go to the warehouse
-    folder of the session.
+    folder of the session. ``versioned`` layers publish their tables (``versions.publish``): a
+    table is replaced in one step, and the one before stays for a way back.
     """
 
     bronze: str = "bronze"
@@ -24,10 +25,13 @@ class Layers:
     gold: str = "gold"
     fmt: str = "parquet"
     location: str | None = None
+    versioned: bool = False
 
     @classmethod
-    def for_stage(cls, stage: str, fmt: str = "parquet", location: str | None = None) -> Layers:
-        return cls(f"{stage}_bronze", f"{stage}_silver", f"{stage}_gold", fmt, location)
+    def for_stage(
+        cls, stage: str, fmt: str = "parquet", location: str | None = None, versioned: bool = False
+    ) -> Layers:
+        return cls(f"{stage}_bronze", f"{stage}_silver", f"{stage}_gold", fmt, location, versioned)
 
     def names(self) -> tuple[str, str, str]:
         return self.bronze, self.silver, self.gold
@@ -91,6 +95,38 @@ def write_table(
     writer.saveAsTable(_quoted(layer, name))
 
 
+def replace_partitions(
+    df: DataFrame,
+    layer: str,
+    name: str,
+    partition_by: Sequence[str],
+    cluster_by: Sequence[str] = (),
+    watch: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Replaces the partitions that ``df`` has rows for, and no others.
+
+    The folders of all other partitions keep their files. A partition that is to become empty has
+    no rows to name it and stays. ``df`` must not read the table.
+
+    The mode is a setting of the session, which is put back afterwards: overwrites that other
+    threads of the session start meanwhile would be partial too.
+    """
+    spark = df.sparkSession
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    table = _quoted(layer, name)
+    rows = df.select(*spark.table(table).columns).hint("rebalance", *[F.col(c) for c in partition_by])
+    if watch:
+        rows = watch(rows)
+    if cluster_by:
+        rows = rows.sortWithinPartitions(*partition_by, *cluster_by)
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        rows.write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def seed(
     spark: SparkSession, layer: str, name: str, rows: Sequence[tuple], schema: T.StructType
 ) -> None:
