@@ -10,10 +10,15 @@ sets, in the first band that it shares. Pairs are never written out: a task retu
 representative the number of its links, and a tree of links for each connected part. Classes are
 the connected parts, found by label propagation in Spark.
 
+Representatives are numbered; ids are only what results are named by. So texts under a repeated id
+or without an id are compared like all others.
+
 Defined results: null texts and texts without a word have no n-grams, link to nothing and are each
-a class of their own; very long texts keep all their n-grams; a repeated ``doc_id`` counts as one
-more copy if its text is equal; ties go to the smallest id; an empty table gives an empty result.
-Rows that repeat an id stay or go together. Other columns are neither read nor disturbed.
+a class of their own; very long texts keep all their n-grams; every row counts, also one that
+repeats another; a class is named by its smallest id (null if it has none) and, as ids may
+repeat, by the set of that id's text; of a class ``kept`` keeps one row, the first by id (nulls
+last), set and other columns, and all rows without n-grams; an empty table gives an empty result.
+Other columns are neither read nor disturbed.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galley.llm.shared import Vocabulary, pinned, slices
@@ -100,17 +105,26 @@ def band_hashes(held: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return _mix(out).view(np.int64)
 
 
+def _names(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Two hashes of each set, which name it."""
+    return (
+        [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets],
+        [int(_mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets],
+    )
+
+
 def representatives(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """``doc_id, set_a, set_b, size, bands`` of each row; two hashes name the set of n-grams."""
 
     def run(batches):
         for batch in slices(batches, 1000):
             sets = batch_shingles(batch["text"], n)
+            a, b = _names(sets)
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
-                    "set_a": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets],
-                    "set_b": [int(_mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets],
+                    "set_a": a,
+                    "set_b": b,
                     "size": [len(s) for s in sets],
                     "bands": [band_hashes(s, bands, rows) if len(s) else [] for s in sets],
                 }
@@ -121,6 +135,11 @@ def representatives(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame
     )
 
 
+def _place(doc_id: str = "doc_id") -> Column:
+    """An id by which a text can be found again; rows without one share the least number."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
+
+
 class _Members:
     """A bitmap of fixed size that is true for all ids it was made of, and for few others."""
 
@@ -133,7 +152,7 @@ class _Members:
             (at,) = np.nonzero(words)
             yield pd.DataFrame({"at": at, "word": words[at]})
 
-        parts = ids.select("rep").where("rep is not null").mapInPandas(partial, "at int, word long")
+        parts = ids.select("rep").mapInPandas(partial, "at int, word long")
         got = parts.groupBy("at").agg(F.expr("bit_or(word)").alias("word")).toPandas()  # 2^17 rows at most
         words = np.zeros((1 << FILTER_BITS) // 64, dtype=np.int64)
         words[got["at"].to_numpy(dtype=np.int64)] = got["word"].to_numpy(dtype=np.int64)
@@ -145,9 +164,9 @@ class _Members:
         return (mixed & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
     def may_hold(self, x: pd.Series) -> np.ndarray:
-        """False only for ids it was not made of; null ids are none."""
-        at = self.slot(x.fillna(0).astype(np.int64))
-        return ((self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0) & x.notna().to_numpy()
+        """False only for ids it was not made of."""
+        at = self.slot(x)
+        return (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
     def column(self, ids: Column) -> Column:
         @F.pandas_udf("boolean")
@@ -230,7 +249,7 @@ def _forest(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def verified(docs: DataFrame, reps: DataFrame, n: int, threshold: float) -> DataFrame:
     """``rep, root, links``: links of a representative found in a task, and a tree edge for it."""
-    spread = reps.where(F.col("size") > 0).select("rep", F.posexplode("bands").alias("band", "hash"))
+    spread = reps.select("rep", "place", F.posexplode("bands").alias("band", "hash"))
     buckets = (
         spread.groupBy("band", "hash")
         .agg(
@@ -246,35 +265,31 @@ def verified(docs: DataFrame, reps: DataFrame, n: int, threshold: float) -> Data
     members = (
         spread.join(buckets, ["band", "hash"])
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .select("rep", "band", "hash", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("rep", "place", "band", "hash", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select(
-            "rep", "band", "hash", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+            "rep", "place", "band", "hash", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
             (F.col("block") > F.col("other")).cast("int").alias("side"),
         )
     )
     members = pinned(members, "members")
-    wanted = _Members(members)
-    compared = reps.where(F.col("size") > 0).where(wanted.column(F.col("rep")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    wanted = _Members(members.select(F.col("place").alias("rep")))
+    members = members.drop("place")
+    compared = reps.where(wanted.column(F.col("place")))
+    texts = docs.select(_place().alias("p"), F.col("text").cast("string").alias("text"))
 
     def grams(batches):
         for batch in slices(batches, 1000):
-            batch = batch[wanted.may_hold(batch["rep"])]
+            batch = batch[wanted.may_hold(batch["p"])]
             sets = batch_shingles(batch["text"], n)
-            yield pd.DataFrame(
-                {
-                    "rep": batch["rep"],
-                    "grams": [s.tobytes() for s in sets],
-                    "set_a": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets],
-                }
-            )
+            a, b = _names(sets)
+            found = pd.DataFrame({"p": batch["p"].to_numpy(), "a": a, "b": b, "grams": [s.tobytes() for s in sets]})
+            yield found.drop_duplicates(["p", "a", "b"])
 
-    sets = texts.mapInPandas(grams, "rep long, grams binary, set_a long")
-    # a repeated id may come with another text: the set must be the representative's own
-    own = (F.col("r") == F.col("rep")) & (F.col("s") == F.col("set_a"))
-    sets = sets.select(F.col("rep").alias("r"), F.col("set_a").alias("s"), "grams")
-    compared = compared.select("rep", "set_a", "size", "copies", "bands").join(sets, own)
-    held = members.join(compared.drop("r", "s", "set_a").withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r")
+    sets = texts.mapInPandas(grams, "p long, a long, b long, grams binary")
+    # an id may come with several texts: the set must be the representative's own
+    own = (F.col("place") == F.col("p")) & (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b"))
+    compared = compared.join(sets, own).select(F.col("rep").alias("r"), "size", "copies", "bands", "grams")
+    held = members.join(compared, F.col("rep") == F.col("r")).drop("r")
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("rep").sort_values("rep").reset_index(drop=True)
@@ -321,69 +336,115 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def joined(
-    docs: DataFrame,
-    n: int = WORDS,
-    threshold: float = THRESHOLD,
-    recall: float = RECALL,
-) -> DataFrame:
-    """``doc_id, copy_id, class_id, n_copies, n_links`` of each document.
-
-    ``copy_id`` is the smallest id with the same n-gram set, ``n_copies`` the other documents with
-    that set, ``class_id`` the smallest id of the connected part, ``n_links`` the number of other
-    documents (copies included) with a similarity of at least the threshold.
-    """
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """``doc_id, set_a, set_b, size`` of each row with its copies, links and the first of its class."""
     bands, rows = bands_for(threshold, recall)
     signed = pinned(representatives(docs, n, bands, rows), "signed")
-    named = signed.select(
-        "doc_id",
-        # without n-grams nothing is compared: each such row stays alone
-        F.when(F.col("size") > 0, F.col("set_a")).otherwise(F.col("doc_id")).alias("set_a"),
-        F.when(F.col("size") > 0, F.col("set_b")).alias("set_b"),
-        "size",
-        "bands",
-    )
     reps = (
-        named.groupBy("set_a", "set_b")
+        # without n-grams nothing is compared: each such row stays alone
+        signed.where(F.col("size") > 0)
+        .groupBy("set_a", "set_b")
         .agg(
-            F.min("doc_id").alias("rep"),
+            F.min("doc_id").alias("copy_id"),
             F.count(F.lit(1)).alias("copies"),
             F.min("size").alias("size"),
             F.min("bands").alias("bands"),
         )
+        .withColumn("place", _place("copy_id"))
+        .withColumn("rep", F.monotonically_increasing_id())
     )
     reps = pinned(reps, "reps")
     found = pinned(verified(docs, reps, n, threshold), "links")
     labels = connected(found.select("rep", "root"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    links = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "l")
+    first = F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "set_a", "set_b")
+    own = reps.select("rep", first.alias("first"))
+    linked = labels.join(own, "rep")
+    firsts = linked.groupBy("label").agg(F.min("first").alias("class_first"))
+    named = linked.join(firsts, "label").select(F.col("rep").alias("c"), "class_first")
     told = (
-        reps.select("set_a", "set_b", "rep", "copies", "size")
-        .join(links.withColumnRenamed("rep", "l"), F.col("rep") == F.col("l"), "left")
-        .join(labels.withColumnRenamed("rep", "c"), F.col("rep") == F.col("c"), "left")
+        reps.select("rep", "set_a", "set_b", "copy_id", "copies", first.alias("own"))
+        .join(links, F.col("rep") == F.col("l"), "left")
+        .join(named, F.col("rep") == F.col("c"), "left")
         .select(
-            F.col("set_a").alias("a"), F.col("set_b").alias("b"), "rep",
-            F.coalesce("label", "rep").alias("class_id"),
-            F.when(F.col("size") > 0, F.col("copies") - 1).otherwise(0).alias("n_copies"),
-            F.coalesce("links", F.lit(0)).alias("links"),
+            F.col("set_a").alias("a"), F.col("set_b").alias("b"), "copy_id", (F.col("copies") - 1).alias("n_copies"),
+            F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_first", "own").alias("first"),
         )
     )
-    keys = named.select("doc_id", "set_a", "set_b")
-    # rows without n-grams have no second hash and keep themselves
-    same = (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b"))
-    full = keys.where("set_b is not null").join(told.where("b is not null"), same)
-    bare = keys.where("set_b is null").select(
-        "doc_id", F.col("doc_id").alias("rep"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("links")
+    rows = signed.select("doc_id", "set_a", "set_b", "size")
+    full = rows.where("size > 0").join(told, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b"))).drop("a", "b")
+    zero = F.lit(0).cast("long")
+    bare = rows.where("size = 0").select(
+        "*", F.col("doc_id").alias("copy_id"), zero.alias("n_copies"), zero.alias("links"),
+        F.struct(
+            F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("set_a"),
+            F.lit(0).cast("long").alias("set_b"),
+        ).alias("first"),
+    )
+    return full.unionByName(bare)
+
+
+def joined(
+    docs: DataFrame,
+    n: int = WORDS,
+    threshold: float = THRESHOLD,
+    recall: float = RECALL,
+) -> DataFrame:
+    """``doc_id, copy_id, class_id, class_set, n_copies, n_links`` of each document.
+
+    ``copy_id`` is the smallest id with the same n-gram set, ``n_copies`` the other documents with
+    that set, ``class_id`` the smallest id of the connected part, ``class_set`` the set of that id's
+    text (it tells classes of a repeated id apart), ``n_links`` the number of other documents
+    (copies included) with a similarity of at least the threshold.
+    """
+    return _classes(docs, n, threshold, recall).select(
+        "doc_id",
+        "copy_id",
+        F.col("first.copy_id").alias("class_id"),
+        F.col("first.set_a").alias("class_set"),
+        "n_copies",
+        (F.col("n_copies") + F.col("links")).alias("n_links"),
     )
-    shown = ("doc_id", F.col("rep").alias("copy_id"), "class_id", "n_copies", (F.col("n_copies") + F.col("links")).alias("n_links"))
-    return full.select(*shown).unionByName(bare.select(*shown))
 
 
 def kept(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The documents, with all their columns, less all but the smallest id of each class."""
-    classes = pinned(joined(docs, n, threshold, recall), "classes")
-    lost = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("rep")).distinct()
-    # only rows that the fixed-size filter cannot clear are moved for the anti-join
-    doubtful = _Members(lost).column(F.col("doc_id"))
+    """The documents, with all their columns, less all but the first row of each class.
+
+    An id that one row has tells which row that is. Rows of other ids (repeated or null) are looked
+    up by id and set, and of equal ones one is kept.
+    """
+    classes = pinned(_classes(docs, n, threshold, recall), "classes")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("copy_id"), "set_a", "set_b")
+    stays = classes.select(
+        _place().alias("rep"), "set_a", "set_b", "size", ((F.col("size") == 0) | (first == F.col("first"))).alias("stays")
+    )
+    per_id = stays.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.bool_and("stays").alias("stays"))
+    doubted = per_id.where(~F.col("stays") | (F.col("n") > 1))
+    judged = pinned(doubted.select(F.col("rep").alias("__rep"), (F.col("n") > 1).alias("__odd")), "judged")
+    # only rows that the fixed-size filter cannot clear are moved for the joins
+    members = _Members(judged.select(F.col("__rep").alias("rep")))
+    doubtful = members.column(_place())
     cleared = docs.where(~doubtful)
-    rest = docs.where(doubtful).join(lost, F.col("doc_id").cast("long") == F.col("rep"), "left_anti")
-    return cleared.unionByName(rest)
+    rest = docs.where(doubtful).join(judged, _place() == F.col("__rep"), "left")
+    single = rest.where(F.col("__rep").isNull()).select(*[docs[c] for c in docs.columns])
+    odd = rest.where("__odd").select(*[docs[c] for c in docs.columns])
+    return cleared.unionByName(single).unionByName(_firsts(odd, stays, n))
+
+
+def _firsts(odd: DataFrame, stays: DataFrame, n: int) -> DataFrame:
+    """Of rows whose ids do not tell them apart, those that stay."""
+
+    @F.pandas_udf("a long, b long, size int")
+    def named(texts: pd.Series) -> pd.DataFrame:
+        sets = batch_shingles(texts, n)
+        a, b = _names(sets)
+        return pd.DataFrame({"a": a, "b": b, "size": [len(s) for s in sets]})
+
+    columns = odd.columns
+    marked = odd.select(F.struct(*columns).alias("row"), _place().alias("place"), named(F.col("text").cast("string")).alias("name"))
+    bare = marked.where("name.size = 0").select("row.*")
+    firsts = stays.where("stays AND size > 0").select("rep", "set_a", "set_b").distinct()
+    same = (F.col("place") == F.col("rep")) & (F.col("name.a") == F.col("set_a")) & (F.col("name.b") == F.col("set_b"))
+    order = Window.partitionBy("rep", "set_a", "set_b").orderBy(F.to_json("row"))
+    one = marked.where("name.size > 0").join(firsts, same).withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
+    return bare.unionByName(one.select("row.*"))

@@ -208,6 +208,32 @@ def test_links_and_classes_equal_brute_force(spark, texts, monkeypatch, block):
     assert kept == sorted({c for c, _ in got.values()})
 
 
+def _near(k: int, change: int) -> str:
+    """Texts of one k are near copies of each other (0.8 and more), those of different k are not."""
+    words = [f"t{k}n{i}" for i in range(100)]
+    words[change] = f"changed{change}"
+    return " ".join(words)
+
+
+def test_no_link_is_lost_where_ids_repeat_or_are_null(spark):
+    """Every row is a document of its own, whatever its id; compared with brute force by rows."""
+    rows = [(1, _near(1, 5)), (1, _near(2, 5)), (2, _near(1, 70)), (3, _near(2, 70)),
+            (None, _near(3, 5)), (None, _near(3, 70)), (None, _near(4, 1)), (4, _near(4, 90)),
+            (5, _near(5, 9)), (5, _near(5, 9)), (5, _near(5, 60)), (6, _near(6, 9)), (6, _near(6, 9)), (7, "alone here"),
+            (8, ""), (8, ""), (None, None), (None, None), (9, _near(7, 3)), (9, _near(7, 3).upper()), (None, _near(8, 3)), (None, _near(8, 3))]
+    frame = spark.createDataFrame([(d, t, i, "x") for i, (d, t) in enumerate(rows)], "doc_id long, text string, rep int, odd string")
+    want = _brute({i: t or "" for i, (_, t) in enumerate(rows)}, 0.8)
+    got = jaccard_join.joined(frame, recall=0.9999).collect()
+    assert sorted((str(r.doc_id), r.n_links) for r in got) == sorted((str(rows[i][0]), n) for i, (_, n) in want.items())
+    parts = Counter(root for root, _ in want.values())
+    told = Counter((r.class_id, r.class_set) for r in got if r.n_links)
+    assert sorted(told.values()) == sorted(n for n in parts.values() if n > 1)
+    kept = jaccard_join.kept(frame, recall=0.9999)
+    assert kept.columns == frame.columns
+    roots = [want[r.rep][0] for r in kept.collect()]
+    assert sorted(roots) == sorted(parts)  # one row of every class
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= jaccard_join.HASHES
