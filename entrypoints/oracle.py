@@ -227,14 +227,26 @@ _star(
 )
 _sql(
     "sample_loads",
-    """SELECT 'nation' AS "table", count(*) AS rows FROM nation
+    """SELECT 'orders' AS "table", count(o_totalprice) AS rows FROM orders
        UNION ALL SELECT 'example_audience', 4 UNION ALL SELECT 'sample_events', 5""",
 )
-_sql(
+_star(
     "table_description",
-    """SELECT col_name, data_type, (SELECT count(*) FROM nation) AS rows
-       FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int'), ('Provider', 'parquet'))
-            AS t(col_name, data_type)""",
+    """SELECT col_name, data_type, CAST(mentioned AS BIGINT) AS mentioned, (SELECT count(*) FROM fct_ad) AS rows
+       FROM (VALUES ('date_key', 'int', 1), ('impressions', 'int', 1), ('ad_revenue', 'decimal(18,2)', 1),
+                    ('date_month', 'int', 2), ('Provider', 'parquet', 1)) AS t(col_name, data_type, mentioned)""",
+)
+_sql(
+    "csv_dirty_load",
+    """WITH told AS (
+         SELECT CASE WHEN o_orderkey % 83 = 0 THEN 'too many fields' WHEN o_orderkey % 79 = 0 THEN 'too few fields'
+                WHEN o_orderkey % 97 = 0 THEN 'o_totalprice is no double' WHEN o_orderkey % 73 = 0 THEN 'o_orderkey is missing'
+                ELSE 'accepted' END AS problem,
+                CASE WHEN o_orderkey % 97 = 0 OR (o_orderkey % 79 = 0 AND o_orderkey % 83 <> 0) THEN NULL ELSE o_totalprice END AS price,
+                o_orderkey % 89 = 0 AS quoted
+         FROM orders)
+       SELECT problem, count(*) AS rows, round(sum(price), 2) AS total, count(*) FILTER (WHERE quoted) AS quoted
+       FROM told GROUP BY 1""",
 )
 _star(
     "audit_columns",
@@ -560,24 +572,18 @@ _star(
     f", {_SNAPSHOT} SELECT date_key, {_SNAPSHOT_SUMS} FROM snapshot GROUP BY 1",
 )
 
-_CUT = """cut AS (
-  SELECT brand_key, day, CASE WHEN churn_date IS NOT NULL AND day = churn_date THEN 0 ELSE 1 END AS active,
-         CAST(mrr AS DECIMAL(18,2)) AS mrr
-  FROM (SELECT s.*, CAST(unnest(generate_series(CAST(signup_date AS TIMESTAMP),
-               CAST(coalesce(churn_date, DATE '2001-12-31') AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day
-        FROM silver_subscriptions s)
-  LEFT JOIN dim_brand ON brand = brand_name
-  WHERE day BETWEEN DATE '1996-04-01' AND DATE '1998-06-20')"""
 _star(
     "snapshot_active_on_a_day",
-    f""", {_CUT} SELECT brand_key, count(*) AS subscribers, CAST(sum(active) AS BIGINT) AS active,
-       CAST(sum(mrr) AS DOUBLE) AS mrr FROM cut WHERE day = DATE '1998-03-15' GROUP BY 1""",
+    f""", {_SNAPSHOT} SELECT brand_key, count(*) AS subscribers, CAST(sum(active) AS BIGINT) AS active,
+       CAST(sum(mrr) AS DOUBLE) AS mrr FROM snapshot
+       WHERE date_key = date_diff('day', DATE '1995-01-01', DATE '1998-03-15') + 1 GROUP BY 1""",
 )
 _star(
     "snapshot_mrr_by_month",
-    f""", {_CUT}, last AS (SELECT year(day) * 100 + month(day) AS date_month, max(day) AS day FROM cut GROUP BY 1)
+    f""", {_SNAPSHOT}, last AS (SELECT year * 100 + month AS date_month, max(date_key) AS date_key
+         FROM dim_date WHERE full_date <= DATE '2001-12-31' GROUP BY 1)
        SELECT CAST(date_month AS INTEGER) AS date_month, count(*) AS subscribers, CAST(sum(mrr) AS DOUBLE) AS mrr
-       FROM cut JOIN last USING (day) GROUP BY 1""",
+       FROM snapshot JOIN last USING (date_key) GROUP BY 1""",
 )
 
 # --- joins ------------------------------------------------------------------------------
@@ -1088,3 +1094,28 @@ _sql(
 ORACLE["restarted_run"] = (
     "SELECT *, CAST(2 AS BIGINT) AS steps_before, CAST(1 AS BIGINT) AS steps_after FROM (" + ORACLE["layer_counts"] + ")"
 )
+
+
+def _doubles(*names: str) -> str:
+    return ", ".join(f"CAST({_MEASURES[n][2]} AS DOUBLE) AS {n}" for n in names)
+
+
+for _name, _column, _dim, _names in (
+    ("sql_engagement_by_platform", "platform_name", "dim_platform", ("page_views", "sessions", "avg_time_on_page_sec")),
+    ("sql_subscription_by_brand", "brand_name", "dim_brand", ("active_subscribers", "new_subscribers", "churned_subscribers",
+     "churn_rate_pct", "mrr", "arpu", "new_subscriber_growth_pct")),
+    ("sql_ad_by_campaign", "campaign_id", "dim_campaign", ("ad_revenue", "ad_impressions", "ad_clicks", "ctr_pct", "ecpm")),
+):
+    _star(_name, f"SELECT {_column}, {_doubles(*_names)} FROM {_MEASURES[_names[0]][0]} {_JOINS[_dim]} GROUP BY 1")
+_star(
+    "sql_ratio_of_a_query",
+    """SELECT plan, CAST(sum(f.mrr) AS DOUBLE) / count(DISTINCT subscriber_key) AS arpu
+       FROM fct_subscription f JOIN dim_subscriber USING (subscriber_key) GROUP BY 1""",
+)
+_star(
+    "sql_measure_values",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS measure, coalesce(CAST({expression} AS DOUBLE), 0.0::DOUBLE) AS value FROM {fact}"
+        for n, (fact, _, expression) in _MEASURES.items()
+    ),
+)

@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entrypoints.star import snapshot, star, stored_model
+from entrypoints.star import star, stays, stored_model
 from galley.functions import columns as c
 from galley.operators import bitmaps
 from galley.operators import quality as q
 from galley.operators.keys import dense_key, first_per_key, with_row_id
 from galley.operators.lookup import joined_rows, orphan_keys, orphan_rows
 from galley.operators.registry import KeyRegistry
-from galley.plans import gold, incremental, journal, pipeline, reports, rollups, silver, warehouse
+from galley.plans import gold, incremental, journal, pipeline, reports, rollups, silver, sql_measures, warehouse
 from galley.plans.measures import (
     RELATIONSHIPS,
     displayed,
@@ -228,22 +228,53 @@ def layer_counts(spark, folder):
 def sample_loads(spark, folder):
     """Sample tables beside a given one, in the session's default format and with a new schema."""
     layer = _layer(spark, "sample")
-    catalog.write_table(_t(spark, folder, "nation").select("n_name"), layer, "nation", fmt=None)
+    catalog.write_table(_t(spark, folder, "orders").select("o_orderkey"), layer, "orders", fmt=None)
+    catalog.write_table(_t(spark, folder, "orders"), layer, "orders", fmt=None, overwrite_schema=True)
     audience = warehouse.load_example_audience(spark, layer, GENERATED_BRANDS[:4])
     samples = warehouse.load_sample_events(spark, layer)
-    nations = catalog.read_table(spark, layer, "nation")
-    return catalog.row_counts({"nation": nations, "example_audience": audience, "sample_events": samples})
+    orders = catalog.read_table(spark, layer, "orders").where(F.col("o_totalprice").isNotNull())
+    return catalog.row_counts({"orders": orders, "example_audience": audience, "sample_events": samples})
 
 
 @query("table_description")
 def table_description(spark, folder):
-    """The extended description of a written table: its columns, and what it says of itself."""
-    layer = _layer(spark, "described")
-    catalog.write_table(_t(spark, folder, "nation"), layer, "nation", fmt="parquet")
-    told = catalog.describe(spark, layer, "nation")
-    rows = catalog.read_table(spark, layer, "nation").agg(F.count(F.lit(1)).alias("rows"))
-    kept = told.where(F.col("col_name").isin("n_nationkey", "n_name", "n_regionkey", "Provider"))
-    return kept.select("col_name", F.lower("data_type").alias("data_type")).withColumn("rows", rows.scalar())
+    """The extended description of a fact: columns, partitions, format; with its rows."""
+    s = star(spark, folder)
+    told = catalog.describe(spark, s.layers.gold, "fct_ad").where(
+        F.col("col_name").isin("date_key", "impressions", "ad_revenue", "date_month", "Provider")
+    )
+    rows = s.gold["fct_ad"].agg(F.count(F.lit(1)).alias("rows"))
+    kept = told.groupBy("col_name", F.lower("data_type").alias("data_type")).agg(F.count(F.lit(1)).alias("mentioned"))
+    return kept.withColumn("rows", rows.scalar())
+
+
+@query("csv_dirty_load")
+def csv_dirty_load(spark, folder):
+    """Orders as CSV lines with planted faults: accepted lines, and rejected ones by problem."""
+    orders = _t(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    k = F.col("o_orderkey")
+    price = F.when(k % 97 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    status = F.when(k % 89 == 0, F.lit('"a, ""b"""')).otherwise(F.col("o_orderstatus"))
+    line = F.concat_ws(",", k.cast("string"), status, price)
+    line = F.when(k % 83 == 0, F.concat(line, F.lit(",more"))).when(k % 79 == 0, F.concat_ws(",", k.cast("string"), status))
+    line = line.when(k % 73 == 0, F.concat(F.lit(","), status, F.lit(","), price)).otherwise(F.concat_ws(",", k.cast("string"), status, price))
+    path = scratch_path(spark, "dirty")
+    orders.select(line.alias("value")).write.text(path)
+    schema = T.StructType(
+        [T.StructField("o_orderkey", T.LongType(), False), T.StructField("o_orderstatus", T.StringType()),
+         T.StructField("o_totalprice", T.DoubleType())]
+    )
+    layer = _layer(spark, "dirty")
+    files.load_csv(spark, path, schema, layer, "orders", header=False)
+    good = catalog.read_table(spark, layer, "orders").agg(
+        F.lit("accepted").alias("problem"), F.count(F.lit(1)).alias("rows"), F.sum("o_totalprice").alias("total"),
+        F.count_if(F.col("o_orderstatus") == 'a, "b"').alias("quoted"),
+    )
+    bad = catalog.read_table(spark, layer, files.rejected_table("orders")).groupBy("problem").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("o_totalprice").alias("total"),
+        F.count_if(F.col("o_orderstatus") == 'a, "b"').alias("quoted"),
+    )
+    return good.unionByName(bad).withColumn("total", F.round("total", 2))
 
 
 @query("audit_columns")
@@ -575,12 +606,12 @@ def subscription_daily_totals(spark, folder):
 
 @query("snapshot_active_on_a_day")
 def snapshot_active_on_a_day(spark, folder):
-    return reports.active_on(snapshot(spark, folder), date(1998, 3, 15), retail.SNAPSHOT_CALENDAR.start)
+    return reports.stays_on(stays(spark, folder), date(1998, 3, 15), retail.CALENDAR.start)
 
 
 @query("snapshot_mrr_by_month")
 def snapshot_mrr_by_month(spark, folder):
-    return reports.mrr_by_month(snapshot(spark, folder))
+    return reports.stays_by_month(stays(spark, folder), star(spark, folder).gold["dim_date"], retail.DATA_END)
 
 
 # --- keys of several runs ---------------------------------------------------------------
@@ -862,6 +893,51 @@ def distinct_users_cube(spark, folder):
     return bitmaps.counted_sets(sets, every, "active_users")
 
 
+# --- measures in SQL --------------------------------------------------------------------
+
+
+def _in_sql(spark, folder, text: str) -> DataFrame:
+    sql_measures.register(spark, star(spark, folder).layers.gold)
+    return spark.sql(text)
+
+
+@query("sql_engagement_by_platform")
+def sql_engagement_by_platform(spark, folder):
+    columns = "page_views, sessions, avg_time_on_page_sec"
+    return _in_sql(spark, folder, f"SELECT label AS platform_name, {columns} FROM fct_engagement_measures('platform')")
+
+
+@query("sql_subscription_by_brand")
+def sql_subscription_by_brand(spark, folder):
+    columns = (
+        "active_subscribers, new_subscribers, churned_subscribers, churn_rate_pct, mrr, arpu, new_subscriber_growth_pct"
+    )
+    return _in_sql(spark, folder, f"SELECT label AS brand_name, {columns} FROM fct_subscription_measures('brand')")
+
+
+@query("sql_ad_by_campaign")
+def sql_ad_by_campaign(spark, folder):
+    columns = "ad_revenue, ad_impressions, ad_clicks, ctr_pct, ecpm"
+    return _in_sql(spark, folder, f"SELECT label AS campaign_id, {columns} FROM fct_ad_measures('campaign')")
+
+
+@query("sql_ratio_of_a_query")
+def sql_ratio_of_a_query(spark, folder):
+    """A ratio of the registry over aggregates that the query makes itself."""
+    gold_layer = star(spark, folder).layers.gold
+    return _in_sql(
+        spark, folder,
+        f"SELECT plan, arpu(sum(mrr), count(DISTINCT subscriber_key)) AS arpu FROM {gold_layer}.fct_subscription "
+        f"JOIN {gold_layer}.dim_subscriber USING (subscriber_key) GROUP BY plan",
+    )
+
+
+@query("sql_measure_values")
+def sql_measure_values(spark, folder):
+    parts = [f"SELECT '{n}' AS measure, measure_value('{n}') AS value" for n in MEASURE_NAMES]
+    return _in_sql(spark, folder, " UNION ALL ".join(parts))
+
+
 @query("n21_top_event_types")
 def n21(spark, folder):
     return reports.top_event_types(_t(spark, folder, "events"))

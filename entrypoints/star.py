@@ -78,16 +78,15 @@ def star(
     return _built[key]
 
 
-_snapshots: dict[tuple[str, str], DataFrame] = {}
+_stays: dict[tuple[str, str], DataFrame] = {}
 
 
-def snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The daily snapshot, written once in a session, with bounds that cut through stays."""
+def stays(spark: SparkSession, folder: str) -> DataFrame:
+    """Stays of all subscribers over the whole calendar, written once in a session."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _snapshots:
-        layers = star(spark, folder).layers
-        _snapshots[key] = pipeline.load_snapshot(spark, layers, retail.SNAPSHOT_CALENDAR, retail.SNAPSHOT_END)
-    return _snapshots[key]
+    if key not in _stays:
+        _stays[key] = pipeline.load_stays(spark, star(spark, folder).layers, retail.CALENDAR, retail.DATA_END)
+    return _stays[key]
 
 
 _stored: dict[tuple[str, str], StarModel] = {}

@@ -205,6 +205,27 @@ def _stay(subscriptions: DataFrame, data_end: date) -> DataFrame:
     )
 
 
+def subscription_stays(
+    subscriptions: DataFrame, brands: DataFrame, calendar_start: date, data_end: date
+) -> DataFrame:
+    """The daily snapshot as intervals: one row per subscriber, from the first day to the last.
+
+    ``from_key`` to ``to_key`` are the days that the snapshot has rows for; ``churn_key`` is the last
+    of them where the subscriber churned. It grows with subscribers, the snapshot with their days.
+    """
+    first_day = F.lit(calendar_start)
+    day = lambda c: F.datediff(c, first_day) + 1
+    stays = left_lookup(_stay(subscriptions, data_end), _brands(brands)).select(
+        "brand_key",
+        "subscriber_key",
+        F.greatest(day("signup_date"), F.lit(1)).alias("from_key"),
+        day("end_date").alias("to_key"),
+        day("churn_date").alias("churn_key"),
+        F.col("mrr").cast(MONEY).alias("mrr"),
+    )
+    return stays.where(F.col("to_key") >= 1)
+
+
 def subscription_snapshot(
     subscriptions: DataFrame, brands: DataFrame, calendar_start: date, data_end: date
 ) -> DataFrame:

@@ -44,6 +44,7 @@ GOLD_TABLES = (*DIMENSIONS, *FACTS)
 
 # The daily snapshot is a fact beside the star: a row per subscriber and day, written on request.
 SNAPSHOT = "fct_subscription_daily"
+STAYS = "fct_subscription_stays"
 SNAPSHOT_LINKS = {
     SNAPSHOT: {"dim_date": "date_key", "dim_brand": "brand_key", "dim_subscriber": "subscriber_key"}
 }
@@ -196,6 +197,18 @@ def load_snapshot(spark: SparkSession, layers: Layers, calendar: Calendar, data_
     return read_table(spark, layers.gold, SNAPSHOT)
 
 
+def load_stays(spark: SparkSession, layers: Layers, calendar: Calendar, data_end: date) -> DataFrame:
+    """Writes the stays of all subscribers as a gold fact."""
+    rows = gold.subscription_stays(
+        read_table(spark, layers.silver, "silver_subscriptions"),
+        read_table(spark, layers.gold, "dim_brand"),
+        calendar.start,
+        data_end,
+    )
+    write_table(rows, layers.gold, STAYS, layers.fmt, overwrite_schema=True, cluster_by=["from_key"])
+    return read_table(spark, layers.gold, STAYS)
+
+
 def load_model(spark: SparkSession, layers: Layers, calendar: Calendar) -> StarModel:
     tables = {name: read_table(spark, layers.gold, name) for name in GOLD_TABLES}
     return StarModel(tables, calendar.start)

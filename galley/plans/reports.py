@@ -12,6 +12,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galley.operators.intervals import on_days
 from galley.plans.measures import StarModel
 
 MONTHS = ["dim_date.year", "dim_date.month", "dim_date.month_name"]
@@ -147,6 +148,30 @@ def mrr_by_month(snapshot: DataFrame) -> DataFrame:
     return daily.groupBy("date_month").agg(last.alias("last")).select("date_month", "last.*")
 
 
+def stays_on(stays: DataFrame, day: date, calendar_start: date) -> DataFrame:
+    """``active_on`` from stays: a filter, as no stay is expanded."""
+    key = (day - calendar_start).days + 1
+    inside = stays.where(F.lit(key).between(F.col("from_key"), F.col("to_key")))
+    left = F.coalesce(F.col("churn_key") == key, F.lit(False))
+    return inside.groupBy("brand_key").agg(
+        F.count(F.lit(1)).alias("subscribers"), F.count_if(~left).alias("active"), F.sum("mrr").alias("mrr")
+    )
+
+
+def stays_by_month(stays: DataFrame, dates: DataFrame, data_end: date) -> DataFrame:
+    """``mrr_by_month`` from stays: they meet the last days of the months, and no other days."""
+    ends = (
+        dates.where(F.col("full_date") <= F.lit(data_end))
+        .groupBy((F.col("year") * 100 + F.col("month")).alias("date_month"))
+        .agg(F.max("date_key").alias("date_key"))
+    )
+    return (
+        on_days(stays, ends, "date_key", "from_key", "to_key")
+        .groupBy("date_month")
+        .agg(F.count(F.lit(1)).alias("subscribers"), F.sum("mrr").alias("mrr"))
+    )
+
+
 def brands_by_arpu(model: StarModel) -> DataFrame:
     return model.query(["arpu"], ["dim_brand.brand_name"], order_by=[_descending("arpu")])
 

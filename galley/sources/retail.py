@@ -23,9 +23,6 @@ CALENDAR = Calendar(date(1995, 1, 1), date(2024, 12, 31))
 CHURN_CUTOFF = date(2001, 1, 1)
 # Last day of the order data; the daily snapshot ends here.
 DATA_END = date(2001, 12, 31)
-# The stored snapshot starts after the first signups and ends before the last churn.
-SNAPSHOT_CALENDAR = Calendar(date(1996, 4, 1), CALENDAR.end)
-SNAPSHOT_END = date(1998, 6, 20)
 
 PLATFORMS = ("click", "error", "purchase", "signup", "view")
 ANONYMOUS = ("error", "view")
