@@ -7,15 +7,17 @@ as a symbol, so the order of words counts. No document is scored by a model that
 fall into two halves by hash, and either half is scored by the model of the other. A document is
 rejected if it lies outside the band of its language. A band reaches from the lower quartile of
 log-perplexity less ``spread`` quartile distances to the perplexity that ``JUNK_SHARE`` of planted junk
-exceeds: documents of the language, chosen by hash, with their words shuffled. The upper end stays
+exceeds: documents of the language, chosen by hash, with their words shuffled. Of each language
+``PLANTED_SHARE`` are taken, and ``PLANTED_LEAST`` documents where that is more. The upper end stays
 between ``NEAR`` and ``spread`` quartile distances above the upper quartile; so the share is reached
 where shuffling shows, and no language loses its clean texts where it does not.
 
 Defined results: a null text counts as empty; an empty text has no words, fails the base rules and
 has no perplexity; whole texts are read, however long; repeated rows get equal results; a null
-language is a language of its own; languages beyond the ``MAX_LANGUAGES`` most frequent, and those
-with fewer than ``MIN_DOCUMENTS`` documents, share the band of all documents; an empty table gives
-an empty result. Other columns are neither read nor disturbed.
+language is a language of its own; languages with fewer than ``MIN_DOCUMENTS`` documents share the
+band of all documents; an empty table gives an empty result. Other columns are neither read nor
+disturbed. Languages and bands are small written tables, joined without a hint: Spark sends them to
+all tasks while they are small, however many languages there are.
 """
 
 from __future__ import annotations
@@ -36,9 +38,9 @@ MAX_REPEATED = 30
 SPREAD = 4.0
 NEAR = 1.5
 JUNK_SHARE = 0.95
-MAX_PLANTED = 20_000
+PLANTED_SHARE = 1 / 16
+PLANTED_LEAST = 1000
 MIN_DOCUMENTS = 50
-MAX_LANGUAGES = 1000
 _SYMBOLS = "#*$%&|<>"
 _SPACES = b" \t\n\v\f\r"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -81,8 +83,8 @@ def shuffled(text: str) -> str:
     return " ".join(words)
 
 
-def with_planted(docs: DataFrame, most: int = MAX_PLANTED) -> DataFrame:
-    """``doc_id, lang, text, half, planted``: the documents, and shuffled copies of about ``most`` of them."""
+def with_planted(docs: DataFrame, share: float = PLANTED_SHARE, least: int = PLANTED_LEAST) -> DataFrame:
+    """``doc_id, lang, text, half, planted``: the documents, and shuffled copies of some of each language."""
     text = F.col("text").cast("string")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"),
@@ -93,10 +95,11 @@ def with_planted(docs: DataFrame, most: int = MAX_PLANTED) -> DataFrame:
     def junk(texts: pd.Series) -> pd.Series:
         return pd.Series([shuffled(t) for t in texts], dtype=object)
 
-    share = min(1.0, most / max(1, rows.count()))
-    chosen = F.pmod(F.xxhash64(F.lit("planted"), "doc_id", "text"), F.lit(2**31)) < int(share * 2**31)
-    made = rows.where(chosen & F.col("text").isNotNull()).withColumn("text", junk("text")).withColumn("planted", F.lit(True))
-    return rows.unionByName(made)
+    languages = pinned(rows.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n")), "languages")
+    wanted = F.greatest(F.lit(share), F.lit(least) / F.col("n"))
+    chosen = F.pmod(F.xxhash64(F.lit("planted"), "doc_id", "text"), F.lit(2**31)) < wanted * 2**31
+    taken = rows.where("text IS NOT NULL").join(languages, F.col("lang").eqNullSafe(F.col("of"))).where(chosen).drop("of", "n")
+    return rows.unionByName(taken.withColumn("text", junk("text")).withColumn("planted", F.lit(True)))
 
 
 def measured(docs: DataFrame, model: kneser_ney.Model, counted: DataFrame) -> DataFrame:
@@ -171,11 +174,9 @@ def bands(rows: DataFrame, spread: float = SPREAD) -> tuple[DataFrame, tuple[flo
         good.groupBy("lang")
         .agg(quartiles.alias("q"), junk.alias("junk"), F.count(clean).alias("n"))
         .where(F.col("n") >= MIN_DOCUMENTS)
-        .orderBy(F.desc("n"), "lang")
-        .limit(MAX_LANGUAGES)
         .select(F.col("lang").alias("band_lang"), low.alias("low"), high.alias("high"))
     )
-    return own, (every.low, every.high)
+    return pinned(own, "bands"), (every.low, every.high)
 
 
 def judged(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
@@ -186,8 +187,7 @@ def judged(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
     both = pinned(measured(rows, model, counted), "measured")
     own, (low, high) = bands(both, spread)
     rows = both.where("not planted")
-    # at most MAX_LANGUAGES rows are sent
-    joined = rows.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("band_lang")), "left")
+    joined = rows.join(own, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
     lowest, highest = F.coalesce("low", F.lit(low)), F.coalesce("high", F.lit(high))
     outside = (F.col("log_perplexity") < lowest) | (F.col("log_perplexity") > highest)
     return joined.select(
