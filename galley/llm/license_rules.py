@@ -1,7 +1,8 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
 Rules are regular expressions over the words of a text (A-Z lower-cased, joined by single spaces),
-made by combining the license names below with the ways in which texts refer to a license. A rule
+of two kinds: sentences that grants and file headers of a license consist of, written out one by one,
+and the license names below combined with the ways in which texts refer to a license. A rule
 is tried only on texts that hold its keyword and the beginning of one of its names, and texts without
 any keyword are only counted. Of the
 places found, one that lies inside another of the same or a higher priority is suppressed; of two at
@@ -99,14 +100,86 @@ FORMS = (
     (2, "licen", r"(?:gnu )?{names} {word}{version}"),
     (1, "licen", r"{word} (?:is |s )?(?:under )?(?:the )?{names}{version}"),
 )
-CONFIDENCE = {4: 0.99, 3: 0.95, 2: 0.85, 1: 0.6}
+# Sentences of grants and headers, as words. Label; keyword; first words; pattern.
+# Where licenses share a sentence, the label is that of the family.
+GRANTS = (
+    ("mit", "hereby", "permission is hereby granted free of charge",
+     r"permission is hereby granted free of charge to any person obtaining a copy(?: of this (?:software|font software))?"),
+    ("mit", "notice", "the above copyright notice and this permission notice shall",
+     r"the above copyright notice and this permission notice shall be included in all copies"),
+    ("ncsa", "hereby", "permission is hereby granted free of charge",
+     r"permission is hereby granted free of charge(?: \S+){10,60} neither the names of the \S+ group"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms",
+     r"redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?"),
+    ("bsd", "redistributions", "redistributions of source code must retain",
+     r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce",
+     r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "endorse", "neither the name of", r"neither the name of(?: \S+){1,12} may be used to endorse or promote products"),
+    ("bsd", "advertising", "all advertising materials mentioning",
+     r"all advertising materials mentioning features or use of this software must display"),
+    ("isc", "permission", "permission to use copy modify",
+     r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("hpnd", "permission", "permission to use copy modify",
+     r"permission to use copy modify and distribute this software and its documentation for any purpose"),
+    ("apache", "permissions", "see the license for the specific language",
+     r"see the license for the specific language governing permissions and limitations"),
+    ("apache", "you may not use", "you may not use this file except in compliance",
+     r"you may not use this file except in compliance with the license"),
+    ("gpl", "redistribute", "this program is free software",
+     r"this program is free software you can redistribute it and or modify it"),
+    ("gpl", "warranty", "without any warranty without even the implied",
+     r"without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", "received", "you should have received a copy of the gnu",
+     r"you should have received a copy of the gnu (?:affero |lesser |library )?general public license"),
+    ("lgpl", "redistribute", "this library is free software",
+     r"this library is free software you can redistribute it and or modify it"),
+    ("mpl", "source code form", "this source code form is subject to",
+     r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "subject to", "the contents of this file are subject to the mozilla",
+     r"the contents of this file are subject to the mozilla public license"),
+    ("unlicense", "unencumbered", "this is free and unencumbered",
+     r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone", "anyone is free to copy", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("public-domain", "public domain", "into the public domain",
+     r"(?:released|placed|dedicated|put|donated) (?:in)?to the public domain"),
+    ("public-domain", "public domain", "in the public domain", r"(?:is|are|placed|put) (?:hereby )?in the public domain"),
+    ("cc0", "possible under law", "to the extent possible under law",
+     r"to the extent possible under law(?: \S+){1,20} waived all copyright"),
+    ("bsl", "boost", "distributed under the boost software", r"distributed under the boost software license"),
+    ("bsl", "hereby", "permission is hereby granted free of charge",
+     r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented",
+     r"the origin of this software must not be misrepresented"),
+    ("zlib", "altered", "altered source versions must be plainly marked", r"altered source versions must be plainly marked as such"),
+    ("wtfpl", "you just do", "you just do what the fuck", r"you just do what the fuck you want to"),
+    ("ofl", "font software", "the font software may be modified", r"the font software may be modified altered or added to"),
+    ("artistic", "standard version", "you may make and give away verbatim copies",
+     r"you may make and give away verbatim copies of the(?: source form of the)? standard version"),
+    ("postgresql", "permission", "permission to use copy modify",
+     r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement"),
+    ("upl", "hereby", "permission is hereby granted free of charge", r"permission is hereby granted free of charge(?: \S+){1,30} larger works"),
+    ("proprietary", "proprietary", "proprietary and confidential", r"(?:this (?:file|software|document) is )?proprietary and confidential"),
+    ("proprietary", "unauthorized", "unauthorized copying of", r"unauthorized copying of this (?:file|software|document|program)(?: via any medium)?(?: is strictly prohibited)?"),
+    ("proprietary", "reserved", "all rights reserved proprietary", r"all rights reserved proprietary"),
+)
+CONFIDENCE = {5: 0.97, 4: 0.99, 3: 0.95, 2: 0.85, 1: 0.6}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # On the raw text, so any separators may stand between the words of a keyword.
 _APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_KEYWORDS = f"(?i)licen|spdx|(?:released|distributed|available|published|provided|covered){_APART}under"
+# A word or two that every sentence of a grant without the word license has.
+GRANT_WORDS = (
+    "hereby granted", "permission notice", "redistributions? (?:and|of|in)", "used to endorse", "advertising materials",
+    "permission to use", "redistribute it", "without even", "source code form", "unencumbered", "anyone is free",
+    "public domain", "possible under law", "be misrepresented", "altered source", "you just do", "font software",
+    "verbatim copies", "proprietary and", "unauthorized copying", "reserved proprietary", "file except in", "copy of the gnu",
+)
+_KEYWORDS = f"(?i)licen|spdx|(?:released|distributed|available|published|provided|covered){_APART}under|" + "|".join(
+    GRANT_WORDS
+).replace(" ", _APART)
 
 
 def _any(names: str) -> str:
@@ -122,6 +195,8 @@ def _literal(names: str) -> list[str]:
 def rule_rows() -> list[tuple[int, bool, int, str, str, str, list[str]]]:
     """``(order, base, priority, label, keyword, pattern, beginnings)`` of every rule."""
     rows = [(0, True, 2, label, phrase.split()[-1], phrase, [phrase]) for phrase, label in BASE]
+    for label, keyword, beginning, pattern in GRANTS:
+        rows.append((0, False, 5, label, keyword, pattern, [beginning]))
     for priority, keyword, form in FORMS:
         for label, names, ids in LICENSES:
             pattern = form.format(names=_any(names), ids=_any(ids), version=_VERSION, word=_WORD)

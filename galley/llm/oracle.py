@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galley.llm.license_rules import CONFIDENCE, rule_rows
+from galley.llm.license_rules import CONFIDENCE, GRANT_WORDS, rule_rows
 
 ORACLE: dict[str, str] = {}
 
@@ -33,7 +33,7 @@ docs AS (
   SELECT k, ' ' || array_to_string(words, '  ') || ' ' AS held, array_to_string(words, ' ') AS plain FROM docs
 ), found AS (
   SELECT k, rule, base, priority, label, regexp_extract_all(held, pattern) AS hits, string_split_regex(held, pattern) AS gaps
-  FROM (SELECT * FROM spaced WHERE regexp_matches(plain, 'licen|spdx| under ')) JOIN rules ON contains(plain, keyword)
+  FROM (SELECT * FROM spaced WHERE regexp_matches(plain, 'licen|spdx| under |{'|'.join(GRANT_WORDS)}')) JOIN rules ON contains(plain, keyword)
 ), numbered AS (
   SELECT k, rule, base, priority, label, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap,
          unnest(range(1, len(hits) + 1)) AS pos
