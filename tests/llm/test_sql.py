@@ -57,38 +57,3 @@ def test_license_scan_of_wrapped_references_equals_sql(spark):
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
     _same(got, con.execute(ORACLE["op7_license_rules"]).df())
     assert set(got["labels"]) == {"gpl,mpl"}
-
-
-GRANTS = {
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files",
-    "bsd": "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
-    "gpl": "This program is free software: you can redistribute it and/or modify it",
-    "lgpl": "This library is free software; you can redistribute it and/or modify it",
-    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "apache": "See the License for the specific language governing permissions and limitations",
-    "zlib": "The origin of this software must not be misrepresented; altered source versions must be plainly marked as such",
-    "cc0": "To the extent possible under law, Jo Doe has waived all copyright and related rights",
-    "public-domain": "I have released this into the public domain. All of it is in the public domain.",
-    "proprietary": "Unauthorized copying of this file, via any medium, is strictly prohibited. All rights reserved, proprietary.",
-    "ofl": "The Font Software may be modified, altered, or added to",
-    "artistic": "You may make and give away verbatim copies of the Standard Version",
-}
-
-
-def test_grants_without_a_reference_are_found(spark):
-    random.seed(5)
-    rows = [(k, text) for k, text in enumerate(GRANTS.values())]
-    words = " ".join(GRANTS.values()).split()
-    rows += [(100 + k, " ".join(random.choice(words) for _ in range(80))) for k in range(200)]
-    rows += [(1000, "Redistribution and use of bicycles. Permission is hereby granted to nobody. The public domain is large.")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = license_rules.scanned(frame).toPandas()
-    con = duckdb.connect()
-    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
-    _same(got, con.execute(ORACLE["op7_license_rules"]).df())
-    found = dict(zip(got.doc_id, got.labels, strict=True))
-    for k, label in enumerate(GRANTS):
-        assert label in found[k].split(","), (label, found[k])
-    assert found[1000] == ""
