@@ -3,8 +3,9 @@
 Equal vectors are one node. Nodes get first neighbours from blocks of nodes on the same side of
 random planes; then, in each round of NN-descent, every node brings its neighbours and those that
 have it as a neighbour together, they are compared with one another, and each keeps the best it
-has met. A search starts from the query's own place in the graph and, round by round, looks at the
-neighbours of the best nodes not yet expanded. Candidates are scored where their vectors lie: a
+has met. Rounds go on until less than ``CHANGED`` of all neighbours are new. A search starts from the
+query's own place in the graph and, round by round, looks at the neighbours of the best nodes not yet
+expanded, until all of the query's ``BEAM`` best are. Candidates are scored where their vectors lie: a
 query's vector travels to the blocks that hold its candidates, never the other way round.
 
 Nearness is the inner product. For the graph, one coordinate is added that makes all vectors
@@ -36,11 +37,10 @@ from galley.llm.shared import pinned
 NEIGHBOURS = 40
 TABLES = 6
 BLOCK = 1200
-ROUNDS = 2
+CHANGED = 0.01
 SAMPLE = 18
 BEAM = 160
 EXPAND = 40
-SEARCH_ROUNDS = 5
 PER_TASK = 2000
 _LIST = "ids array<long>, sims array<float>"
 
@@ -209,11 +209,26 @@ def descend(points: DataFrame, graph: DataFrame, n: int, k: int, sample: int, tu
     return _merged(graph.unionByName(found), k)
 
 
-def build(points: DataFrame, n: int, k: int = NEIGHBOURS, rounds: int = ROUNDS, sample: int = SAMPLE) -> DataFrame:
-    """``id, ids, sims``: the neighbour graph."""
-    graph = pinned(first_graph(points, n, k), "graph")
-    for turn in range(rounds):
-        graph = pinned(descend(points, graph, n, k, sample, turn), "graph")
+def changed(before: DataFrame, after: DataFrame) -> float:
+    """The share of neighbours in ``after`` that a node did not have before."""
+    old = before.select("id", F.col("ids").alias("had"))
+    new = F.size(F.array_except("ids", F.coalesce("had", F.array().cast("array<long>"))))
+    sums = after.join(old, "id", "left").agg(F.sum(new).alias("new"), F.sum(F.size("ids")).alias("held")).first()
+    return sums.new / sums.held if sums.held else 0.0
+
+
+def build(
+    points: DataFrame, n: int, k: int = NEIGHBOURS, sample: int = SAMPLE, bound: float = CHANGED, block: int = BLOCK
+) -> DataFrame:
+    """``id, ids, sims``: the neighbour graph.
+
+    Neighbours are only ever replaced by nearer ones, so the rounds come to an end.
+    """
+    graph = pinned(first_graph(points, n, k, block=block), "graph")
+    turn, share = 0, 1.0 if n > block else 0.0  # nodes of one block have met
+    while share > bound:
+        last, graph = graph, pinned(descend(points, graph, n, k, sample, turn), "graph")
+        turn, share = turn + 1, changed(last, graph)
     return graph
 
 
@@ -224,9 +239,11 @@ def search(
     n: int,
     beam: int = BEAM,
     expand: int = EXPAND,
-    rounds: int = SEARCH_ROUNDS,
 ) -> DataFrame:
-    """``id, ids, sims``: the best nodes found for the nodes ``queries(id)``, by inner product."""
+    """``id, ids, sims, met``: the best nodes found for the nodes ``queries(id)``, by inner product.
+
+    ``met`` counts the products taken.
+    """
     blocks = max(1, math.ceil(n / PER_TASK))
     block = F.pmod(F.xxhash64("c"), F.lit(blocks))
     vectors = points.select(F.col("id").alias("c"), "vec").withColumn("block", block)
@@ -243,6 +260,7 @@ def search(
     state = asked.select(
         "id", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("sims"),
         F.array().cast("array<long>").alias("done"), F.array("id").alias("open"),
+        F.lit(0).cast("long").alias("met"),
     )
 
     def score(key: tuple, wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -255,22 +273,23 @@ def search(
             top = np.argpartition(-s, beam - 1)[:beam] if len(s) > beam else np.arange(len(s))
             ids.append(cs[top])
             sims.append(s[top].astype(np.float32))
-        return _frame(id=wanted["id"].to_numpy(), ids=ids, sims=sims)
+        return _frame(id=wanted["id"].to_numpy(), ids=ids, sims=sims).assign(tried=wanted["cs"].map(len).astype(np.int64))
 
     def step(batches):
         for batch in batches:
-            out = {"id": [], "ids": [], "sims": [], "done": [], "open": []}
+            out = {"id": [], "ids": [], "sims": [], "done": [], "open": [], "met": []}
             for row in batch.itertuples(index=False):
                 got_ids = [row.ids, *row.new_ids] if row.new_ids is not None else [row.ids]
                 got_sims = [row.sims, *row.new_sims] if row.new_sims is not None else [row.sims]
                 ids, sims = _best(np.concatenate(got_ids).astype(np.int64), np.concatenate(got_sims).astype(np.float32), beam)
                 done = np.concatenate([row.done, row.open]).astype(np.int64)
                 fresh = ids[~np.isin(ids, done)][:expand]
-                for name, value in zip(out, (row.id, ids, sims, done, fresh), strict=True):
+                for name, value in zip(out, (row.id, ids, sims, done, fresh, row.met + row.tried), strict=True):
                     out[name].append(value)
-            yield _frame(**{**out, "id": np.array(out["id"], dtype=np.int64)})
+            met = np.array(out.pop("met"), dtype=np.int64)
+            yield _frame(**{**out, "id": np.array(out["id"], dtype=np.int64)}).assign(met=met)
 
-    for _ in range(rounds + 1):
+    while not state.where(F.size("open") > 0).isEmpty():
         frontier = state.select("id", F.explode("open").alias("node")).join(near, "node")
         wanted = (
             frontier.select("id", F.explode("near").alias("c"))
@@ -281,15 +300,17 @@ def search(
             .agg(F.collect_list("c").alias("cs"))
             .join(asked, "id")
         )
-        scored = wanted.groupBy("block").cogroup(vectors.groupBy("block")).applyInPandas(score, f"id long, {_LIST}")
-        new = scored.groupBy("id").agg(F.collect_list("ids").alias("new_ids"), F.collect_list("sims").alias("new_sims"))
+        scored = wanted.groupBy("block").cogroup(vectors.groupBy("block")).applyInPandas(score, f"id long, {_LIST}, tried long")
+        new = scored.groupBy("id").agg(
+            F.collect_list("ids").alias("new_ids"), F.collect_list("sims").alias("new_sims"), F.sum("tried").alias("tried")
+        )
         state = pinned(
-            state.join(new, "id", "left").mapInPandas(
-                step, f"id long, {_LIST}, done array<long>, open array<long>"
+            state.join(new, "id", "left").fillna(0, ["tried"]).mapInPandas(
+                step, f"id long, {_LIST}, done array<long>, open array<long>, met long"
             ),
             "search",
         )
-    return state.select("id", "ids", "sims")
+    return state.select("id", "ids", "sims", "met")
 
 
 def nearest(rows: DataFrame, asks: Column, k: int = 20, **settings) -> DataFrame:

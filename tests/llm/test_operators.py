@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -453,6 +454,35 @@ def test_recall_against_brute_force(spark):
     assert len(found) == (ids % 20 == 0).sum() and np.mean(found) >= 0.95
 
 
+def test_recall_of_a_search_that_meets_few(spark):
+    """20,000 vectors, a third of them in one dense cluster; a query meets less than a tenth of them."""
+    rng = np.random.default_rng(8)
+    n, dims = 20_000, 24
+    centres = rng.normal(size=(60, dims))
+    spread = np.full(n, 0.4)
+    own = rng.integers(1, 60, n)
+    dense = np.arange(n) % 3 == 0
+    own[dense], spread[dense] = 0, 0.05
+    x = centres[own] + rng.normal(size=(n, dims)) * spread[:, None]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    frame = pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()})
+    rows = spark.createDataFrame(frame, "vec_id long, embedding array<double>")
+    points, size = nn_descent.nodes(nn_descent.usable(rows))
+    assert size == n
+    graph = nn_descent.build(points, size, k=24, block=400)
+    asked = spark.range(0, n, 100).select("id")
+    got = nn_descent.search(points, graph, asked, size, beam=40, expand=10).toPandas()
+    assert len(got) == n // 100 and got.met.max() < n / 10
+    found = {True: [], False: []}
+    for q, ids in zip(got["id"], got["ids"], strict=True):
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = set(np.argsort(-score)[:20].tolist())
+        found[bool(dense[q])].append(len(best & set(list(ids)[:20])) / 20)
+    print("recall, dense and other:", np.mean(found[True]), np.mean(found[False]), "met", got.met.mean())
+    assert np.mean(found[True]) >= 0.9 and np.mean(found[False]) >= 0.9
+
+
 # --- 7: licenses -------------------------------------------------------------------------
 
 
