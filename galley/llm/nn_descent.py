@@ -37,7 +37,7 @@ from galley.llm.shared import pinned
 NEIGHBOURS = 40
 TABLES = 6
 BLOCK = 1200
-CHANGED = 0.01
+CHANGED = 0.05
 SAMPLE = 18
 BEAM = 160
 EXPAND = 40
