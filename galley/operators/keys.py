@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from galley.functions.columns import prefixed_id
 from galley.session import scratch_path
 
+# Groups by hash in which ``distinct_on_ids`` counts rows, and the rows that make one crowded.
+HASH_GROUPS = 1 << 16
+HOT_ROWS = 100_000
+
 
 def _tie_break(df: DataFrame, used: set[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in df.columns if c not in used]
@@ -45,26 +49,28 @@ def distinct_on(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def distinct_on_ids(df: DataFrame, key: str) -> DataFrame:
-    """``distinct_on`` for a table whose ids are expected to be unique already.
+    """``distinct_on`` for a table whose ids are expected to be unique, or nearly so.
 
-    Looking for repeats shuffles one 8-byte hash per row instead of the rows. Rows whose hash
-    occurs once pass by; those whose hash repeats are deduplicated. Different ids with the same
-    hash only take the longer way. One plan for every size: the joins carry no hint, so Spark
-    broadcasts the repeated hashes where it has measured them to be few and shuffles otherwise.
+    Every row moves once, as it is read, and is sorted where it arrives. Sorting before the shuffle,
+    as ``first_per_key`` has it, would drop next to nothing here and spill where input files are
+    dense. It is kept for ids with very many copies, which would fill one reducer: rows are counted
+    by a hash of ``HASH_GROUPS`` values, and groups of more than ``HOT_ROWS`` rows take that way
+    (of billions of rows all do). The counts have a fixed size, and so has the broadcast of the
+    groups, whatever the table: the plan, and what a row costs, is the same at every size.
 
     The table is read three times, so it should be a written one.
     """
-    tagged = df.withColumn("__hash", F.xxhash64(key))
-    repeats = (
-        tagged.groupBy(F.col("__hash").alias("__again"))
+    tagged = df.withColumn("__group", F.pmod(F.xxhash64(key), F.lit(HASH_GROUPS)).cast("int"))
+    crowded = (
+        tagged.groupBy(F.col("__group").alias("__hot"))
         .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > 1)
-        .select("__again")
+        .where(F.col("__rows") > HOT_ROWS)
+        .select("__hot")
     )
-    same = F.col("__hash") == F.col("__again")
-    single = tagged.join(repeats, same, "left_anti").drop("__hash")
-    repeated = tagged.join(repeats, same, "left_semi").drop("__hash")
-    return single.unionByName(distinct_on(repeated, [key]))
+    same = F.col("__group") == F.col("__hot")
+    few = tagged.join(F.broadcast(crowded), same, "left_anti").drop("__group")
+    many = tagged.join(F.broadcast(crowded), same, "left_semi").drop("__group")
+    return distinct_on(few.repartition(F.col(key)), [key]).unionByName(distinct_on(many, [key]))
 
 
 def with_row_id(df: DataFrame, source: str, name: str, prefix: str, width: int = 12) -> DataFrame:

@@ -75,9 +75,12 @@ def dim_subscriber(subscriptions: DataFrame, dates: DataFrame) -> DataFrame:
 def dim_campaign(
     ads: DataFrame, key_type: str = "int", keys: KeyRegistry | None = None
 ) -> DataFrame:
-    """One row per campaign id; where its attributes vary, the smallest combination."""
+    """One row per campaign id; where its attributes vary, the smallest combination.
+
+    A campaign has many ads: its combinations are made distinct by hash before any are sorted.
+    """
     columns = ["campaign_id", "campaign_name", "advertiser", "channel"]
-    kept = first_per_key(ads.select(*columns), ["campaign_id"])
+    kept = first_per_key(ads.select(*columns).distinct(), ["campaign_id"])
     keyed = with_key(kept, "campaign_id", "campaign_key", key_type, ads, keys)
     return keyed.select("campaign_key", *columns, F.col("channel").alias("campaign_type"))
 

@@ -115,3 +115,26 @@ def test_distinct_ids_run_no_job_while_they_are_built(spark):
         assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_distinct_ids_move_rows_once_whatever_the_repeats(spark, rows):
+    """No shuffle join of the rows with their counts, however large Spark takes these to be."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = distinct_on_ids(_with_repeats(spark), "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    few = plan[: plan.index("BroadcastHashJoin")]
+    assert few.count("Exchange") == 1  # and nothing is sorted before it
+    assert "Sort" not in few[few.index("Exchange") :]
+
+
+def test_crowded_ids_are_reduced_before_the_shuffle(spark, rows, monkeypatch):
+    monkeypatch.setattr("galley.operators.keys.HOT_ROWS", 100)
+    many = _with_repeats(spark)
+    found = distinct_on_ids(many, "k")
+    assert rows(found) == rows(distinct_on(many, ["k"]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    crowded = plan[plan.index("LeftAnti") :]
+    assert "WindowGroupLimit" in crowded[crowded.index("ENSURE_REQUIREMENTS") :]
