@@ -1,7 +1,7 @@
 """Stored roll-ups of the facts, and the choice of one that can answer a question.
 
-Per fact there is one table of sums with several levels (a set of keys each), made in one
-``GROUPING SETS`` pass over the finest of them, and for facts with a distinct measure one table of
+Per fact there is one table of sums with several levels (a set of keys each), the coarser ones made
+in one ``GROUPING SETS`` pass over the finest of them, and for facts with a distinct measure one table of
 bitmaps. Both are keyed by month, so they answer whatever asks for whole months:
 
 * every grouping by, and filter on, a dimension whose key a level has;
@@ -78,7 +78,11 @@ def bitmap_table(fact: str) -> str:
 
 
 def rolled_up(rows: DataFrame, fact: str) -> DataFrame:
-    """``(level, keys, rows, sums)``: all levels of a fact. A level is its place in ``LEVELS``."""
+    """``(level, keys, rows, sums)``: all levels of a fact. A level is its place in ``LEVELS``.
+
+    The finest level is the first aggregate itself. Only the others are expanded from it: it may
+    have nearly as many groups as the fact has rows, which need not be grouped and moved again.
+    """
     levels, sums = LEVELS[fact], _sums(fact)
     finest = rows.groupBy(*levels[0]).agg(
         F.count(F.lit(1)).alias("rows"), *[b.aggregate().alias(n) for n, b in sums.items()]
@@ -87,10 +91,15 @@ def rolled_up(rows: DataFrame, fact: str) -> DataFrame:
     width = len(levels[0])
     lacks = {sum(1 << (width - 1 - i) for i, k in enumerate(levels[0]) if k not in level): n for n, level in enumerate(levels)}
     number = F.element_at(F.create_map(*[F.lit(x) for pair in lacks.items() for x in pair]), F.grouping_id().cast("int"))
-    return (
-        finest.groupingSets([[F.col(k) for k in level] for level in levels], *levels[0])
+    coarser = (
+        finest.groupingSets([[F.col(k) for k in level] for level in levels[1:]], *levels[0])
         .agg(*[F.sum(c).alias(c) for c in ("rows", *sums)], number.alias("level"))
     )
+    # sums of sums are wider decimals; all levels share their type
+    first = finest.withColumn("level", F.lit(0)).select(
+        *[F.col(f.name).cast(f.dataType) for f in coarser.schema.fields]
+    )
+    return first.unionByName(coarser)
 
 
 def month_bitmaps(rows: DataFrame, fact: str) -> DataFrame:

@@ -164,3 +164,11 @@ def test_a_distinct_measure_is_reduced_before_the_join(model):
     plan = model.query(["active_users"], [BRAND])._jdf.queryExecution().optimizedPlan().toString()
     join = plan.index("Join LeftOuter")
     assert "Aggregate [brand_key" in plan[join:]
+
+
+def test_the_finest_level_is_not_expanded(model):
+    """Its groups may be as many as rows; they are aggregated once and moved no further."""
+    plan = rollups.rolled_up(model.tables["fct_ad"], "fct_ad")._jdf.queryExecution().optimizedPlan().toString()
+    expand = next(line for line in plan.splitlines() if "Expand [[" in line)
+    projections = expand[expand.index("[[") + 1 : expand.index("]]")].split("], [")
+    assert len(projections) == len(LEVELS["fct_ad"]) - 1
