@@ -79,6 +79,9 @@ def write_table(
     row-group statistics skip data for filters on those columns.
 
     ``watch`` sees the rows in the tasks that write them (``quality.Observed.watch``).
+
+    Parquet files are compressed with zstd: layers are copies of one another, so what a run writes
+    is several times its input.
     """
     rows = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
     if watch:
@@ -88,6 +91,8 @@ def write_table(
     writer = rows.write.mode(mode)
     if fmt:
         writer = writer.format(fmt)
+    if fmt == "parquet":
+        writer = writer.option("compression", "zstd")
     if overwrite_schema:
         writer = writer.option("overwriteSchema", "true")
     if partition_by:

@@ -229,3 +229,14 @@ def test_generated_rows_do_not_depend_on_chunks(spark, rows):
     many = synthetic.daily_rows(days.repartition(4), rows_per_chunk=7)
     assert rows(one, "id", "day") == rows(many, "id", "day")
     assert [r.id for r in one.orderBy("id").collect()] == list(range(one.count()))
+
+
+def test_parquet_tables_are_compressed_with_zstd(spark, tmp_path):
+    """Also those whose partitions are replaced later, as the option stays with the table."""
+    layer = "zstd_layer"
+    catalog.ensure_layer(spark, layer, str(tmp_path))
+    rows = spark.range(1000).select((F.col("id") % 2).alias("part"), "id")
+    catalog.write_table(rows, layer, "t", partition_by=["part"])
+    catalog.replace_partitions(rows.where("part = 1"), layer, "t", ["part"])
+    files = list(tmp_path.rglob("*.parquet"))
+    assert files and all(".zstd." in f.name for f in files)
