@@ -8,8 +8,10 @@ continuation counts, discounts and back-off weights are plain aggregations of in
 
 Counts cover every word of every text given; they are summed by word, batch and task before they
 are shuffled. A model keeps every n-gram and every context, as a written table; no part of it passes
-the driver. Probabilities are found by joins, order by order, for the distinct n-grams of the texts
-that are to be scored. ``Shares`` holds these: up to ``MAX_SENT`` of them are sent to the tasks, more
+the driver. Probabilities are found by joins for the distinct n-grams of the texts that are to be
+scored: what the model has of all their orders at once, then each order with the one below. Spark's
+driver takes memory for every job and exchange, whatever the rows, so several models are fitted in
+the same jobs and orders are written one by one. ``Shares`` holds the probabilities: up to ``MAX_SENT`` of them are sent to the tasks, more
 are joined to the words. Both ways give the same scores.
 
 With classes, the orders above ``SHARED`` are counted by class and the lower ones over all classes
@@ -21,7 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -201,12 +203,13 @@ class Shares:
         """All of it as arrays, where it is small enough to go to every task."""
         if self.n > MAX_SENT:
             return None
-        got = self.table.toArrow()
+        logs = [F.col(f"p{c}").cast("float") for c in range(self.classes)]
+        got = self.table.select(*_GRAM, *logs).toArrow()
         code, rest, *logs = (got.column(i).to_numpy() for i in range(2 + self.classes))
         by = np.lexsort((code, rest))
         rest = rest[by]
         plain = int(np.searchsorted(rest, 1))
-        return Sent(code[by], rest, np.column_stack(logs).astype(np.float32)[by], plain)
+        return Sent(code[by], rest, np.column_stack([x[by] for x in logs]), plain)
 
     def joined(self, texts: DataFrame) -> DataFrame:
         """``key, n, symbols, p0, p1, ...`` of each distinct word of ``texts(key, text)``, ``n`` times in the text.
@@ -277,40 +280,33 @@ class Model:
 
     def shares(self, grams: DataFrame, ys: list[int]) -> Shares:
         """Natural logarithm of the probability of the last symbol of each of ``grams(code, rest)``."""
-        wanted = pinned(grams.select(*_GRAM).distinct(), "wanted")
+        orders = [F.struct(F.lit(k).alias("k"), *(c.alias(n) for c, n in zip(_suffix(k), _GRAM, strict=True))) for k in range(1, ORDER + 1)]
+        asked = grams.select(F.explode(F.array(*orders)).alias("gram")).select("gram.*").distinct()
+        back = self._values(1, "b", ys).withColumnsRenamed({"code": "context", "rest": "upper"})
+        shift = F.shiftright("code", SYMBOL_BITS).alias("context"), F.shiftright("rest", REST_BITS).alias("upper")
+        asked = asked.join(self._values(0, "v", ys), ["k", *_GRAM], "left").select("*", *shift)
+        asked = pinned(asked.join(back, ["k", "context", "upper"], "left").drop("context", "upper"), "asked")
         below: DataFrame | None = None
         for k in range(1, ORDER + 1):
-            code, rest = _suffix(k)
-            now = wanted.select(code.alias("code"), rest.alias("rest"))
-            now = now.distinct() if k < ORDER else now
-            own, back = self._values(k, 0, ys), self._values(k, 1, ys)
-            now = now.join(own, _GRAM, "left")
-            shift = [
-                F.shiftright("code", SYMBOL_BITS).alias("context"), F.shiftright("rest", REST_BITS).alias("upper"),
-                *[c.alias(n) for c, n in zip(_suffix(k - 1), ("lower", "under"), strict=True)],
-            ]
-            now = now.select("*", *shift)
-            if k == 1:  # one context, the empty one
-                top = back.first()
-                weights = [1.0 if top is None or top[f"v{c}"] is None else top[f"v{c}"] for c in range(len(ys))]
-                p = [F.coalesce(f"v{c}", F.lit(0.0)) + w / max(1, self.symbols) for c, w in enumerate(weights)]
+            now = asked.where(F.col("k") == k)
+            if below is None:  # one context, the empty one
+                now = now.select("*", *[F.lit(1 / max(1, self.symbols)).alias(f"l{c}") for c in range(len(ys))])
             else:
-                back = back.select(F.col("code").alias("context"), F.col("rest").alias("upper"), *[F.col(f"v{c}").alias(f"b{c}") for c in range(len(ys))])
-                below = below.select(F.col("code").alias("lower"), F.col("rest").alias("under"), *[F.col(f"p{c}").alias(f"l{c}") for c in range(len(ys))])
-                now = now.join(back, ["context", "upper"], "left").join(below, ["lower", "under"])
-                p = [F.coalesce(f"v{c}", F.lit(0.0)) + F.coalesce(f"b{c}", F.lit(1.0)) * F.col(f"l{c}") for c in range(len(ys))]
+                below = below.withColumnsRenamed({"code": "lower", "rest": "under"} | {f"p{c}": f"l{c}" for c in range(len(ys))})
+                shorter = [c.alias(n) for c, n in zip(_suffix(k - 1), ("lower", "under"), strict=True)]
+                now = now.select("*", *shorter).join(below, ["lower", "under"])
+            p = [F.coalesce(f"v{c}", F.lit(0.0)) + F.coalesce(f"b{c}", F.lit(1.0)) * F.col(f"l{c}") for c in range(len(ys))]
             below = now.select(*_GRAM, *[x.alias(f"p{c}") for c, x in enumerate(p)])
         logs = [F.log(F.greatest(f"p{c}", F.lit(1e-300))).alias(f"p{c}") for c in range(len(ys))]
         table = pinned(below.select(*_GRAM, *logs), "shares")
         return Shares(table, table.count(), len(ys))
 
-    def _values(self, k: int, kind: int, ys: list[int]) -> DataFrame:
-        """``code, rest, v0, v1, ...``: the values of an order, one column a class."""
-        of = [-1 if self.shared and k <= SHARED else y for y in ys]
-        rows = self.table.where((F.col("k") == k) & (F.col("kind") == kind) & F.col("y").isin(of))
-        if len(set(of)) == 1:
-            return rows.select(*_GRAM, *[F.col("value").alias(f"v{c}") for c in range(len(of))])
-        return rows.groupBy(*_GRAM).agg(*[F.max(F.when(F.col("y") == y, F.col("value"))).alias(f"v{c}") for c, y in enumerate(of)])
+    def _values(self, kind: int, name: str, ys: list[int]) -> DataFrame:
+        """``k, code, rest`` and the values of a kind, one column ``name`` and number a class."""
+        of = [F.when(F.col("k") <= SHARED, -1).otherwise(y) if self.shared else F.lit(y) for y in ys]
+        rows = self.table.where((F.col("kind") == kind) & F.col("y").isin(*ys, *[-1] * self.shared))
+        values = [F.max(F.when(F.col("y") == y, F.col("value"))).alias(f"{name}{c}") for c, y in enumerate(of)]
+        return rows.groupBy("k", *_GRAM).agg(*values)
 
     def log_share(self, code: np.ndarray, y: int, rest: np.ndarray | None = None) -> np.ndarray:
         """Logarithms of the probabilities of a few n-grams given here."""
@@ -342,42 +338,52 @@ def _discounts(n: dict[int, int]) -> tuple[float, float, float]:
 
 def fit(counted: DataFrame, shared: bool = False) -> Model:
     """A model of ``counts``; with ``shared``, low orders are those of all classes together (-1)."""
-    counted = pinned(counted, "ngrams")
+    return fits([counted], shared)[0]
+
+
+def fits(counted: list[DataFrame], shared: bool = False) -> list[Model]:
+    """A model ``m`` of each of several ``counts``, made in the same jobs."""
+    sets = [one.select(F.lit(m).alias("m"), "y", *_GRAM, "n") for m, one in enumerate(counted)]
+    current = pinned(reduce(DataFrame.unionByName, sets), "ngrams")
     levels: list[DataFrame] = []
-    current = counted
     for k in range(ORDER, 0, -1):
         if k < ORDER:
             left = current
             if shared and k == SHARED:  # left neighbours are told apart over all classes
-                left = current.select(F.lit(-1).alias("y"), *_GRAM).distinct()
+                left = current.select("m", F.lit(-1).alias("y"), *_GRAM).distinct()
             code, rest = _suffix(k)
-            current = left.groupBy("y", code.alias("code"), rest.alias("rest")).agg(F.count(F.lit(1)).alias("n"))
-        levels.append(current.select(F.lit(k).alias("k"), "y", *_GRAM, "n"))
-    grams = levels[0]
-    for level in levels[1:]:
-        grams = grams.unionByName(level)
-    grams = pinned(grams, "orders")
-    seen: dict[tuple[int, int], dict[int, int]] = {}
-    for r in grams.where("n <= 4").groupBy("k", "y", "n").count().collect():
-        seen.setdefault((r.k, r.y), {})[r.n] = r["count"]
-    facts = grams.where("k = 1").agg(F.countDistinct(*_GRAM).alias("symbols")).first()
-    classes = [r.y for r in counted.select("y").distinct().collect()]
+            current = left.groupBy("m", "y", code.alias("code"), rest.alias("rest")).agg(F.count(F.lit(1)).alias("n"))
+            current = pinned(current, f"order{k}")  # each order is counted once
+        levels.append(current.select(F.lit(k).alias("k"), "m", "y", *_GRAM, "n"))
+    grams = reduce(DataFrame.unionByName, levels)
+    few = [F.count(F.when(F.col("n") == n, 1)).alias(f"n{n}") for n in range(1, 5)]
+    facts = grams.groupBy("m", "k", "y").agg(F.count(F.lit(1)).alias("grams"), *few).collect()
 
     discount = F.lit(0.0)
-    for (k, y), n in seen.items():
-        d = _discounts(n)
+    for r in facts:
+        d = _discounts({n: r[f"n{n}"] for n in range(1, 5)})
         step = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        discount = F.when((F.col("k") == k) & (F.col("y") == y), step).otherwise(discount)
+        own = (F.col("m") == r.m) & (F.col("k") == r.k) & (F.col("y") == r.y)
+        discount = F.when(own, step).otherwise(discount)
+    of = ["m", "k", "y"]
     taken = grams.select(
-        "k", "y", *_GRAM, "n", discount.alias("d"),
+        *of, *_GRAM, "n", discount.alias("d"),
         F.shiftright("code", SYMBOL_BITS).alias("context"), F.shiftright("rest", REST_BITS).alias("upper"),
     )
-    contexts = taken.groupBy("k", "y", "context", "upper").agg(F.sum("n").alias("total"), F.sum("d").alias("back"))
-    values = taken.join(contexts, ["k", "y", "context", "upper"]).select(
-        "k", "y", F.lit(0).alias("kind"), *_GRAM, ((F.col("n") - F.col("d")) / F.col("total")).alias("value")
+    contexts = taken.groupBy(*of, "context", "upper").agg(F.sum("n").alias("total"), F.sum("d").alias("back"))
+    values = taken.join(contexts, [*of, "context", "upper"]).select(
+        *of, F.lit(0).alias("kind"), *_GRAM, ((F.col("n") - F.col("d")) / F.col("total")).alias("value")
     )
     backs = contexts.select(
-        "k", "y", F.lit(1).alias("kind"), F.col("context").alias("code"), F.col("upper").alias("rest"),
+        *of, F.lit(1).alias("kind"), F.col("context").alias("code"), F.col("upper").alias("rest"),
         (F.col("back") / F.col("total")).alias("value"),
     )
-    return Model(pinned(values.unionByName(backs), "model"), facts.symbols, sorted(classes), shared)
+    table = pinned(values.unionByName(backs), "model")
+    models = []
+    for m in range(len(counted)):
+        symbols = [r.grams for r in facts if (r.m, r.k) == (m, 1)]
+        if len(symbols) > 1:  # classes may have the same ones
+            symbols = [current.where(F.col("m") == m).select(*_GRAM).distinct().count()]
+        classes = sorted(r.y for r in facts if (r.m, r.k) == (m, ORDER))
+        models.append(Model(table.where(F.col("m") == m).drop("m"), sum(symbols), classes, shared))
+    return models

@@ -111,10 +111,8 @@ def fit(
     part = F.when(first, 0).otherwise(2)
     rows = learning_rows(docs, labelled(labels, "toxic", first | second, max_labelled))
     counted = pinned(kneser_ney.counts(rows, (F.col("y") > 0).cast("int") + part), "classes")
-    of_first = kneser_ney.fit(counted.where("y < 2"), shared=True)
-    of_both = kneser_ney.fit(
-        counted.groupBy((F.col("y") % 2).alias("y"), "code", "rest").agg(F.sum("n").alias("n")), shared=True
-    )
+    both = counted.groupBy((F.col("y") % 2).alias("y"), "code", "rest").agg(F.sum("n").alias("n"))
+    of_first, of_both = kneser_ney.fits([counted.where("y < 2"), both], shared=True)
     known = learning_rows(docs, labelled(labels, "toxic", second, max_calibration))
     if set(of_first.classes) != {TOXIC, ORDINARY}:
         share = known.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0]
